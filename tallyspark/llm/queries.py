@@ -23,7 +23,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 QUERIES = {f.__name__: f for f in (op9_quality_repetition, op10_benchmark_decontamination)}
 
-_WORDS = r"list_filter(string_split_regex(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '[ \t\n\r\f\v]+'), x -> x <> '')"
+_WORDS = r"list_filter(string_split_regex(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '[ \t\n\r\f\v]+'), lambda x: x <> '')"
 
 ORACLE_SQL = {
     "op10_benchmark_decontamination": rf"""
