@@ -4,13 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, quality
+from . import decontam, langid, quality, simhash, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are accepted, with their language, cosine and margin."""
+    docs = _table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.prototypes(docs)).where("accepted").drop("accepted")
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans of documents that an earlier document has too."""
+    return substring.repeated_spans(_table(spark, sf_dir, "documents"))
+
+
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of near-duplicate documents."""
+    return simhash.near_duplicate_pairs(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that pass the repetition limits, with their figures."""
     return quality.quality_filter(_table(spark, sf_dir, "documents"))
@@ -21,7 +37,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontam.contaminated_spans(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op9_quality_repetition, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op4_language_id, op5_substring_dedup, op7_simhash_near_dedup, op9_quality_repetition, op10_benchmark_decontamination)}
 
 _WORDS = r"list_filter(string_split_regex(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '[ \t\n\r\f\v]+'), lambda x: x <> '')"
 

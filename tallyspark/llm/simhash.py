@@ -26,7 +26,7 @@ BYTES = 32
 KEY_BYTES = 3
 TABLES = 48
 MAX_BITS = 40
-_STEP = 1 << 19
+_STEP = 1 << 17
 #: Cells of the matrix of documents and words that is held at a time.
 _CELLS = 1 << 21
 
