@@ -4,13 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, quality, simhash, substring
+from . import decontam, langid, lines, packing, quality, sharding, simhash, store, substring, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents in their shards, by source and id."""
+    return sharding.shards(_table(spark, sf_dir, "documents"))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, archived, indexed and read back by their index."""
+    return warc.archived(_table(spark, sf_dir, "pages")).withColumnRenamed("record_id", "page_id")
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents without lines of recurring templates."""
+    return lines.line_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that are accepted, with their language, cosine and margin."""
     docs = _table(spark, sf_dir, "documents")
@@ -22,11 +37,21 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_spans(_table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in windows of tokens."""
+    return packing.pack(packing.token_lengths(_table(spark, sf_dir, "documents")))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of near-duplicate documents."""
     return simhash.near_duplicate_pairs(_table(spark, sf_dir, "documents"))
 
 
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's manifest line after its ids were stored by content, and whether it verifies."""
+    return store.stored_and_verified(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that pass the repetition limits, with their figures."""
     return quality.quality_filter(_table(spark, sf_dir, "documents"))
@@ -37,11 +62,28 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontam.contaminated_spans(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op4_language_id, op5_substring_dedup, op7_simhash_near_dedup, op9_quality_repetition, op10_benchmark_decontamination)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_sharding, op2_warc, op3_line_dedup, op4_language_id, op5_substring_dedup, op6_packing, op7_simhash_near_dedup, op8_token_store, op9_quality_repetition, op10_benchmark_decontamination)
+}
 
 _WORDS = r"list_filter(string_split_regex(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '[ \t\n\r\f\v]+'), lambda x: x <> '')"
 
 ORACLE_SQL = {
+    "op1_sharding": f"""
+WITH slim AS (SELECT coalesce(source, '') AS k0, doc_id AS k1, strlen(coalesce(text, ''))::BIGINT AS b FROM documents),
+lim AS (SELECT greatest(1, least({sharding.MAX_SHARD_BYTES}, floor({sharding.SLACK} * sum(b) / {sharding.RANGES})))::BIGINT AS l FROM slim),
+clock AS (SELECT k0, k1, -ln((('0x' || substr(md5(k0 || '/' || k1), 1, 12))::BIGINT::DOUBLE + 1) / {2**48 + 1}) / b AS c FROM slim WHERE b > 0),
+sample AS (SELECT k0, k1 FROM clock ORDER BY c, k0, k1 LIMIT {sharding.RANGES * sharding.OVERSAMPLE}),
+place AS (SELECT k0, k1, row_number() OVER (ORDER BY k0, k1) - 1 AS i, count(*) OVER () AS n FROM sample),
+point AS (SELECT DISTINCT k0, k1 FROM place JOIN range(1, {sharding.RANGES}) r(k) ON i = r.k * n // {sharding.RANGES}),
+merged AS (SELECT k0, k1, b, 0 AS p FROM slim UNION ALL SELECT k0, k1, 0, 1 FROM point),
+ranged AS (SELECT k0, k1, b, p, (sum(p) OVER (ORDER BY k0, k1, p DESC ROWS UNBOUNDED PRECEDING))::INT AS range_id FROM merged),
+sized AS (SELECT range_id, k0, k1, b, sum(b) OVER (PARTITION BY range_id) AS t, sum(b) OVER (PARTITION BY range_id ORDER BY k0, k1 ROWS UNBOUNDED PRECEDING) - b AS before FROM ranged WHERE p = 0),
+sub AS (SELECT range_id, k0, k1, CASE WHEN t > l THEN before // l ELSE 0 END AS s FROM sized, lim)
+SELECT d.*, sub.range_id, (dense_rank() OVER (PARTITION BY sub.range_id ORDER BY s) - 1)::INT AS sub_id FROM documents d JOIN sub ON sub.k0 = coalesce(d.source, '') AND sub.k1 = d.doc_id
+""",
+    "op2_warc": "SELECT page_id, url, sha256(html) AS digest, html, true AS verified FROM pages",
     "op10_benchmark_decontamination": rf"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 b AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),

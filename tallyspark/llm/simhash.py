@@ -11,6 +11,7 @@ most, and any pair from a list shares KEY_BYTES. The rest are verified by Hammin
 
 from __future__ import annotations
 
+import hashlib
 import random
 from collections.abc import Iterator
 
@@ -47,11 +48,15 @@ def position_sets(tables: int = TABLES, key_bytes: int = KEY_BYTES) -> list[tupl
     return out
 
 
-def fingerprints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the texts that have words, and their fingerprints as four 64-bit numbers each."""
-    w = N.words(data, offsets)
+def fingerprints(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The fingerprint of each text as four 64-bit numbers. A wordless one is a hash of its bytes without outer white space."""
+    w, n = N.words(data, offsets), len(offsets) - 1
+    prints = np.zeros((n, BYTES), np.uint8)
+    for d in np.flatnonzero(np.diff(w.first) == 0):
+        bare = data[offsets[d] : offsets[d + 1]].tobytes().strip()
+        prints[d] = np.frombuffer(hashlib.blake2b(bare, digest_size=BYTES).digest(), np.uint8)
     if not len(w.hashes):
-        return np.zeros(0, np.int64), np.zeros((0, 4), np.uint64)
+        return prints.view(np.uint64)
     doc = w.doc
     order = np.argsort(N.mix(w.hashes + doc.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))
     d, h, size = doc[order], w.hashes[order], (w.end - w.start)[order]
@@ -60,28 +65,27 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     vocabulary, index = N.dense(h)
     weight = np.where(size <= 3, 1, np.where(size == 4, 4, 10)).astype(np.float32)
     signs = np.unpackbits(np.stack([N.mix(vocabulary + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) for k in range(1, 5)], axis=1).view(np.uint8), axis=1).astype(np.float32) - np.float32(0.5)
-    n, rows = len(offsets) - 1, max(1, _CELLS // len(vocabulary))
-    prints = np.empty((n, BYTES), np.uint8)
+    rows = max(1, _CELLS // len(vocabulary))
     order = np.argsort(d, kind="stable")
     edge = np.searchsorted(d[order], np.arange(0, n + rows, rows))
     for k, a in enumerate(range(0, n, rows)):
         some = order[edge[k] : edge[k + 1]]
         votes = np.zeros((min(rows, n - a), len(vocabulary)), np.float32)
         votes[d[some] - a, index[some]] = weight[some]
-        prints[a : a + rows] = np.packbits(votes @ signs > 0, axis=1)
-    has = np.flatnonzero(np.diff(w.first))
-    return has, prints[has].view(np.uint64)
+        worded = np.diff(w.first[a : min(a + rows, n) + 1]) > 0
+        prints[a : a + rows][worded] = np.packbits(votes[worded] @ signs > 0, axis=1)
+    return prints.view(np.uint64)
 
 
 def simhashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, f0, f1, f2, f3) of every document that has an id and a word."""
+    """(doc_id, f0, f1, f2, f3) of every document that has an id and a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = N.utf8(batch.column(1))
             for i, j in N.steps(offsets, _STEP):
-                rows, prints = fingerprints(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i + rows)).cast(pa.int64()), *(pa.array(np.ascontiguousarray(prints[:, k]).view(np.int64)) for k in range(4))], schema=_SCHEMA)
+                prints = fingerprints(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), *(pa.array(np.ascontiguousarray(prints[:, k]).view(np.int64)) for k in range(4))], schema=_SCHEMA)
 
     return pick(docs, doc_id=id_col, text=text_col).where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, "doc_id long, f0 long, f1 long, f2 long, f3 long")
 
@@ -96,7 +100,8 @@ def near_duplicate_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Among documents of equal fingerprints, only the pairs with the one of least id, their first, are given; pairs between
     different fingerprints are given for their first documents. Every document thus hangs on its group by a
     chain of pairs. The search misses the pairs that share none of the tables' keys; see the README for its recall.
-    Null, empty and wordless texts, and rows with a null id, have no pairs. Rows with one id count as one
+    Texts without words, the empty one among them, are alike only where they are equal but for outer white space. Null texts, and rows
+    with a null id, have no pairs. Rows with one id count as one
     document: it pairs with others by each of its texts, never with itself. Other columns are ignored.
     """
     prints = simhashes(docs, id_col, text_col).selectExpr("*", f"min(doc_id) OVER (PARTITION BY {', '.join(_PARTS)}) AS first")
@@ -135,7 +140,7 @@ def groups(pairs: DataFrame) -> DataFrame:
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
     """docs without the members of near-duplicate groups other than the one of least id.
 
-    Groups are the connected components of near_duplicate_pairs(). Documents without pairs all stay, those with null ids or without words too. Of rows that
+    Groups are the connected components of near_duplicate_pairs(). Documents without pairs all stay, those with null ids or texts too. Of rows that
     share an id all stay or all go.
     """
     gone = groups(near_duplicate_pairs(docs, id_col, text_col, **how)).where("group_id < doc_id").selectExpr("doc_id AS gone_id")
