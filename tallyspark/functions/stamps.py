@@ -34,7 +34,7 @@ def moment(text: Column) -> Column:
 
 
 def decimal_text(x: Column) -> Column:
-    """The shortest decimal text of a double in Python's notation, which identities in older stores were built from: plain from 1e-4 to 1e16, else as 1e+16."""
+    """The shortest decimal text of a double in Python's notation, which identities in older stores were built from: plain from 1e-4 to 1e16, else as 1e+16. Java before 19 gives a longer text for some doubles from 1e16 up."""
     raw = F.regexp_replace(F.abs(x).cast("string"), r"\.0E", "E")
     mantissa, power = F.regexp_extract(raw, r"^([\d.]+)E", 1), F.regexp_extract(raw, r"E(-?\d+)$", 1).try_cast("int")
     figures = F.replace(mantissa, F.lit("."), F.lit(""))

@@ -130,7 +130,7 @@ def executions(trades: DataFrame) -> DataFrame:
 
 
 def _cash_id() -> Column:
-    stamp = F.concat(F.date_format("Timestamp", "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.expr("extract(MICROSECONDS FROM Timestamp) % 1000000") != 0, F.date_format("Timestamp", ".SSSSSS")).otherwise(""), F.lit("+00:00"))
+    stamp = F.concat(F.date_format("Timestamp", "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.unix_micros("Timestamp") % 1000000 != 0, F.date_format("Timestamp", ".SSSSSS")).otherwise(""), F.lit("+00:00"))
     return fingerprint("syn-", F.col("Account"), stamp, F.col("Type"), F.col("Sym"), decimal_text(F.col("Amount")), F.col("Currency"))
 
 
