@@ -2,7 +2,7 @@
 
 A shard is a run of documents of about SHARD_BYTES. Its words, with a separator after each document, are
 sorted as suffixes; the Burrows-Wheeler transform of the sequence is kept as a wavelet matrix with prefix
-counts, beside every SAMPLE-th suffix position. All benchmark phrases, the windows of ngram words of each
+counts, beside every SAMPLE-th suffix position and those of the documents' first words. All benchmark phrases, the windows of ngram words of each
 item, are searched backwards together by wavelet ranks; the occurrences are located by walking to a sampled
 position, and overlapping or touching ones are merged to removal spans.
 
@@ -13,17 +13,17 @@ scratch folder once and searched with one block of phrases after another.
 from __future__ import annotations
 
 import io
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import textnum as N
-from .shared import BROADCAST_BYTES, parked, pick
+from .shared import BROADCAST_BYTES, parked, pick, schema_with
+from .substring import remove_spans
 
 NGRAM = 13
 SHARD_BYTES = 4 << 20
@@ -44,7 +44,8 @@ class FMIndex:
         sa = N.suffix_array(N.suffix_ranks(text, keep_all=False)[-1][1])
         counts = np.bincount(text, minlength=len(self.vocabulary) + 1) if n else np.zeros(1, np.int64)
         self.below = np.cumsum(counts) - counts
-        marked = sa % sample == 0
+        # a document's first word is sampled too, so no walk steps over a separator, where the order of rows isn't kept
+        marked = (sa % sample == 0) | (text[sa - 1] == 0)
         self.marks = np.append(0, np.cumsum(marked)).astype(np.int32)
         self.samples = sa[marked].astype(np.int32)
         self.bwt = text[sa - 1].astype(np.int32)
@@ -207,16 +208,19 @@ def contaminated_spans(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id"
             def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
                     for i, j, w in _shards(batch.column(1), shard_bytes):
-                        yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).slice(i, j - i).cast(pa.int64()).to_pylist()], pa.list_(pa.int64())), pa.array([FMIndex(w.hashes, w.first).dump()], pa.binary())], names=["ids", "fm"])
+                        ids = batch.column(0).slice(i, j - i).cast(pa.int64()).to_pylist()
+                        yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([ids], pa.list_(pa.int64())), pa.array([FMIndex(w.hashes, w.first).dump()], pa.binary())], names=["shard", "ids", "fm"])
 
-            index = parked(both.mapInArrow(build, "ids array<long>, fm binary"), "fm-index")
+            index = parked(both.mapInArrow(build, "shard string, ids array<long>, fm binary"), "fm-index")
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for ids, fm in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    yield _span_batch(pa.array(ids, pa.int64()), *shard_spans(FMIndex.load(fm.as_py()), *sent.value))
+                for shard, ids, fm in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                    d, s, n, found = shard_spans(FMIndex.load(fm.as_py()), *sent.value)
+                    spans = _span_batch(pa.array(ids, pa.int64()), d, s, n, found)
+                    yield spans.append_column("row", pa.array([f"{shard}-{k}" for k in d.tolist()], pa.string()))
 
-        out.append(parked(index.mapInArrow(search, _SPANS), "spans"))
+        out.append(parked(index.mapInArrow(search, f"{_SPANS}, row string"), "spans"))
     return _united(out)
 
 
@@ -225,48 +229,48 @@ def _united(parts: list[DataFrame]) -> DataFrame:
     every = parts[0]
     for x in parts[1:]:
         every = every.unionByName(x)
-    w = "PARTITION BY doc_id ORDER BY start_word, n_words ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    w = "PARTITION BY row ORDER BY start_word, n_words ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     run = every.selectExpr("*", f"CASE WHEN start_word <= max(start_word + n_words) OVER ({w}) THEN 0 ELSE 1 END AS fresh")
-    run = run.selectExpr("*", "sum(fresh) OVER (PARTITION BY doc_id ORDER BY start_word, n_words ROWS UNBOUNDED PRECEDING) AS part")
-    return run.groupBy("doc_id", "part").agg(F.min("start_word").alias("start_word"), (F.max(F.expr("start_word + n_words")) - F.min("start_word")).alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids")).drop("part")
+    run = run.selectExpr("*", "sum(fresh) OVER (PARTITION BY row ORDER BY start_word, n_words ROWS UNBOUNDED PRECEDING) AS part")
+    return run.groupBy("row", "part").agg(F.first("doc_id").alias("doc_id"), F.min("start_word").alias("start_word"), (F.max(F.expr("start_word + n_words")) - F.min("start_word")).alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids")).drop("row", "part")
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, text_col: str = "text", n_chars_col: str | None = "n_chars", item_col: str = "item_id", item_text_col: str = "text", *, ngram: int = NGRAM, shard_bytes: int = SHARD_BYTES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """docs with the text of every removal span of contaminated_spans() cut out, from its first to its last word, and n_chars recounted.
 
     All rows stay, in all columns; a text that was wholly contaminated becomes empty, a null one stays null.
-    Each block of phrases is removed in a pass of its own where the benchmark is too large to broadcast.
+    Where the benchmark is too large to broadcast, the spans of all its blocks are found first, and cut out by a join.
     """
-    schema, at = docs.schema, docs.columns.index(text_col)
+    at = docs.columns.index(text_col)
     count = docs.columns.index(n_chars_col) if n_chars_col in docs.columns else None
-    kind = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
-    for grams, items, _ in _blocks(bench, item_col, item_text_col, ngram, broadcast_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast((grams, items))
-
-        def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts, cut = batch.column(at), {}
-                data, offsets = N.utf8(texts)
-                for i, j, w in _shards(texts, shard_bytes):
-                    d, s, n, _ids = shard_spans(FMIndex(w.hashes, w.first), *sent.value)
-                    for doc, a, b in zip(d.tolist(), w.start[w.first[d] + s].tolist(), w.end[w.first[d] + s + n - 1].tolist()):
-                        cut.setdefault(i + doc, []).append((a + int(offsets[i]), b + int(offsets[i])))
-                if cut:
-                    new = texts.to_pylist()
-                    for doc, spans in cut.items():
-                        edges = [int(offsets[doc]), *(x for span in spans for x in span), int(offsets[doc + 1])]
-                        new[doc] = b"".join(data[a:b].tobytes() for a, b in zip(edges[::2], edges[1::2])).decode()
-                    columns = batch.columns
-                    columns[at] = pa.array(new, texts.type)
-                    if count is not None:
-                        rows = pa.array(sorted(cut))
-                        long = pc.utf8_length(columns[at].take(rows)).to_pylist()
-                        old = columns[count].to_pylist()
-                        for r, x in zip(rows.to_pylist(), long):
-                            old[r] = x
-                        columns[count] = pa.array(old, batch.column(count).type)
-                    batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-                yield batch
-
-        docs = docs.mapInArrow(clean, kind)
-    return docs
+    grams, items, alone = next(_blocks(bench, item_col, item_text_col, ngram, broadcast_bytes))
+    if not alone:
+        numbered = parked(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+        spans = contaminated_spans(numbered, bench, "__row", text_col, item_col, item_text_col, ngram=ngram, shard_bytes=shard_bytes, broadcast_bytes=broadcast_bytes)
+        return remove_spans(numbered, spans, "__row", text_col, n_chars_col).drop("__row")
+    sent = docs.sparkSession.sparkContext.broadcast((grams, items))
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, cut = batch.column(at), {}
+            data, offsets = N.utf8(texts)
+            for i, j, w in _shards(texts, shard_bytes):
+                d, s, n, _ids = shard_spans(FMIndex(w.hashes, w.first), *sent.value)
+                for doc, a, b in zip(d.tolist(), w.start[w.first[d] + s].tolist(), w.end[w.first[d] + s + n - 1].tolist()):
+                    cut.setdefault(i + doc, []).append((a + int(offsets[i]), b + int(offsets[i])))
+            if cut:
+                new = texts.to_pylist()
+                for doc, spans in cut.items():
+                    edges = [int(offsets[doc]), *(x for span in spans for x in span), int(offsets[doc + 1])]
+                    new[doc] = b"".join(data[a:b].tobytes() for a, b in zip(edges[::2], edges[1::2])).decode()
+                columns = batch.columns
+                columns[at] = pa.array(new, texts.type)
+                if count is not None:
+                    old = columns[count].to_pylist()
+                    for doc in cut:
+                        old[doc] = len(new[doc])
+                    columns[count] = pa.array(old, batch.column(count).type)
+                batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            yield batch
+
+    return docs.mapInArrow(clean, schema_with(docs))

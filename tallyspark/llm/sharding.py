@@ -52,16 +52,16 @@ def shards(docs: DataFrame, keys: tuple[str, ...] = ("source", "doc_id"), text_c
     sample = slim.where("b > 0").select("k", (-F.log(u) / F.col("b")).alias("clock")).orderBy("clock", "k").limit(ranges * oversample)
     chosen = [r["k"] for r in sample.select("k").orderBy("k").collect()]
     points = list(dict.fromkeys(chosen[i * len(chosen) // ranges] for i in range(1, ranges))) if chosen else []
-    splitters = F.broadcast(spark.createDataFrame([(points,)], T.StructType([T.StructField("points", T.ArrayType(slim.schema["k"].dataType))])))
+    splitters = F.broadcast(spark.createDataFrame([(points,)], T.StructType([T.StructField("__points", T.ArrayType(slim.schema["k"].dataType))])))
 
-    ranged = slim.crossJoin(splitters).select("k", "b", _rank("points", F.col("k")).alias("range_id"))
+    ranged = slim.crossJoin(splitters).select("k", "b", _rank("__points", F.col("k")).alias("range_id"))
     sizes = ranged.groupBy("range_id").agg(F.sum("b").alias("bytes")).where(F.col("bytes") > limit)
     by_key = ranged.join(F.broadcast(sizes), "range_id").groupBy("range_id", "k").agg(F.sum("b").alias("b"))
     running = by_key.withColumn("sub", F.expr(f"floor((sum(b) OVER (PARTITION BY range_id ORDER BY k ROWS UNBOUNDED PRECEDING) - b) / {limit})"))
-    cuts = running.groupBy("range_id", "sub").agg(F.min("k").alias("k")).where("sub > 0").groupBy("range_id").agg(F.collect_list("k").alias("cuts"))
+    cuts = running.groupBy("range_id", "sub").agg(F.min("k").alias("k")).where("sub > 0").groupBy("range_id").agg(F.collect_list("k").alias("__cuts"))
     cuts = parked(cuts, "cuts")
-    held = cuts.agg(F.coalesce(F.sum(F.size("cuts")), F.lit(0)).alias("n")).first()["n"] * 100
+    held = cuts.agg(F.coalesce(F.sum(F.size("__cuts")), F.lit(0)).alias("n")).first()["n"] * 100
     side = F.broadcast(cuts) if held <= BROADCAST_BYTES else cuts
 
-    placed = docs.crossJoin(splitters).withColumn("range_id", _rank("points", key)).drop("points").join(side, "range_id", "left").withColumn("sub_id", _rank("cuts", key)).select(*map(_quoted, docs.columns), "range_id", "sub_id")
+    placed = docs.crossJoin(splitters).withColumn("range_id", _rank("__points", key)).drop("__points").join(side, "range_id", "left").withColumn("sub_id", _rank("__cuts", key)).select(*map(_quoted, docs.columns), "range_id", "sub_id")
     return placed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "range_id", "sub_id").sortWithinPartitions("range_id", "sub_id", *map(_quoted, keys))
