@@ -23,6 +23,8 @@ DIM = 1024
 NGRAM = 3
 #: Labelled rows of each language that prototypes are fitted on, at most.
 SAMPLE_PER_LANGUAGE = 400
+#: Languages at most; their prototypes lie on the driver.
+MAX_LANGUAGES = 2000
 MIN_COSINE = 0.12
 #: Texts of fewer n-grams are too short to tell from chance; they are not rejected for their cosine.
 MIN_GRAMS = 64
@@ -115,11 +117,17 @@ def prototypes(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Each language's prototype, of length 1, from the sample_per_language labelled rows whose ids have the least hashes.
 
     Rows with a null language or id are passed over, texts without letters add nothing; rows that tie with the last sampled hash are
-    taken too. The texts are bundled where they lie; only sums, a vector a language and task, come to the driver.
+    taken too. More than MAX_LANGUAGES languages raise ValueError. The texts are bundled where they lie; only sums, a vector a language and task, come to the driver.
     """
     rows = pick(labelled, doc_id=id_col, text=text_col, lang=lang_col).where("lang IS NOT NULL AND doc_id IS NOT NULL").withColumn("h", F.xxhash64("doc_id"))
     cut = rows.select("lang", "h").withColumn("n", F.expr("row_number() OVER (PARTITION BY lang ORDER BY h)")).where(F.col("n") <= sample_per_language).groupBy("lang").agg(F.max("h").alias("cut"))
-    sampled = rows.join(F.broadcast(cut), "lang").where("h <= cut").select("lang", "text")
+    cuts = cut.limit(MAX_LANGUAGES + 1).collect()
+    if len(cuts) > MAX_LANGUAGES:
+        raise ValueError(f"there are more than {MAX_LANGUAGES} languages")
+    if not cuts:
+        return {}
+    last = F.create_map(*[F.lit(x) for r in cuts for x in (r["lang"], r["cut"])])
+    sampled = rows.where(F.col("h") <= last[F.col("lang")]).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontam, langid, lines, packing, quality, sharding, simhash, store, substring, warc
 
@@ -58,8 +59,9 @@ def op9_quality_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The spans of documents that benchmark phrases cover."""
-    return decontam.contaminated_spans(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    """The spans of documents that benchmark phrases cover, with the items' ids as text."""
+    spans = decontam.contaminated_spans(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return spans.withColumn("item_ids", F.array_join("item_ids", ","))
 
 
 QUERIES = {
@@ -93,7 +95,26 @@ hit AS (SELECT doc_id, s, item_id FROM dg JOIN bg USING (g)),
 place AS (SELECT DISTINCT doc_id, s FROM hit),
 fresh AS (SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 13 THEN 0 ELSE 1 END AS f FROM place),
 run AS (SELECT doc_id, s, sum(f) OVER (PARTITION BY doc_id ORDER BY s) AS r FROM fresh)
-SELECT run.doc_id, min(run.s)::BIGINT AS start_word, (max(run.s) - min(run.s) + 13)::BIGINT AS n_words, list_sort(list_distinct(list(hit.item_id))) AS item_ids
+SELECT run.doc_id, min(run.s)::BIGINT AS start_word, (max(run.s) - min(run.s) + 13)::BIGINT AS n_words, array_to_string(list_sort(list_distinct(list(hit.item_id))), ',') AS item_ids
 FROM run JOIN hit USING (doc_id, s) GROUP BY run.doc_id, run.r
+""",
+    "op5_substring_dedup": rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+g AS (SELECT doc_id, i - 1 AS s, hash(w[i:i + {substring.MIN_WORDS - 1}]) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - {substring.MIN_WORDS - 2})) AS i FROM d)),
+hit AS (SELECT DISTINCT doc_id, s FROM (SELECT *, min(doc_id) OVER (PARTITION BY h) AS first FROM g) WHERE first < doc_id),
+fresh AS (SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= {substring.MIN_WORDS} THEN 0 ELSE 1 END AS f FROM hit),
+run AS (SELECT doc_id, s, sum(f) OVER (PARTITION BY doc_id ORDER BY s) AS r FROM fresh)
+SELECT doc_id, min(s)::BIGINT AS start_word, (max(s) - min(s) + {substring.MIN_WORDS})::BIGINT AS n_words FROM run GROUP BY doc_id, r
+""",
+    "op9_quality_repetition": rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+g AS (SELECT doc_id, i, hash(w[i:i + {quality.MIN_WORDS - 1}]) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - {quality.MIN_WORDS - 2})) AS i FROM d)),
+pair AS (SELECT a.doc_id, a.i, b.i - a.i AS far FROM g a JOIN g b ON a.doc_id = b.doc_id AND a.h = b.h AND a.i < b.i),
+run AS (SELECT doc_id, count(*) + {quality.MIN_WORDS - 1} AS long FROM (SELECT doc_id, far, i - row_number() OVER (PARTITION BY doc_id, far ORDER BY i) AS r FROM pair) GROUP BY doc_id, far, r),
+longest AS (SELECT doc_id, max(long) AS long FROM run GROUP BY doc_id),
+place AS (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, h) AS n FROM g) WHERE n > 1),
+covered AS (SELECT doc_id, sum(least({quality.MIN_WORDS}, coalesce(next - i, {quality.MIN_WORDS}))) AS words FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM place) GROUP BY doc_id),
+f AS (SELECT d.doc_id, len(w) AS n, coalesce(words, 0) AS words, coalesce(long, 0) AS long FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN longest USING (doc_id))
+SELECT doc_id, n::BIGINT AS n_words, words::BIGINT AS repeated_words, long::BIGINT AS longest_repeat, CASE WHEN n > 0 THEN words / n ELSE 0.0 END AS repeated_fraction FROM f WHERE (n = 0 OR words / n <= {quality.MAX_COVERED}) AND long <= {quality.MAX_LONGEST}
 """,
 }
