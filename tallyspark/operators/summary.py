@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 from datetime import date, datetime
 from pathlib import Path
@@ -203,6 +204,18 @@ def relative_summary(portfolio: Any, benchmark: DataFrame, *, account: str | Non
     return RelativeSummary(benchmark_label=label, dropped_periods=lost, **found[0].asDict())
 
 
+def relative_metrics(spark: SparkSession, portfolio_returns: Sequence[float], benchmark_returns: Sequence[float], **how: Any) -> RelativeSummary:
+    """Two plain series of returns against each other, without dates; label and dates stay unset. ValueError for unequal lengths or fewer than two."""
+    if len(portfolio_returns) != len(benchmark_returns):
+        raise ValueError(f"the series have different lengths, {len(portfolio_returns)} and {len(benchmark_returns)}")
+    pairs = [(float(p), float(b), date.min) for p, b in zip(portfolio_returns, benchmark_returns)]
+    both = spark.createDataFrame(pairs, "p double, b double, later_date date").withColumn("Account", F.lit(None).cast("string"))
+    found = B.relative(both, **how).drop("Account", "start", "end").collect()
+    if not found:
+        raise ValueError("the series have fewer than two returns")
+    return RelativeSummary(benchmark_label="<returns>", dropped_periods=0, start=date.min, end=date.min, **found[0].asDict())
+
+
 @dataclass(frozen=True)
 class JournalResult:
     """Statistics over closed round trips, whole and by group, with what is still open beside them."""

@@ -172,3 +172,22 @@ def pnl_snapshot(pnl: DataFrame, symbols: DataFrame) -> DataFrame:
     view = View("position_pnl", "accounts_pnl_single", VIEWS["position_pnl"].names, whole="ConId")
     table = apply_view(view, {"accounts_pnl_single": pnl}).drop("Sym")
     return CATALOG["position_pnl"].project(natural_join(table, symbols.withColumn(SEQ, F.lit(0)), [("ConId", "ConId")], ["Sym"]))
+
+
+def raw_rows(df: DataFrame, predicate: str | None = None) -> DataFrame:
+    """The rows of a raw table that fulfil a predicate, which reaches the scan; all of them without one."""
+    from ..functions.expr import compile_predicate
+    from ..types import schema_of
+
+    return df.where(compile_predicate(predicate, schema_of(df))) if predicate else df
+
+
+def table_snapshot(name: str, raw: Mapping[str, DataFrame], only: str | None = None) -> DataFrame:
+    """The declared columns of one canonical table, of one account if named; an empty table where its raw table is missing."""
+    schema = CATALOG[name]
+    made = canonical(raw)
+    if name not in made:
+        spark = next(iter(raw.values())).sparkSession
+        return spark.createDataFrame([], schema.spark)
+    out = schema.project(made[name])
+    return out.where(F.col("Account") == only) if only and "Account" in schema.names else out

@@ -10,7 +10,7 @@ from tallyspark.operators import diagnostics as D
 from tallyspark.operators import market as M
 from tallyspark.operators import returns as R
 from tallyspark.operators import roundtrips as RT
-from tallyspark.operators.summary import journal_of, relative_summary
+from tallyspark.operators.summary import journal_of, relative_metrics, relative_summary
 from pyspark.sql import functions as F
 
 T0 = datetime(2026, 1, 28)
@@ -89,6 +89,21 @@ def test_a_levered_portfolio_has_its_beta(spark):
     assert B.rolling_relative(both.unionByName(both.limit(0)), window=3).count() == 1
 
 
+def test_plain_series_against_the_formulas(spark):
+    p, b = [0.01, -0.02, 0.015, 0.003], [0.008, -0.01, 0.02, -0.001]
+    s = relative_metrics(spark, p, b)
+    mp, mb, rf = statistics.mean(p), statistics.mean(b), 0.0378 / 252
+    beta = statistics.covariance(p, b) / statistics.variance(b)
+    active = [x - y for x, y in zip(p, b)]
+    assert s.beta == pytest.approx(beta) and s.alpha_annualized == pytest.approx(((mp - rf) - beta * (mb - rf)) * 252)
+    assert s.correlation == pytest.approx(statistics.correlation(p, b)) and s.r_squared == pytest.approx(s.correlation**2)
+    assert s.tracking_error == pytest.approx(statistics.stdev(active) * math.sqrt(252)) and s.information_ratio == pytest.approx(statistics.mean(active) / statistics.stdev(active) * math.sqrt(252))
+    assert s.down_capture == pytest.approx((0.98 * 1.003 - 1) / (0.99 * 0.999 - 1)) and s.benchmark_label == "<returns>" and "From" not in s.render()
+    for bad in (([0.1], [0.1]), ([0.1, 0.2], [0.1])):
+        with pytest.raises(ValueError):
+            relative_metrics(spark, *bad)
+
+
 def fills(spark, rows):
     return spark.createDataFrame([(s, side, float(q), float(p), T0 + timedelta(minutes=m), float(pnl), float(fee), 1.0, "x", i) for i, (s, side, q, p, m, pnl, fee) in enumerate(rows)], "Sym string, Side string, Qty double, Price double, Timestamp timestamp, RealizedPnl double, Commission double, Multiplier double, Strategy string, _seq long")
 

@@ -69,3 +69,14 @@ def test_severity_is_computed_where_the_feed_has_none(spark):
     assert [r["Severity"] for r in got] == ["GENUINE_ERROR", "INFORMATIONAL"]
     with pytest.raises(KeyError):
         V.apply_view(V.VIEWS["news"], {})
+
+
+def test_snapshots(spark):
+    pos = frame(spark, "Account string, ContractId long, Symbol string, Position double", ("U1", 1, "A", 1.0), ("U2", 2, "B", 2.0))
+    raw = {"accounts_positions": pos}
+    assert V.raw_rows(pos, "Account == 'U1' && Position > 0").count() == 1 and V.raw_rows(pos).count() == 2
+    assert V.table_snapshot("position", raw, "U2").collect()[0]["Sym"] == "B" and V.table_snapshot("position", raw).count() == 2
+    nothing = V.table_snapshot("order", raw)
+    assert nothing.count() == 0 and nothing.columns == CATALOG["order"].names
+    with pytest.raises(ValueError):
+        V.raw_rows(pos, "Nope > 1")
