@@ -2,8 +2,8 @@
 
 Rolling hashes over WINDOW ids cut a document's stream of ids where they hit a pattern, so equal stretches are cut
 alike wherever they stand. Chunks are named by a BLAKE2b digest of their ids; equal chunks meet
-in one shuffle, where each digest's ids are stored once, while each document's references go to its recipe. The recipe's Merkle root
-stands in the manifest. Verification recomputes the digest of every stored chunk, the presence of every reference and every root,
+in one shuffle, where each digest's ids are stored once, beside the references of which recipes consist. The manifest has each
+document's Merkle root, taken when it was cut. Verification recomputes the digest of every stored chunk, the presence of every reference and every root,
 which proves each document's reconstruction without moving its ids again; reconstruct() does move them.
 """
 
@@ -14,29 +14,39 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnum as N
 from .shared import pick, scratch_path
-from .tokens import VOCABULARY, ids
+from .tokens import VOCABULARY, encoder, ids
 
 #: Ids that the rolling hash covers; a cut comes once in MEAN ids on average, and after LONGEST ids at the latest.
 WINDOW, MEAN, LONGEST = 16, 256, 1024
 
-_CHUNK = "doc_key long, doc_id long, n_chunks int, seq int, digest binary, n_ids int, ids binary"
+#: Ids that one vectorised step handles.
+_STEP = 1 << 20
 
+_CHUNK = "doc_key long, doc_id long, n_chunks int, seq int, digest binary, n_ids long, ids binary, root binary"
+_NAMES = ["doc_key", "doc_id", "n_chunks", "seq", "digest", "n_ids", "ids", "root"]
+_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
 
-def cuts(stream: np.ndarray, window: int = WINDOW, mean: int = MEAN, longest: int = LONGEST) -> np.ndarray:
-    """Ends of the chunks of a stream: where the hash of the last `window` ids is 0 modulo `mean`, and every `longest` ids in between."""
-    n = len(stream)
+
+def cuts(stream: np.ndarray, edges: np.ndarray, window: int = WINDOW, mean: int = MEAN, longest: int = LONGEST) -> np.ndarray:
+    """Ends of the chunks of streams that lie in a row, from edges[k] to edges[k + 1]: their own ends, where the hash of the last `window` ids of one
+    is 0 modulo `mean`, and every `longest` ids in between."""
+    own = np.unique(edges[1:][edges[1:] > edges[:-1]])
+    if not len(own):
+        return own
     h = N.grams(N.mix(stream.astype(np.uint64) + np.uint64(1)), window)
-    ends = np.append(np.flatnonzero(h % np.uint64(mean) == 0) + window, n)
-    ends = ends[np.append(True, ends[1:] != ends[:-1])]
+    hit = np.flatnonzero(h % np.uint64(mean) == 0)
+    inside = np.searchsorted(own, hit, "right") == np.searchsorted(own, hit + window - 1, "right")
+    ends = np.union1d(hit[inside] + window, own)
     begin = np.append(0, ends[:-1])
     extra = np.maximum(0, -(-(ends - begin) // longest) - 1)
     inner = np.repeat(begin - (np.cumsum(extra) - extra) * longest, extra) + (np.arange(extra.sum()) + 1) * longest
-    return np.sort(np.append(ends, inner)) if n else np.zeros(0, np.int64)
+    return np.sort(np.append(ends, inner))
 
 
 def digest(chunk: bytes) -> bytes:
@@ -51,44 +61,59 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+def _chunks(keys: list, docs: list, texts: list, streams: list[np.ndarray], here: set[bytes], how: tuple[int, int, int]) -> pa.RecordBatch:
+    """Rows of the chunks of some documents; the ids of a chunk that this task has given before are left out."""
+    edges = np.cumsum([0, *map(len, streams)])
+    every = np.concatenate(streams)
+    ends = cuts(every, edges, *how)
+    begins = np.append(0, ends[:-1])
+    raw, size = every.tobytes(), every.itemsize
+    parts = [raw[a:b] for a, b in zip((begins * size).tolist(), (ends * size).tolist())]
+    names = [digest(x) for x in parts]
+    bodies = []
+    for name, part in zip(names, parts):
+        bodies.append(None if name in here else part)
+        here.add(name)
+    at = np.searchsorted(ends, edges, "right")
+    n = np.diff(at)
+    rows: list[list] = [[] for _ in _NAMES]
+    for key, doc, text, first, k in zip(keys, docs, texts, at.tolist(), n.tolist()):
+        mine = names[first : first + k]
+        root = merkle(mine)
+        one = max(k, 1)
+        rows[0] += [key] * one
+        rows[1] += [doc] * one
+        rows[2] += [k if text is not None else -1] * one
+        rows[3] += range(k) if k else [-1]
+        rows[4] += mine or [None]
+        rows[5] += (ends[first : first + k] - begins[first : first + k]).tolist() or [0]
+        rows[6] += bodies[first : first + k] or [None]
+        rows[7] += [root] + [None] * (one - 1)
+    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(rows, _KINDS)], names=_NAMES)
+
+
 def save(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", *, vocabulary: str = VOCABULARY, window: int = WINDOW, mean: int = MEAN, longest: int = LONGEST) -> None:
-    """Writes folder/store, its parts kind=chunk (digest, ids; once each) and kind=reference (doc_key, seq, digest), and folder/manifest.
+    """Writes folder/store in one pass, by kind: chunk (digest, ids; each digest once), reference (doc_key, seq, digest), manifest (doc_key, root).
 
-    Ids are stored as four little-endian bytes each. doc_key numbers the rows, since ids may be null or repeat. A null
-    text is kept as null, n_chunks -1, beside an empty one, n_chunks 0: both have a row of seq -1 without a digest. Other columns are left out.
+    Ids are stored in two little-endian bytes each where the vocabulary has at most 65536, else in four. doc_key numbers the rows, since ids may be null or repeat. A null
+    text is kept as null, n_chunks -1, beside an empty one, n_chunks 0: both have a reference of seq -1 without a digest. Other columns are left out.
     """
     spark = docs.sparkSession
 
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here: set[bytes] = set()
+        narrow = np.uint16 if encoder(vocabulary).n_vocab <= 1 << 16 else np.uint32
         for batch in batches:
-            rows: list[list] = [[] for _ in range(7)]
-            size = 0
-
-            def add(*values, rows=rows) -> None:
-                for column, x in zip(rows, values):
-                    column.append(x)
-
-            for key, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
-                stream = ids(text, vocabulary)
-                ends = cuts(stream, window, mean, longest).tolist()
-                raw = stream.tobytes()
-                if not ends:
-                    add(key, doc, -1 if text is None else 0, -1, None, 0, None)
-                for seq, (a, b) in enumerate(zip([0, *ends], ends)):
-                    own = raw[4 * a : 4 * b]
-                    name = digest(own)
-                    add(key, doc, len(ends), seq, name, b - a, None if name in here else own)
-                    here.add(name)
-                size += len(raw)
-                if len(here) > 1 << 20:
-                    here.clear()
-                if size > 1 << 23:
-                    yield _chunk_batch(rows)
-                    size = 0
-                    for column in rows:
-                        column.clear()
-            yield _chunk_batch(rows)
+            keys, docs, texts = (c.to_pylist() for c in batch.columns)
+            first, streams, held = 0, [], 0
+            for k, text in enumerate(texts):
+                streams.append(ids(text, vocabulary).astype(narrow))
+                held += len(streams[-1])
+                if held >= _STEP or k + 1 == len(texts):
+                    yield _chunks(keys[first : k + 1], docs[first : k + 1], texts[first : k + 1], streams, here, (window, mean, longest))
+                    first, streams, held = k + 1, [], 0
+            if len(here) > 1 << 20:
+                here.clear()
 
     slim = pick(docs, doc_id=id_col, text=text_col).select(F.monotonically_increasing_id().alias("doc_key"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
     chunks = slim.mapInArrow(chunk, _CHUNK)
@@ -98,41 +123,34 @@ def save(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
-            names, n = batch.column("digest"), batch.num_rows
-            listed = names.to_pylist()
-            first = np.array([x is not None and x != y for x, y in zip(listed, [last, *listed])][:n], bool)
-            last = listed[-1] if n else last
-            stored = batch.filter(pa.array(first))
-            none = pa.nulls(stored.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(["chunk"] * stored.num_rows), none, none, none.cast(pa.int32()), none.cast(pa.int32()), stored["digest"], stored["n_ids"], stored["ids"]], names=_NAMES)
-            yield pa.RecordBatch.from_arrays([pa.array(["reference"] * n), batch["doc_key"], batch["doc_id"], batch["n_chunks"], batch["seq"], names, batch["n_ids"], pa.nulls(n, pa.binary())], names=_NAMES)
+            names = batch["digest"]
+            if not batch.num_rows:
+                continue
+            fresh = pa.concat_arrays([pa.array([names[0].as_py() != last]), pc.fill_null(pc.not_equal(names.slice(1), names.slice(0, len(names) - 1)), False)])
+            last = names[len(names) - 1].as_py()
+            for kind, kept, columns in (("chunk", pc.and_(fresh, pc.is_valid(names)), {"digest", "n_ids", "ids"}), ("reference", None, {"doc_key", "doc_id", "n_chunks", "seq", "digest", "n_ids"}), ("manifest", pc.is_valid(batch["root"]), {"doc_key", "doc_id", "n_chunks", "root"})):
+                rows = batch.filter(kept) if kept is not None else batch
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * rows.num_rows, pa.string()), *(rows[c] if c in columns else pa.nulls(rows.num_rows, k) for c, k in zip(_NAMES, _KINDS))], names=["kind", *_NAMES])
 
     met.mapInArrow(split, f"kind string, {_CHUNK}").write.partitionBy("kind").parquet(f"{folder}/store")
-    recipes(spark, folder).select("doc_key", "doc_id", "n_ids", "n_chunks", "root").write.parquet(f"{folder}/manifest")
-
-
-_NAMES = ["kind", "doc_key", "doc_id", "n_chunks", "seq", "digest", "n_ids", "ids"]
-
-
-def _chunk_batch(rows: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds)], names=_NAMES[1:])
 
 
 def _stored(spark: SparkSession, folder: str, kind: str) -> DataFrame:
-    return spark.read.schema(_CHUNK).parquet(f"{folder}/store/kind={kind}")
+    return spark.read.schema(f"{_CHUNK}, kind string").parquet(f"{folder}/store").where(F.col("kind") == kind).drop("kind")
 
 
 def recipes(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_key, doc_id, n_ids, n_chunks, digests, root): each document's references in order, and their Merkle root."""
-    listed = _stored(spark, folder, "reference").groupBy("doc_key").agg(F.first("doc_id").alias("doc_id"), F.sum("n_ids").alias("n_ids"), F.max("n_chunks").alias("n_chunks"), F.array_sort(F.collect_list(F.when(F.col("seq") >= 0, F.struct("seq", "digest")))).alias("digests"))
+    """(doc_key, n_ids, digests, root): each document's references in order, and their Merkle root as the stored references give it."""
+    listed = _stored(spark, folder, "reference").groupBy("doc_key").agg(F.sum("n_ids").alias("n_ids"), F.array_sort(F.collect_list(F.when(F.col("seq") >= 0, F.struct("seq", "digest")))).alias("digests"))
 
     def root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            roots = pa.array([merkle([x["digest"] for x in leaves]) for leaves in batch.column("digests").to_pylist()], pa.binary())
+            column = batch.column("digests")
+            names, edges = column.flatten().field("digest").to_pylist(), np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy())]).tolist()
+            roots = pa.array([merkle(names[a:b]) for a, b in zip(edges, edges[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, roots], names=[*batch.schema.names, "root"])
 
-    return listed.mapInArrow(root, "doc_key long, doc_id long, n_ids long, n_chunks int, digests array<struct<seq: int, digest: binary>>, root binary")
+    return listed.mapInArrow(root, "doc_key long, n_ids long, digests array<struct<seq: int, digest: binary>>, root binary")
 
 
 def verify(spark: SparkSession, folder: str) -> DataFrame:
@@ -144,28 +162,28 @@ def verify(spark: SparkSession, folder: str) -> DataFrame:
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = pa.array([ids is not None and digest(ids) == name and len(ids) == 4 * n for name, n, ids in zip(*(c.to_pylist() for c in batch.columns))], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), good], names=["digest", "stored_ids", "good"])
+            good = [own is not None and digest(own) == name and len(own) in (2 * n, 4 * n) for name, n, own in zip(*(c.to_pylist() for c in batch.columns))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], names=["digest", "stored_ids", "good"])
 
-    chunks = _stored(spark, folder, "chunk").select("digest", "n_ids", "ids").mapInArrow(test, "digest binary, stored_ids int, good boolean")
-    chunks = chunks.groupBy("digest").agg(F.first("stored_ids").alias("stored_ids"), (F.min("good") & (F.count("*") == 1)).alias("good"))
+    chunks = _stored(spark, folder, "chunk").select("digest", "n_ids", "ids").mapInArrow(test, "digest binary, stored_ids long, good boolean")
+    chunks = chunks.groupBy("digest").agg(F.min("stored_ids").alias("stored_ids"), (F.min("good") & (F.count("*") == 1)).alias("good"))
     references = _stored(spark, folder, "reference").where("digest IS NOT NULL").select("doc_key", "digest", "n_ids")
     lost = references.join(chunks, "digest", "left").where("NOT coalesce(good AND stored_ids = n_ids, false)").select("doc_key").distinct().withColumn("lost", F.lit(True))
-    whole = F.expr("size(digests) = greatest(n_chunks, 0) AND transform(digests, x -> x.seq) = transform(digests, (x, k) -> k)")
-    manifest = spark.read.parquet(f"{folder}/manifest")
-    again = recipes(spark, folder).select("doc_key", F.col("root").alias("root_again"), whole.alias("whole"))
+    manifest = _stored(spark, folder, "manifest").select("doc_key", "doc_id", "n_chunks", "root")
+    again = recipes(spark, folder).select("doc_key", "n_ids", F.size("digests").alias("found"), F.expr("transform(digests, x -> x.seq) = transform(digests, (x, k) -> k)").alias("numbered"), F.col("root").alias("root_again"))
     joined = manifest.join(again, "doc_key", "left").join(lost, "doc_key", "left")
-    return joined.select("doc_id", "n_ids", "n_chunks", F.hex("root").alias("root"), (F.coalesce(F.col("root") == F.col("root_again"), F.lit(False)) & F.coalesce("whole", F.lit(False)) & F.col("lost").isNull()).alias("verified"))
+    good = F.expr("coalesce(root = root_again AND numbered AND found = greatest(n_chunks, 0), false) AND lost IS NULL")
+    return joined.select("doc_id", "n_ids", "n_chunks", F.hex("root").alias("root"), good.alias("verified"))
 
 
 def reconstruct(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_key, doc_id, n_ids, ids): every document's ids put together from the store; null where its text was null."""
-    references = _stored(spark, folder, "reference").select("doc_key", "doc_id", "seq", "digest", "n_chunks")
-    parts = references.join(_stored(spark, folder, "chunk").select("digest", "ids"), "digest", "left").groupBy("doc_key").agg(F.first("doc_id").alias("doc_id"), F.max("n_chunks").alias("n_chunks"), F.array_sort(F.collect_list(F.struct("seq", "ids"))).alias("parts"))
+    references = _stored(spark, folder, "reference").select("doc_key", "doc_id", "seq", "digest", "n_chunks", "n_ids")
+    parts = references.join(_stored(spark, folder, "chunk").select("digest", "ids"), "digest", "left").groupBy("doc_key").agg(F.first("doc_id").alias("doc_id"), F.max("n_chunks").alias("n_chunks"), F.array_sort(F.collect_list(F.struct("seq", "n_ids", "ids"))).alias("parts"))
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole = [np.frombuffer(b"".join(p["ids"] or b"" for p in parts), np.uint32).tolist() if n >= 0 else None for n, parts in zip(batch.column("n_chunks").to_pylist(), batch.column("parts").to_pylist())]
+            whole = [[x for p in parts if p["ids"] for x in np.frombuffer(p["ids"], np.uint16 if len(p["ids"]) == 2 * p["n_ids"] else np.uint32).tolist()] if n >= 0 else None for n, parts in zip(batch.column("n_chunks").to_pylist(), batch.column("parts").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_key"), batch.column("doc_id"), pa.array([len(x or []) for x in whole], pa.int64()), pa.array(whole, pa.list_(pa.int64()))], names=["doc_key", "doc_id", "n_ids", "ids"])
 
     return parts.mapInArrow(put, "doc_key long, doc_id long, n_ids long, ids array<long>")
