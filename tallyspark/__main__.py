@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import argparse
-import json
 import sys
-from collections.abc import Sequence
+from argparse import ArgumentParser
+from json import dumps
 
 
-def main(argv: Sequence[str] | None = None) -> int:
+def main(arguments: list[str] | None = None) -> int:
     """0, or 2 where the statement or an argument can't be used."""
-    parser = argparse.ArgumentParser(prog="python -m tallyspark", description="Sharpe ratio and other figures from the daily equity of an account statement in XML.")
+    parser = ArgumentParser(prog="python -m tallyspark", description="Sharpe ratio and other figures from the daily equity of an account statement in XML.")
     parser.add_argument("statement", help="path of the statement")
-    parser.add_argument("--risk-free", default="auto", metavar="RATE", help="yearly rate as a fraction, or auto for the built-in one")
+    parser.add_argument("--risk-free", metavar="RATE", default="auto", help="yearly rate as a fraction, or auto for the built-in one")
     parser.add_argument("--periods", type=int, default=252, metavar="N", help="periods in a year")
     parser.add_argument("--account", metavar="ID", help="which account, if there are several")
-    parser.add_argument("--json", action="store_true", help="print JSON")
-    args = parser.parse_args(argv)
+    parser.add_argument("--json", help="print JSON", action="store_true")
+    args = parser.parse_args(arguments)
 
     from .errors import TallyError
     from .functions.rates import risk_free
@@ -30,7 +29,7 @@ def main(argv: Sequence[str] | None = None) -> int:
     except (TallyError, OSError, ValueError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 2
-    print(json.dumps(found.as_dict(), indent=2) if args.json else found.render())
+    print(dumps(found.as_dict(), indent=2) if args.json else found.render())
     return 0
 
 

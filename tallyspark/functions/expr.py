@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..types import DType, Schema, column
 
-_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*\Z")
+_NAME = re.compile(r"[^\W\d]\w*\Z", re.ASCII)
 _NUMBERS = {DType.INT64, DType.FLOAT64}
 _INF, _NAN = float("inf"), float("nan")
 
@@ -77,7 +77,7 @@ def _arith(op: ast.operator, a: Typed, b: Typed) -> Typed:
     return Typed(_APPLY[type(op)](a.value, b.value), dtype)
 
 
-_SIGNS = {ast.Add: "+", ast.Sub: "-", ast.Mult: "*", ast.Div: "/", ast.Mod: "%"}
+_SIGNS = dict(zip((ast.Div, ast.Mod, ast.Add, ast.Mult, ast.Sub), "/%+*-"))
 _APPLY: dict[type, Callable[[Column, Column], Column]] = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Mod: operator.mod}
 _COMPARE: dict[type, Callable[[Column, Column], Column]] = {ast.Eq: operator.eq, ast.NotEq: operator.ne, ast.Lt: operator.lt, ast.LtE: operator.le, ast.Gt: operator.gt, ast.GtE: operator.ge}
 

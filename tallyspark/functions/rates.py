@@ -9,7 +9,7 @@ RISK_FREE = 0.0378
 RISK_FREE_AS_OF = "2026-06-12"
 PERIODS_PER_YEAR = 252
 
-_FRIENDLY = {"1mo": "1 M", "3mo": "3 M", "6mo": "6 M", "1y": "1 Y", "2y": "2 Y", "5y": "5 Y", "max": "5 Y"}
+_FRIENDLY = {f"{n}mo": f"{n} M" for n in (1, 3, 6)} | {f"{n}y": f"{n} Y" for n in (1, 2, 5)} | {"max": "5 Y"}
 
 
 def risk_free(spec: str | float | None = None) -> tuple[float, str]:

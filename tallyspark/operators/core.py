@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import collections.abc as abc
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,21 +18,21 @@ def arrival(df: DataFrame) -> DataFrame:
     return df if SEQ in df.columns else df.withColumn(SEQ, F.monotonically_increasing_id())
 
 
-def last_by(df: DataFrame, keys: Sequence[str], seq: str = SEQ) -> DataFrame:
+def last_by(df: DataFrame, keys: abc.Sequence[str], seq: str = SEQ) -> DataFrame:
     """The row of each key that arrived last, whole, nulls in it kept. Partial results are combined before the shuffle."""
     rest = [c for c in df.columns if c not in keys]
     latest = df.groupBy(*map(column, keys)).agg(F.max_by(F.struct(*map(column, rest)), column(seq)).alias("__last"))
     return latest.select(*[column(c) if c in keys else F.col("__last").getField(c).alias(c) for c in df.columns])
 
 
-def first_by(df: DataFrame, keys: Sequence[str], seq: str = SEQ) -> DataFrame:
+def first_by(df: DataFrame, keys: abc.Sequence[str], seq: str = SEQ) -> DataFrame:
     """The row of each key that arrived first."""
     rest = [c for c in df.columns if c not in keys]
     first = df.groupBy(*map(column, keys)).agg(F.min_by(F.struct(*map(column, rest)), column(seq)).alias("__first"))
     return first.select(*[column(c) if c in keys else F.col("__first").getField(c).alias(c) for c in df.columns])
 
 
-def natural_join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], bring: Sequence[str], seq: str | None = SEQ) -> DataFrame:
+def natural_join(left: DataFrame, right: DataFrame, on: abc.Sequence[tuple[str, str]], bring: abc.Sequence[str], seq: str | None = SEQ) -> DataFrame:
     """left with columns of the one right row of equal keys, or nulls.
 
     Of several right rows with a key the one that arrived last counts, so left rows never multiply; with seq None the
@@ -49,7 +49,7 @@ def natural_join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]
     return joined.select(*[column(c) for c in left.columns if c not in bring], *[F.col(f"__b{i}").alias(b) for i, b in enumerate(bring)])
 
 
-def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], bring: Sequence[str], seq: str = SEQ) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, on: abc.Sequence[str], bring: abc.Sequence[str], seq: str = SEQ) -> DataFrame:
     """left with columns of the latest right row at or before it, or nulls.
 
     All of `on` but the last are keys that must be equal, the last is the ordered one. Of right rows at the same place the one that arrived
@@ -75,7 +75,7 @@ def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], bring: Seque
     return merged.select(*[F.col("__row").getField(c).alias(c) for c in names], *[hit.getField(f"b{i}").alias(b) for i, b in enumerate(bring)])
 
 
-def pivot_latest(df: DataFrame, by: Sequence[str], key: str, value: str, wanted: Mapping[str, str], driver: str, carry: Mapping[str, str] | None = None, seq: str = SEQ) -> DataFrame:
+def pivot_latest(df: DataFrame, by: abc.Sequence[str], key: str, value: str, wanted: abc.Mapping[str, str], driver: str, carry: abc.Mapping[str, str] | None = None, seq: str = SEQ) -> DataFrame:
     """A row for each `by` with the latest `value` of each wanted key as a column: {key: column name}.
 
     Only groups that have the driving key appear; `carry` brings further columns {column: name} of its latest row. One pass, whatever the number of keys.

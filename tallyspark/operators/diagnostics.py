@@ -53,7 +53,7 @@ def farm(message: Column) -> Column:
     """A struct (farm, kind, is_ok) for messages on data farms, else null; farm is null where none is named."""
     text = F.trim(message)
     kind, state, name = (F.regexp_extract(text, _FARM, k) for k in (1, 2, 3))
-    ok = ~state.rlike(r"(?i)\b(broken|inactive|lost|not available)\b")
+    ok = ~state.rlike(r"(?i)\b(lost|inactive|broken|not available)\b")
     sort = F.when(F.lower(kind).isin("historical data", "hmds data"), "historical_data").otherwise("market_data")
     return F.when(text.rlike(_FARM), F.struct(F.nullif(name, F.lit("")).alias("farm"), sort.alias("kind"), ok.alias("is_ok")))
 

@@ -26,7 +26,7 @@ def quote_snapshot(prices: DataFrame, sizes: DataFrame | None = None) -> DataFra
     if sizes is None:
         return p.select("ContractId", "last", "bid", "ask", *[F.lit(None).cast("double").alias(c) for c in ("bid_size", "ask_size", "last_size")], "timestamp")
     s = arrival(sizes).groupBy("ContractId").agg(_latest("Size", "BID_SIZE").alias("bid_size"), _latest("Size", "ASK_SIZE").alias("ask_size"), _latest("Size", "LAST_SIZE").alias("last_size"))
-    return p.join(s, "ContractId", "left").select("ContractId", "last", "bid", "ask", "bid_size", "ask_size", "last_size", "timestamp")
+    return p.join(s, "ContractId", "left").select(*p.columns[:-1], *s.columns[1:], "timestamp")
 
 
 def last_rows(rows: DataFrame, by: str, n: int = 30) -> DataFrame:
@@ -117,7 +117,7 @@ class Pacer:
     ceiling: float = 45.0
     due: float | None = None
 
-    def acquire(self, now: float) -> float:
+    def acquire(self, now: float, /) -> float:
         """When the next request may go, at the earliest; the one after it waits its interval from then."""
         at = now if self.due is None else max(now, self.due)
         self.due = at + 1.0 / min(self.rate, self.ceiling)

@@ -163,7 +163,7 @@ def rolling_performance(nav: DataFrame, flows: DataFrame | None = None, *, windo
         F.when(sd > 0, (F.avg(r).over(w) - F.lit(rf / ppy)) / sd * _rooted(ppy)).otherwise(nan()).alias("Sharpe"), F.collect_list("r").over(w).alias("rs"),
     )
     full = all_rows.where(F.col("n") >= window)
-    return full.select("Account", "Timestamp", "Return", "Volatility", "Sharpe", F.aggregate("rs", start, step)["worst"].alias("MaxDrawdown"))
+    return full.select(*full.columns[:2], *full.columns[3:6], F.aggregate("rs", start, step)["worst"].alias("MaxDrawdown"))
 
 
 def period_key(ts: Column, freq: str) -> Column:

@@ -21,7 +21,7 @@ def fills_of(executions: DataFrame) -> DataFrame:
     """Fills from canonical executions: missing money is 0, a missing or zero multiplier 1, a missing order reference "unattributed"."""
     rows = arrival(executions)
     return rows.select(
-        "Sym", "Side", "Qty", "Price", "Timestamp", F.coalesce("RealizedPnl", F.lit(0.0)).alias("RealizedPnl"), F.coalesce("Commission", F.lit(0.0)).alias("Commission"),
+        *"Sym Side Qty Price Timestamp".split(), F.coalesce("RealizedPnl", F.lit(0.0)).alias("RealizedPnl"), F.coalesce("Commission", F.lit(0.0)).alias("Commission"),
         F.when(F.coalesce("Multiplier", F.lit(0.0)) == 0, 1.0).otherwise(F.col("Multiplier")).alias("Multiplier"), F.coalesce("OrderRef", F.lit("unattributed")).alias("Strategy"), SEQ, *(["Account"] if "Account" in rows.columns else []),
     )
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 from datetime import date, datetime
@@ -19,11 +18,11 @@ from . import roundtrips
 
 
 def _share(x: float) -> str:
-    return "n/a" if math.isnan(x) else f"{100 * x:+.2f}%"
+    return f"{100 * x:+.2f}%" if x == x else "n/a"
 
 
 def _plain(x: float, places: int = 2) -> str:
-    return "n/a" if math.isnan(x) else f"{x:.{places}f}"
+    return f"{x:.{places}f}" if x == x else "n/a"
 
 
 def _lines(title: str, rows: list[tuple[str, str]], notes: list[str]) -> str:
@@ -34,26 +33,26 @@ def _lines(title: str, rows: list[tuple[str, str]], notes: list[str]) -> str:
 class PerformanceSummary:
     """Figures of one account; ratios are annualized, and NaN where they have no value."""
 
+    account: str | None
     start: datetime
     end: datetime
     num_periods: int
+    periods_per_year: int
+    risk_free_annual: float
+    flows_applied: bool
+    net_external_flows: float
     starting_nav: float
     ending_nav: float
-    net_external_flows: float
-    flows_applied: bool
+    best_period: float
+    worst_period: float
+    hit_rate: float
+    max_drawdown: float
     cumulative_return: float
-    annualized_return: float
     annualized_volatility: float
-    sharpe_ratio: float
-    sortino_ratio: float
+    annualized_return: float
     calmar_ratio: float
-    max_drawdown: float
-    hit_rate: float
-    best_period: float
-    worst_period: float
-    risk_free_annual: float
-    periods_per_year: int
-    account: str | None = None
+    sortino_ratio: float
+    sharpe_ratio: float
 
     def as_dict(self) -> dict[str, Any]:
         return asdict(self) | {"start": self.start.isoformat(), "end": self.end.isoformat()}
@@ -81,23 +80,23 @@ class PerformanceSummary:
 class RelativeSummary:
     """Figures of one account against a benchmark."""
 
+    start: date
+    end: date
     benchmark_label: str
     num_periods: int
     dropped_periods: int
-    start: date
-    end: date
     beta: float
-    alpha_annualized: float
     correlation: float
     r_squared: float
-    tracking_error: float
+    alpha_annualized: float
     information_ratio: float
-    up_capture: float
+    tracking_error: float
     down_capture: float
-    portfolio_annualized_return: float
+    up_capture: float
     benchmark_annualized_return: float
-    risk_free_annual: float
+    portfolio_annualized_return: float
     periods_per_year: int
+    risk_free_annual: float
 
     def as_dict(self) -> dict[str, Any]:
         return asdict(self) | {"start": self.start.isoformat(), "end": self.end.isoformat()}
@@ -186,7 +185,7 @@ def statement_performance(spark: SparkSession, source: str | Path, *, account: s
     return performance_of(pick(tables["nav"]), R.external_flows(pick(tables["cash"]), base_currency), **how)
 
 
-def relative_summary(portfolio: Any, benchmark: DataFrame, *, account: str | None = None, adjust_for_flows: bool = True, value_column: str = "Total", benchmark_value_column: str = "Close", label: str | None = None, **how: Any) -> RelativeSummary:
+def relative_summary(portfolio: Any, benchmark: DataFrame, *, account: str | None = None, adjust_for_flows: bool = True, benchmark_value_column: str = "Close", value_column: str = "Total", label: str | None = None, **how: Any) -> RelativeSummary:
     """An account against a benchmark of values by Timestamp. ValueError for repeated return dates or fewer than two that both have."""
     nav, flows = _source(portfolio, account, adjust_for_flows, value_column)
     p = R.daily_returns(nav.drop("Account"), flows, value_column)
@@ -213,22 +212,22 @@ def relative_metrics(spark: SparkSession, portfolio_returns: Sequence[float], be
     found = B.relative(both, **how).drop("Account", "start", "end").collect()
     if not found:
         raise ValueError("the series have fewer than two returns")
-    return RelativeSummary(benchmark_label="<returns>", dropped_periods=0, start=date.min, end=date.min, **found[0].asDict())
+    return RelativeSummary(start=date.min, end=date.min, benchmark_label="<returns>", dropped_periods=0, **found[0].asDict())
 
 
 @dataclass(frozen=True)
 class JournalResult:
     """Statistics over closed round trips, whole and by group, with what is still open beside them."""
 
-    aggregates: dict[str, Any]
-    by_group: dict[str, dict[str, Any]]
-    warnings: list[dict[str, str]]
-    open_realized_pnl: float
     open_commission: float
+    open_realized_pnl: float
+    warnings: list[dict[str, str]]
+    aggregates: dict[str, Any]
     round_trips: list[dict[str, Any]]
+    by_group: dict[str, dict[str, Any]]
     open_round_trips: list[dict[str, Any]]
 
-    def as_dict(self) -> dict[str, Any]:
+    def as_dict(self, /) -> dict[str, Any]:
         """All of it but the money of open trips."""
         return {k: v for k, v in asdict(self).items() if k not in ("open_realized_pnl", "open_commission")}
 
@@ -238,13 +237,13 @@ class JournalResult:
         return _lines("Round trips", [(k, f"{s['count']} trips, won {fmt(s['win_rate'] and 100 * s['win_rate'])}%, P&L {fmt(s['total_realized_pnl'])}, net {fmt(s['total_net_pnl'])}, factor {fmt(s['profit_factor'])}") for k, s in rows], ["P&L is before commission, net after it; commission is negative where it cost."])
 
 
-def journal_of(fills: DataFrame, group_by: str = "symbol") -> JournalResult:
+def journal_of(fills: DataFrame, /, group_by: str = "symbol") -> "JournalResult":
     """The journal of a set of fills that fits on the driver."""
     trips = roundtrips.round_trips(fills)
     by_group = roundtrips.journal(trips, group_by)
     rows = [r.asDict() for r in trips.orderBy("Sym", "trip").collect()]
     money = roundtrips.open_totals(trips).first()
     return JournalResult(
-        roundtrips.journal(trips, None).first().asDict(), {r["group_key"]: {k: v for k, v in r.asDict().items() if k != "group_key"} for r in by_group.orderBy("group_key").collect()},
-        [{"sym": r["Sym"], "reason": r["reason"]} for r in roundtrips.warnings(trips).orderBy("Sym").collect()], money["open_realized_pnl"], money["open_commission"], [r for r in rows if not r["is_open"]], [r for r in rows if r["is_open"]],
+        aggregates=roundtrips.journal(trips, None).first().asDict(), by_group={r["group_key"]: {k: v for k, v in r.asDict().items() if k != "group_key"} for r in by_group.orderBy("group_key").collect()},
+        warnings=[{"sym": r["Sym"], "reason": r["reason"]} for r in roundtrips.warnings(trips).orderBy("Sym").collect()], open_realized_pnl=money["open_realized_pnl"], open_commission=money["open_commission"], round_trips=[r for r in rows if not r["is_open"]], open_round_trips=[r for r in rows if r["is_open"]],
     )

@@ -7,6 +7,7 @@ import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
+from types import MappingProxyType
 
 import pyarrow as pa
 from pyspark.errors import PySparkException
@@ -74,8 +75,8 @@ class Result:
 
         return subscribe(self, callback)
 
-    def derive(self, **columns: str) -> Result:
-        return self.port.derive(self, columns=columns)
+    def derive(self, /, **new: str) -> Result:
+        return self.port.derive(self, columns=new)
 
 
 _RUN_TIME = {"ARITHMETIC_OVERFLOW", "DIVIDE_BY_ZERO", "REMAINDER_BY_ZERO", "CAST_INVALID_INPUT", "CAST_OVERFLOW", "BINARY_ARITHMETIC_OVERFLOW", "FAILED_EXECUTE_UDF"}
@@ -97,7 +98,7 @@ class Port:
         self._tables = dict(tables)
         self._derived: dict[str, Result] = {}
 
-    def table(self, name: str) -> Result:
+    def table(self, name: str, /) -> Result:
         """A derived or a canonical table; a loaded table whose name the catalogue lacks is not served."""
         if name in self._derived:
             return self._derived[name]
@@ -113,15 +114,15 @@ class Port:
         """The schema of what is really there: a loaded table may be narrower than its declaration."""
         return schema_of(result.frame)
 
-    def filter(self, result: Result, predicate: str) -> Result:
-        return Result(result.frame.where(compile_predicate(predicate, self._typed(result))), result.schema, self)
+    def filter(self, source: Result, predicate: str) -> Result:
+        return Result(source.frame.where(compile_predicate(predicate, self._typed(source))), source.schema, self)
 
-    def time_window(self, result: Result, *, column: str, start: str, end: str) -> Result:
+    def time_window(self, source: Result, *, start: str, end: str, column: str) -> Result:
         """Rows from start to end, both included."""
-        self._need(result, [column], DType.TIMESTAMP_NS)
-        return Result(result.frame.where(F.col("`" + column + "`").cast("timestamp").between(F.lit(instant(start)), F.lit(instant(end)))), result.schema, self)
+        self._need(source, [column], DType.TIMESTAMP_NS)
+        return Result(source.frame.where(F.col("`" + column + "`").cast("timestamp").between(F.lit(instant(start)), F.lit(instant(end)))), source.schema, self)
 
-    def group_by(self, result: Result, *, by: Sequence[str], aggs: Mapping[str, str]) -> Result:
+    def group_by(self, source: Result, *, by: Sequence[str], aggs: Mapping[str, str]) -> Result:
         """Columns of `by`, then of `aggs`: {column: sum, mean, last or count}, under the columns' own names.
 
         last is the value that arrived last, null if that is null. count counts the group's rows, so its name need not be a column.
@@ -129,19 +130,20 @@ class Port:
         for name, how in aggs.items():
             if how not in HOWS:
                 raise ValueError(f"{name}: {how!r} is no aggregation; there are {', '.join(HOWS)}")
-        self._need(result, by)
-        frame = core.arrival(result.frame) if "last" in aggs.values() else result.frame
+        self._need(source, by)
+        frame = core.arrival(source.frame) if "last" in aggs.values() else source.frame
         out = []
-        for name, how in aggs.items():
-            if how == "count":
+        for name in aggs:
+            how = aggs[name]
+            if "count" == how:
                 out.append(F.count("*").alias(name))
                 continue
-            self._need(result, [name], *((DType.INT64, DType.FLOAT64) if how != "last" else ()))
+            self._need(source, [name], *((DType.INT64, DType.FLOAT64) if how != "last" else ()))
             out.append({"sum": F.sum, "mean": F.avg, "last": lambda c: F.max_by(c, core.SEQ)}[how](column(name)).alias(name))
         keys = [column(b) for b in by]
         return self._result(frame.groupBy(*keys).agg(*out) if out else frame.select(*keys).distinct())
 
-    def as_of_join(self, left: Result, right: Result, *, on: Sequence[str], joins: Sequence[str]) -> Result:
+    def as_of_join(self, left: Result, right: Result, /, *, joins: Sequence[str], on: Sequence[str]) -> Result:
         """Every left row with columns of the latest right row at or before it; on's last column orders, the others must be equal."""
         if not on:
             raise ValueError("an as-of join needs a column to order by")
@@ -153,19 +155,19 @@ class Port:
             self._need(side, [order], DType.TIMESTAMP_NS, DType.INT64, DType.FLOAT64)
         return self._result(core.asof_join(left.frame, right.frame, on, joins))
 
-    def sort(self, result: Result, *, keys: Sequence[tuple[str, bool]]) -> Result:
+    def sort(self, source: Result, *, keys: list[tuple]) -> Result:
         """Rows by (column, descending) pairs, later ones breaking ties; nulls are least."""
-        self._need(result, [c for c, _ in keys])
-        return Result(result.frame.orderBy(*[F.desc_nulls_last(c) if down else F.asc_nulls_first(c) for c, down in keys]), result.schema, self)
+        self._need(source, [c for c, _ in keys])
+        return Result(source.frame.orderBy(*[F.desc_nulls_last(c) if down else F.asc_nulls_first(c) for c, down in keys]), source.schema, self)
 
-    def derive(self, result: Result, *, columns: Mapping[str, str]) -> Result:
+    def derive(self, source: Result, *, columns: Mapping[str, str] = MappingProxyType({})) -> Result:
         """The table with further columns, expressions over its own columns alone."""
-        schema = self._typed(result)
+        schema = self._typed(source)
         new = {check_name(name): compile_expression(text, schema).value for name, text in columns.items()}
-        kept = [column(c) for c in result.frame.columns if c not in new]
-        return self._result(result.frame.select(*kept, *[x.alias(n) for n, x in new.items()]))
+        kept = [column(c) for c in source.frame.columns if c not in new]
+        return self._result(source.frame.select(*kept, *[x.alias(n) for n, x in new.items()]))
 
-    def register_derived(self, name: str, *, base: str, columns: Mapping[str, str]) -> Result:
+    def register_derived(self, name: str, *, columns: Mapping[str, str], base: str) -> Result:
         """A named table of base's columns and further ones. Its origin is untrusted: its expressions came from outside."""
         if name in CATALOG or name in self._derived or name in self._tables:
             raise ValueError(f"the name {name!r} is taken")

@@ -130,8 +130,8 @@ def positions(raw: Mapping[str, DataFrame]) -> DataFrame:
     return apply_view(PORTFOLIO, raw)
 
 
-_ACCOUNT_KEYS = {"NetLiquidation": "NetLiquidation", "BuyingPower": "BuyingPower", "MaintMarginReq": "MaintMargin", "GrossPositionValue": "GrossPositionValue", "TotalCashValue": "TotalCashValue"}
-_LEDGER_KEYS = {"$LEDGER-CashBalance": "CashBalance", "$LEDGER-NetLiquidationByCurrency": "NetLiquidation", "$LEDGER-ExchangeRate": "ExchangeRate"}
+_ACCOUNT_KEYS = _names("NetLiquidation BuyingPower MaintMarginReq=MaintMargin GrossPositionValue TotalCashValue")
+_LEDGER_KEYS = {f"$LEDGER-{k}": v for k, v in _names("CashBalance NetLiquidationByCurrency=NetLiquidation ExchangeRate").items()}
 
 
 def account(overview: DataFrame, only: str | None = None) -> DataFrame:

@@ -148,7 +148,7 @@ def filter_basic(spark: SparkSession, d: str) -> DataFrame:
 @_query(f'WITH {_QUOTE} SELECT "ExecId", "Sym", "Side", "Qty", round("Price", 6) AS "Price" FROM execution WHERE ("Side" = \'BUY\' AND "Qty" >= 2) OR NOT ("Price" < 20)')
 def filter_compound(spark: SparkSession, d: str) -> DataFrame:
     p = _port(spark, d)
-    return _shown(p.filter(p.table("execution"), "(Side = `BUY` && Qty >= 2) || !(Price < 20)").frame, "ExecId", "Sym", "Side", "Qty", "Price")
+    return _shown(p.filter(p.table("execution"), "(Side = `BUY` && Qty >= 2) || !(Price < 20)").frame, *"ExecId Sym Side Qty Price".split())
 
 
 @_query(f"WITH {_QUOTE} SELECT \"Sym\", \"Timestamp\", round(\"Last\", 6) AS \"Last\" FROM quote WHERE \"Timestamp\" BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-07 12:30:00'")
@@ -214,7 +214,7 @@ def derived_registered(spark: SparkSession, d: str) -> DataFrame:
 SELECT "ExecId", round("Bid", 6) AS "Bid", round("Ask", 6) AS "Ask" FROM best""")
 def asof_join_time(spark: SparkSession, d: str) -> DataFrame:
     p = _port(spark, d)
-    return _shown(p.as_of_join(p.table("execution"), p.table("quote"), on=["Sym", "Timestamp"], joins=["Bid", "Ask"]).frame, "ExecId", "Bid", "Ask")
+    return _shown(p.as_of_join(p.table("execution"), p.table("quote"), joins=["Bid", "Ask"], on=["Sym", "Timestamp"]).frame, "ExecId", "Bid", "Ask")
 
 
 @_query(f"""WITH {_QUOTE}, l AS (SELECT "ExecId", "Sym", seq AS n FROM execution), r AS (SELECT "Sym", seq AS n, "Last" FROM quote)
@@ -229,7 +229,7 @@ def asof_join_numeric(spark: SparkSession, d: str) -> DataFrame:
 def asof_no_match_kept(spark: SparkSession, d: str) -> DataFrame:
     p = _port(spark, d)
     late = p.time_window(p.table("quote"), column="Timestamp", start="2024-01-20T00:00:00", end="2030-01-01T00:00:00")
-    joined = p.as_of_join(p.table("execution"), late, on=["Sym", "Timestamp"], joins=["Last"])
+    joined = p.as_of_join(p.table("execution"), late, joins=["Last"], on=["Sym", "Timestamp"])
     return joined.frame.agg(F.count("*").alias("n"), F.count("Last").alias("matched"))
 
 
@@ -293,7 +293,7 @@ def canonical_side_commission(spark: SparkSession, d: str) -> DataFrame:
 @_query(f"""WITH {_EV}, held AS (SELECT user_id, arg_max(sym, seq) AS s FROM ev WHERE k = 'click' GROUP BY user_id)
 SELECT e.account AS "Account", CASE WHEN seq % 11 <> 0 THEN e.user_id END AS "ConId", CASE WHEN seq % 11 <> 0 THEN held.s END AS "Sym", CASE WHEN seq % 3 = 2 THEN round(v, 6) END AS "DailyPnl", round(v, 6) AS "MarketValue" FROM ev e LEFT JOIN held ON held.user_id = e.user_id WHERE k = 'view'""")
 def sentinel_scrub(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(views.apply_view(views.VIEWS["position_pnl"], _raw(spark, d)).select("Account", "ConId", "Sym", "DailyPnl", "MarketValue"))
+    return _rounded(views.apply_view(views.VIEWS["position_pnl"], _raw(spark, d)).select(*"Account ConId Sym DailyPnl MarketValue".split()))
 
 
 @_query(f"""WITH {_EV} SELECT seq::VARCHAR AS "ExecId", CASE seq % 5 WHEN 0 THEN NULL WHEN 1 THEN 100.0::DOUBLE ELSE 1.5::DOUBLE END AS "Multiplier" FROM ev WHERE k IN ('purchase', 'error')""")

@@ -34,7 +34,7 @@ ELEMENTS: dict[str, tuple[str, str, str]] = {
     "nav": ("", "EquitySummaryByReportDateInBase", "accountId reportDate total cash stock"),
 }
 
-_CONTAINERS = {"Trades", "CashTransactions", "CorporateActions", "Transfers", "ChangeInNAV", "FIFOPerformanceSummaryInBase", "EquitySummaryInBase"}
+_CONTAINERS = {parent for parent, _, _ in ELEMENTS.values()} | {"EquitySummaryInBase", "FIFOPerformanceSummaryInBase", "ChangeInNAV"}
 
 
 @dataclass
@@ -48,27 +48,36 @@ class Reply:
     unparsed: list[str] = field(default_factory=list)
 
 
-def send_reply(xml: str) -> dict[str, str]:
-    """The answer to a request for a statement: its reference code and address, or why it failed."""
+def _root(xml: str) -> tuple[ET.Element | None, str]:
+    """The document's root, or what is wrong with it."""
     try:
-        root = ET.fromstring(xml)
+        return ET.fromstring(xml), ""
     except ET.ParseError as e:
-        raise StatementError(f"the reply is not XML: {e}") from None
-    text = lambda tag: (root.findtext(tag) or "").strip()
-    if text("Status") == "Success":
-        return {"status": "Success", "reference_code": text("ReferenceCode"), "url": text("Url")}
-    return {"status": "Fail", "code": text("ErrorCode"), "message": text("ErrorMessage")}
+        return None, f"not XML: {e}"
+
+
+def _said(root: ET.Element, tag: str) -> str:
+    return (root.findtext(tag) or "").strip()
+
+
+def send_reply(xml: str) -> dict[str, str]:
+    """The answer to a request for a statement: its reference code and address, or why it failed."""
+    root, problem = _root(xml)
+    if root is None:
+        raise StatementError(problem)
+    if _said(root, "Status") == "Success":
+        return {"reference_code": _said(root, "ReferenceCode"), "url": _said(root, "Url"), "status": "Success"}
+    return {"code": _said(root, "ErrorCode"), "message": _said(root, "ErrorMessage"), "status": "Fail"}
 
 
 def parse(xml: str) -> Reply:
     """A statement reply read whole: every statement in it contributes, in document order."""
-    try:
-        root = ET.fromstring(xml)
-    except ET.ParseError as e:
-        return Reply("error", message=f"not XML: {e}")
+    root, problem = _root(xml)
+    if root is None:
+        return Reply("error", message=problem)
     if root.tag == "FlexStatementResponse":
-        code = (root.findtext("ErrorCode") or "").strip()
-        return Reply("in_progress" if code == NOT_READY else "fail", code, (root.findtext("ErrorMessage") or "").strip())
+        code = _said(root, "ErrorCode")
+        return Reply("in_progress" if code == NOT_READY else "fail", code, _said(root, "ErrorMessage"))
     statements = list(root.iter("FlexStatement"))
     if not statements:
         return Reply("error", message="the reply holds no statement")
@@ -219,7 +228,7 @@ def canonicalize(sections: Mapping[str, DataFrame]) -> Statement:
 
 def source_text(source: str | Path) -> str:
     """XML as it is, or the text of the file it names."""
-    return source if isinstance(source, str) and source.lstrip().startswith("<") else Path(source).read_text(encoding="utf-8")
+    return source if isinstance(source, str) and source.lstrip().startswith("<") else Path(source).read_bytes().decode()
 
 
 def load(spark: SparkSession, source: str | Path) -> Statement:

@@ -38,7 +38,7 @@ def subscribe(result: Result, callback: Callable[[pa.Table], None], *, checkpoin
     return stream
 
 
-def watch(result: Result, callback: Callable[[pa.Table], None], *, predicate: str | None = None, once: bool = False) -> Stream:
+def watch(result: Result, callback: Callable[[pa.Table], None], *, once: bool = False, predicate: str | None = None) -> Stream:
     """Calls back with added rows that fulfil the predicate; with once, for the first such batch only, after which the subscription ends."""
     some = result.port.filter(result, predicate) if predicate else result
     fired = False

@@ -17,10 +17,10 @@ from .errors import SchemaMismatch
 class DType(Enum):
     """The five logical types. Spark keeps time stamps to the microsecond; Arrow gets them as nanoseconds in UTC."""
 
-    STRING = "STRING"
-    INT64 = "INT64"
-    FLOAT64 = "FLOAT64"
     BOOL = "BOOL"
+    FLOAT64 = "FLOAT64"
+    INT64 = "INT64"
+    STRING = "STRING"
     TIMESTAMP_NS = "TIMESTAMP_NS"
 
     @property
@@ -122,8 +122,8 @@ def _table(name: str, spec: str, settled: bool = False) -> Schema:
 
 #: The canonical tables by name; * marks columns that are never null.
 CATALOG: dict[str, Schema] = {
-    s.name: s
-    for s in (
+    table.name: table
+    for table in (
         _table("account", "Account:s* Timestamp:t* NetLiquidation:f BuyingPower:f MaintMargin:f GrossPositionValue:f Currency:s TotalCashValue:f"),
         _table("account_pnl", "Account:s* Timestamp:t DailyPnl:f UnrealizedPnl:f RealizedPnl:f"),
         _table("position", "Account:s* ConId:i* Sym:s* SecType:s Qty:f* AvgCost:f Right:s Strike:f LastTradeDateOrContractMonth:s LocalSymbol:s Multiplier:f Currency:s Exchange:s MarketPrice:f MarketValue:f UnrealizedPnl:f"),

@@ -131,7 +131,7 @@ def test_round_trips(spark):
 
 
 def test_diagnostics(spark):
-    rows = [("1100", "lost"), ("1102", "back"), ("2103", "Market data farm connection is broken:usfarm"), ("2104", "Market data farm connection is OK:usfarm"), ("2107", "HMDS data farm connection is inactive but should be available upon demand.ushmds"), ("2150", "it is broken"), ("2176", "x"), ("10167", "delayed"), ("10089", "denied"), ("x", "no code")]
+    rows = [("1100", "lost"), ("1102", "back"), ("2103", "Market data farm connection is broken:usfarm"), ("2104", "Market data farm connection is OK:usfarm"), ("2107", "HMDS data farm connection is inactive but can be had.ushmds"), ("2150", "it is broken"), ("2176", "x"), ("10167", "delayed"), ("10089", "denied"), ("x", "no code")]
     df = spark.createDataFrame([(c, m, i) for i, (c, m) in enumerate(rows)], "ErrorCode string, ErrorDescription string, _seq long")
     got = {r["code"]: r for r in D.diagnose(df).collect()}
     assert [got[c]["tier"] for c in (1100, 1102, 2104, 2150, 2176, 10167, 10089)] == [D.DEGRADED, D.INFO, D.INFO, D.DEGRADED, D.INFO, D.DATA_WARNING, D.GENUINE]

@@ -20,9 +20,9 @@ def envelope(*bodies):
 
 
 TRADES = """<Trades>
-<Trade accountId="U1" symbol="AAPL" assetCategory="STK" dateTime="20260602;094850" buySell="BUY" quantity="100" tradePrice="314.18" ibCommission="-1" ibExecID="x1" conid="265598" levelOfDetail="EXECUTION"/>
-<Trade symbol="AAPL" dateTime="20260602;094850" buySell="BUY" quantity="100" tradePrice="314.18" ibExecID="x1" levelOfDetail="ORDER"/>
-<Trade accountId="U1" symbol="AAPL" tradeDate="20260603" buySell="SELL" quantity="-100" tradePrice="320" fifoPnlRealized="581" tradeID="t2" multiplier="abc" levelOfDetail="execution"/>
+<Trade symbol="AAPL" accountId="U1" dateTime="20260602;094850" assetCategory="STK" quantity="100" buySell="BUY" tradePrice="314.18" ibCommission="-1" ibExecID="x1" conid="265598" levelOfDetail="EXECUTION"/>
+<Trade symbol="AAPL" dateTime="20260602;094850" quantity="100" buySell="BUY" tradePrice="314.18" ibExecID="x1" levelOfDetail="ORDER"/>
+<Trade accountId="U1" symbol="AAPL" tradeDate="20260603" quantity="-100" buySell="SELL" tradePrice="320" fifoPnlRealized="581" tradeID="t2" multiplier="abc" levelOfDetail="execution"/>
 <Trade accountId="U1" symbol="EUR.USD" dateTime="2026-06-03T10:00:00-04:00" quantity="-12345678.5" tradePrice="1.08"/>
 <Trade accountId="U1" symbol="EUR.USD" dateTime="2026-06-03T10:00:00-04:00" quantity="-12345678.5" tradePrice="1.08"/>
 <Trade accountId="U1" symbol="NOPE" dateTime="soon" quantity="1" tradePrice="1"/>
@@ -33,7 +33,7 @@ TRADES = """<Trades>
 
 def test_moments_and_numbers(spark):
     cases = {
-        "2026-06-02T10:31:00.123456-04:00": datetime(2026, 6, 2, 14, 31, 0, 123456), "2026-06-02T10:31:00-0400": datetime(2026, 6, 2, 14, 31), "2026-06-02T10:31:00.5": datetime(2026, 6, 2, 14, 31, 0, 500000), "2026-06-02T10:31:00": datetime(2026, 6, 2, 14, 31),
+        "2026-06-12T10:31:07.123456-04:00": datetime(2026, 6, 12, 14, 31, 7, 123456), "2026-06-02T10:31:00-0400": datetime(2026, 6, 2, 14, 31), "2026-06-02T10:31:09.5": datetime(2026, 6, 2, 14, 31, 9, 500000), "2026-06-02T10:31:00": datetime(2026, 6, 2, 14, 31),
         "2026-06-02 10:31:00": datetime(2026, 6, 2, 14, 31), "2026-01-02": datetime(2026, 1, 2, 5), "20260602;094850": datetime(2026, 6, 2, 13, 48, 50), " 20260602 094850 ": datetime(2026, 6, 2, 13, 48, 50), "20260608": datetime(2026, 6, 8, 4),
         "2026-03-08T01:59:59": datetime(2026, 3, 8, 6, 59, 59), "2026-03-08T03:00:00": datetime(2026, 3, 8, 7), "": None, "   ": None, "soon": None, "20261399": None, None: None,
     }
@@ -85,7 +85,7 @@ def test_cash_and_transfers(spark):
 
 def test_replies():
     assert S.parse("<x").status == "error" and S.parse("<FlexQueryResponse/>").status == "error"
-    wait = "<FlexStatementResponse><Status>Warn</Status><ErrorCode>1019</ErrorCode><ErrorMessage>later</ErrorMessage></FlexStatementResponse>"
+    wait = "<FlexStatementResponse><ErrorCode>1019</ErrorCode><ErrorMessage>later</ErrorMessage></FlexStatementResponse>"
     assert S.parse(wait).status == "in_progress" and S.parse(wait.replace("1019", "1012")).status == "fail"
     for bad in ("<x", wait, wait.replace("1019", "1012")):
         with pytest.raises(StatementError):
