@@ -109,13 +109,17 @@ def near_duplicate_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str
     same = prints.where("first < doc_id").selectExpr("first AS doc_a", "doc_id AS doc_b", "0 AS hamming")
     sets = position_sets(tables, key_bytes)
     keys = F.array(*[F.lit(t * 256**key_bytes) + sum((F.shiftleft(_byte(p), 8 * k) for k, p in enumerate(s)), F.lit(0).cast("long")) for t, s in enumerate(sets)])
-    entries = prints.where("first = doc_id").select("doc_id", *_PARTS, F.explode(keys).alias("key"))
+    firsts = prints.where("first = doc_id").drop("first")
+    entries = firsts.select("doc_id", F.explode(keys).alias("key"))
     a, b = entries.alias("a"), entries.alias("b")
-    xors = [F.col(f"a.{p}").bitwiseXOR(F.col(f"b.{p}")) for p in _PARTS]
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.doc_id") < F.col("b.doc_id"))).groupBy(F.col("a.doc_id").alias("doc_a"), F.col("b.doc_id").alias("doc_b")).agg(F.count("*").alias("lists"))
+    # by now a pair and its tally of lists are all that moves; the fingerprints are fetched for distinct pairs only
+    left, right = (firsts.select(F.col("doc_id").alias(f"doc_{x}"), *[F.col(p).alias(f"{x}{p}") for p in _PARTS]) for x in "ab")
+    both = met.join(left, "doc_a").join(right, "doc_b")
+    xors = [F.col(f"a{p}").bitwiseXOR(F.col(f"b{p}")) for p in _PARTS]
     apart = sum((F.bit_count(x) for x in xors), F.lit(0))
-    shared = sum((F.expr(f"CASE WHEN shiftrightunsigned(a.{p} ^ b.{p}, {8 * k}) & 255 = 0 THEN 1 ELSE 0 END") for p in _PARTS for k in range(8)), F.lit(0))
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (apart <= max_bits) & (shared >= max(key_bytes, BYTES - max_bits)))
-    near = met.select(F.col("a.doc_id").alias("doc_a"), F.col("b.doc_id").alias("doc_b"), apart.alias("hamming"))
+    shared = sum((F.expr(f"CASE WHEN shiftrightunsigned(a{p} ^ b{p}, {8 * k}) & 255 = 0 THEN 1 ELSE 0 END") for p in _PARTS for k in range(8)), F.lit(0))
+    near = both.where((shared >= max(key_bytes, BYTES - max_bits)) & (apart <= max_bits)).select("doc_a", "doc_b", apart.alias("hamming"))
     return same.unionByName(near).groupBy("doc_a", "doc_b").agg(F.min("hamming").cast("int").alias("hamming"))
 
 
