@@ -50,7 +50,7 @@ def test_held_out_accuracy(spark):
 
 def test_rejection_and_odd_rows(spark, docs, odd_rows):
     known = L.prototypes(corpus(spark))
-    alien = " ".join(["qxzj vkwq zzxq jjqv wqxk"] * 8)
+    alien = " ".join(["qxzj vkwq zzxq jjqv wqxk"] * 24)
     df = docs([*odd_rows, (50, alien), (51, TEXTS["de"]), (52, "Zug.")], "cosine margin accepted")
     got = {r["doc_id"]: r for r in L.identify(df, known).collect()}
     assert not any(got[d]["accepted"] for d in (1, 2, 3, 4, 50)) and got[2]["lang"] is None and got[2]["cosine"] == 0
