@@ -94,7 +94,7 @@ def sharpe(r: Column, rf: float, ppy: int) -> Column:
 
 def sortino(r: Column, rf: float, ppy: int) -> Column:
     excess = r - F.lit(rf / ppy)
-    down = F.sqrt(F.avg(F.pow(F.least(excess, F.lit(0.0)), 2)))
+    down = F.sqrt(F.avg(F.when(excess.isNotNull(), F.pow(F.least(excess, F.lit(0.0)), 2))))
     return F.when((F.count(r) >= 2) & (down > 0), F.avg(excess) / down * _rooted(ppy)).otherwise(nan())
 
 
@@ -118,25 +118,31 @@ def performance(nav: DataFrame, flows: DataFrame | None = None, *, value_column:
     """
     rf, _ = risk_free(risk_free_annual)
     r, ppy = F.col("r"), periods_per_year
-    p = periods(nav, flows, value_column)
-    ends = p.groupBy("Account").agg(F.min_by("ts", "k").alias("start"), F.max_by("ts", "k").alias("end"), F.min_by("value", "k").alias("starting_nav"), F.max_by("value", "k").alias("ending_nav"))
-    curve = drawdown_curve(daily_returns(nav, flows, value_column))
-    figures = curve.groupBy("Account").agg(
-        F.count("*").alias("num_periods"),
-        F.sum("flow").alias("net_external_flows"),
+    usable = F.col("prior").isNotNull() & (F.col("prior") != 0)
+    p = periods(nav, flows, value_column).withColumn("r", F.when(usable, (F.col("value") - F.col("prior") - F.col("flow")) / F.when(usable, F.col("prior"))))
+    so_far = Window.partitionBy("Account").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    # points without a return leave wealth as it is, so first and last points and all figures come from one pass
+    p = p.withColumn("wealth", F.product(1 + F.coalesce(r, F.lit(0.0))).over(so_far))
+    p = p.withColumn("drawdown", F.least(F.col("wealth") / F.greatest(F.lit(1.0), F.max("wealth").over(so_far)) - 1, F.lit(0.0)))
+    figures = p.groupBy("Account").agg(
+        F.min_by("ts", "k").alias("start"),
+        F.max_by("ts", "k").alias("end"),
+        F.count("r").alias("num_periods"),
+        F.min_by("value", "k").alias("starting_nav"),
+        F.max_by("value", "k").alias("ending_nav"),
+        F.sum(F.when(usable, F.col("flow"))).alias("net_external_flows"),
         (F.product(1 + r) - 1).alias("cumulative_return"),
         annualized_return(r, ppy).alias("annualized_return"),
         (_spread(r) * _rooted(ppy)).alias("annualized_volatility"),
         sharpe(r, rf, ppy).alias("sharpe_ratio"),
         sortino(r, rf, ppy).alias("sortino_ratio"),
         F.min("drawdown").alias("max_drawdown"),
-        F.avg(F.when(r > 0, 1.0).otherwise(0.0)).alias("hit_rate"),
+        F.avg(F.when(r > 0, 1.0).when(r.isNotNull(), 0.0)).alias("hit_rate"),
         F.max("r").alias("best_period"),
         F.min("r").alias("worst_period"),
-    )
+    ).where("num_periods > 0")
     calmar = F.when((F.col("max_drawdown") < 0) & ~F.isnan("annualized_return"), F.col("annualized_return") / F.abs("max_drawdown")).otherwise(nan())
-    joined = figures.join(ends, figures["Account"].eqNullSafe(ends["Account"])).drop(ends["Account"])
-    return joined.select(
+    return figures.select(
         "Account", "start", "end", "num_periods", "starting_nav", "ending_nav", "net_external_flows", F.lit(flows is not None).alias("flows_applied"), "cumulative_return", "annualized_return", "annualized_volatility",
         "sharpe_ratio", "sortino_ratio", calmar.alias("calmar_ratio"), "max_drawdown", "hit_rate", "best_period", "worst_period", F.lit(rf).alias("risk_free_annual"), F.lit(ppy).alias("periods_per_year"),
     )
