@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as N
-from .shared import parked, pick
+from .shared import BROADCAST_BYTES, parked, pick
 
 BYTES = 32
 KEY_BYTES = 3
@@ -148,4 +148,6 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     share an id all stay or all go.
     """
     gone = groups(near_duplicate_pairs(docs, id_col, text_col, **how)).where("group_id < doc_id").selectExpr("doc_id AS gone_id")
+    # texts move only where the ids to drop, 16 bytes each, are too many to broadcast
+    gone = F.broadcast(gone) if gone.count() * 16 <= BROADCAST_BYTES else gone
     return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
