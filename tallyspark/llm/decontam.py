@@ -26,7 +26,7 @@ from .shared import BROADCAST_BYTES, parked, pick, schema_with
 from .substring import remove_spans
 
 NGRAM = 13
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 SAMPLE = 16
 
 
