@@ -138,7 +138,7 @@ def phrases_of(bench: DataFrame, item_col: str = "item_id", text_col: str = "tex
     """(item_id, gram): every window of ngram words of every item, as 8 bytes a word. Items of fewer words have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in N.pieces(batches):
             data, offsets = N.utf8(batch.column(1))
             w = N.words(data, offsets)
             begin = np.concatenate([np.arange(a, b - ngram + 1) for a, b in zip(w.first[:-1], w.first[1:])] or [np.zeros(0, np.int64)])
@@ -197,7 +197,7 @@ def contaminated_spans(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id"
         if alone:
 
             def direct(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
+                for batch in N.pieces(batches):
                     for i, j, w in _shards(batch.column(1), shard_bytes):
                         yield _span_batch(batch.column(0).slice(i, j - i), *shard_spans(FMIndex(w.hashes, w.first), *sent.value))
 
@@ -206,7 +206,7 @@ def contaminated_spans(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id"
         if index is None:
 
             def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
+                for batch in N.pieces(batches):
                     for i, j, w in _shards(batch.column(1), shard_bytes):
                         ids = batch.column(0).slice(i, j - i).cast(pa.int64()).to_pylist()
                         yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([ids], pa.list_(pa.int64())), pa.array([FMIndex(w.hashes, w.first).dump()], pa.binary())], names=["shard", "ids", "fm"])
@@ -251,7 +251,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text_col: str = "text", n_c
     sent = docs.sparkSession.sparkContext.broadcast((grams, items))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in N.pieces(batches):
             texts, cut = batch.column(at), {}
             data, offsets = N.utf8(texts)
             for i, j, w in _shards(texts, shard_bytes):

@@ -132,7 +132,7 @@ def prototypes(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in N.pieces(batches):
             data, offsets = N.utf8(batch.column(1))
             langs = batch.column(0).to_pylist()
             for i, j in N.steps(offsets, _STEP):
@@ -159,7 +159,7 @@ def identify(docs: DataFrame, known: dict[str, np.ndarray], id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         protos = table.value
-        for batch in batches:
+        for batch in N.pieces(batches):
             data, offsets = N.utf8(batch.column(1))
             for i, j in N.steps(offsets, _STEP):
                 vectors, counts = bundles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], protos.shape[1], ngram)
@@ -182,7 +182,7 @@ def keep_identified(docs: DataFrame, known: dict[str, np.ndarray], text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         protos = table.value
-        for batch in batches:
+        for batch in N.pieces(batches):
             data, offsets = N.utf8(batch.column(at))
             best = np.full(batch.num_rows, -1)
             for i, j in N.steps(offsets, _STEP):

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textnum as N
 from .shared import BROADCAST_BYTES, parked, pick
 from .tokens import VOCABULARY, ids
 
@@ -79,7 +80,7 @@ def token_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, n_tokens) of every row of docs under the vocabulary; a null or empty text has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in N.pieces(batches):
             n = [len(ids(x.as_py(), vocabulary)) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
 

@@ -58,7 +58,7 @@ def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in N.pieces(batches):
             data, offsets = N.utf8(batch.column(1))
             parts = [repeats(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], min_words) for i, j in N.steps(offsets)]
             columns = [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 3

@@ -81,7 +81,7 @@ def simhashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """(doc_id, f0, f1, f2, f3) of every document that has an id and a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in N.pieces(batches):
             data, offsets = N.utf8(batch.column(1))
             for i, j in N.steps(offsets, _STEP):
                 prints = fingerprints(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])

@@ -103,7 +103,7 @@ def save(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here: set[bytes] = set()
         narrow = np.uint16 if encoder(vocabulary).n_vocab <= 1 << 16 else np.uint32
-        for batch in batches:
+        for batch in N.pieces(batches):
             keys, docs, texts = (c.to_pylist() for c in batch.columns)
             first, streams, held = 0, [], 0
             for k, text in enumerate(texts):

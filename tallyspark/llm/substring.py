@@ -111,7 +111,7 @@ def _fingerprints(docs: DataFrame, gram: int, min_words: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in N.pieces(batches):
             data, offsets = N.utf8(batch.column(1))
             for i, j in N.steps(offsets):
                 w = N.words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
@@ -152,7 +152,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     reach = min_words - gram
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in N.pieces(batches):
             data, offsets = N.utf8(batch.column(1))
             ids, shards = batch.column(0).to_pylist(), batch.column(2)
             for i, j in N.steps(offsets):

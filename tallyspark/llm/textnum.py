@@ -66,6 +66,13 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1500) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows at most, so that what a task makes of one stays small."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def steps(offsets: np.ndarray, limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of rows that hold about ``limit`` bytes each, one row at least."""
     i, n = 0, len(offsets) - 1
