@@ -25,7 +25,8 @@ from .shared import BROADCAST_BYTES, parked, pick
 
 BYTES = 32
 KEY_BYTES = 3
-TABLES = 48
+#: Fingerprints 40 bits apart share a given set's bytes in 1.5 % of cases: so many sets find 97 % of them.
+TABLES = 256
 MAX_BITS = 40
 _STEP = 1 << 17
 #: Cells of the matrix of documents and words that is held at a time.

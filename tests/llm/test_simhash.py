@@ -39,6 +39,21 @@ def test_recall_and_precision_against_brute_force(docs, prose):
     assert set(range(0, 300, 10)) <= set(kept) and len(kept) <= 30 + 0.05 * len(rows)
 
 
+def test_recall_at_the_threshold(spark, docs, monkeypatch):
+    dice = random.Random(11)
+    signed = lambda x: [(x >> 64 * k & 2**64 - 1) - (x >> 64 * k + 63 & 1) * 2**64 for k in range(4)]
+    rows, want = [], {}
+    for k in range(300):
+        base, bits = dice.getrandbits(256), 37 + k % 4
+        far = base ^ sum(1 << b for b in dice.sample(range(256), bits))
+        rows += [(2 * k, *signed(base)), (2 * k + 1, *signed(far))]
+        want[2 * k, 2 * k + 1] = bits
+    prints = spark.createDataFrame(rows, "doc_id long, f0 long, f1 long, f2 long, f3 long")
+    monkeypatch.setattr(S, "simhashes", lambda *_: prints)
+    got = {(r["doc_a"], r["doc_b"]): r["hamming"] for r in S.near_duplicate_pairs(docs([])).collect()}
+    assert got.items() <= want.items() and len(got) >= 0.9 * len(want)
+
+
 def test_components_of_long_chains(spark):
     chain = [(k, k + 1) for k in range(0, 40)] + [(100, 101), (101, 102)]
     random.Random(1).shuffle(chain)
