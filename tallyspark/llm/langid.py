@@ -4,7 +4,8 @@ Each letter has a random vector of DIM signs, drawn from its code point alone. A
 vectors, each permuted by its place (a cyclic shift), by multiplication; a text's vector bundles those
 of all its n-grams by addition. A language's prototype bundles the texts of a bounded sample of labelled rows,
 each scaled to length 1. A document gets the language of the prototype with the largest cosine, and is rejected where
-that is under MIN_COSINE although it has MIN_GRAMS n-grams, or where it has no letters.
+that is under the limit for its number of n-grams, or where it has no letters. From MIN_GRAMS n-grams on the limit is MIN_COSINE; under
+that it is what all but LOW_SHARE of the sampled texts reach that are cut to so many n-grams.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as N
-from .shared import pick, schema_with
+from .shared import parked, pick, schema_with
 
 DIM = 1024
 NGRAM = 3
@@ -26,9 +27,11 @@ SAMPLE_PER_LANGUAGE = 400
 #: Languages at most; their prototypes lie on the driver.
 MAX_LANGUAGES = 2000
 MIN_COSINE = 0.35
-#: Texts of fewer n-grams are too short to tell from chance; they are not rejected for their cosine. From so many on, labelled good texts of sf0.1
-#: have 0.64 or more; what is rejected is mostly a few words over and over.
+#: From so many n-grams on, a power of two, labelled good texts of sf0.1 have 0.64 or more; what is rejected is mostly a few words over and over.
+#: Shorter texts have lower cosines, so their limits are fitted.
 MIN_GRAMS = 256
+LOW_SHARE = 0.05
+_BINS = 2000
 _STEP = 1 << 17
 #: Cells of the matrix of documents and n-grams that is held at a time.
 _CELLS = 1 << 20
@@ -74,10 +77,28 @@ def letter_vectors(codes: np.ndarray, dim: int = DIM) -> np.ndarray:
     return np.unpackbits(words.view(np.uint8), axis=1).astype(np.int8) * np.int8(2) - np.int8(1)
 
 
+class Profiles(dict[str, np.ndarray]):
+    """Prototypes by language. limits[k] is the least cosine that texts of 2**k to 2**(k + 1) - 1 n-grams are accepted with."""
+
+    limits: tuple[float, ...] = ()
+
+
+def _limits(known: dict[str, np.ndarray], min_cosine: float) -> np.ndarray:
+    """The limits by the binary logarithm of the number of n-grams, min_cosine at most; the last one is for all larger numbers."""
+    return np.append(np.minimum(getattr(known, "limits", ()), min_cosine), min_cosine)
+
+
+def _reached(cosine: np.ndarray, counts: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    return cosine >= limits[np.minimum(np.log2(np.maximum(counts, 1)).astype(np.int64), len(limits) - 1)]
+
+
 def bundles(data: np.ndarray, offsets: np.ndarray, dim: int = DIM, ngram: int = NGRAM) -> tuple[np.ndarray, np.ndarray]:
     """The vectors of the texts, float32, and how many n-grams of letters each has. N-grams of spaces alone don't count."""
-    n_docs = len(offsets) - 1
-    code, edges = letters(data, offsets)
+    return _bundles(*letters(data, offsets), dim, ngram)
+
+
+def _bundles(code: np.ndarray, edges: np.ndarray, dim: int, ngram: int) -> tuple[np.ndarray, np.ndarray]:
+    n_docs = len(edges) - 1
     alphabet, symbol = N.dense(code)
     out, counts = np.zeros((n_docs, dim), np.float32), np.zeros(n_docs, np.int64)
     m = len(code) - ngram + 1
@@ -114,11 +135,12 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.where(size > 0, size, 1)
 
 
-def prototypes(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, sample_per_language: int = SAMPLE_PER_LANGUAGE, dim: int = DIM, ngram: int = NGRAM) -> dict[str, np.ndarray]:
+def prototypes(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, sample_per_language: int = SAMPLE_PER_LANGUAGE, dim: int = DIM, ngram: int = NGRAM) -> Profiles:
     """Each language's prototype, of length 1, from the sample_per_language labelled rows whose ids have the least hashes.
 
     Rows with a null language or id are passed over, texts without letters add nothing; rows that tie with the last sampled hash are
-    taken too. More than MAX_LANGUAGES languages raise ValueError. The texts are bundled where they lie; only sums, a vector a language and task, come to the driver.
+    taken too. More than MAX_LANGUAGES languages raise ValueError. The sampled rows are written to the scratch folder; only sums, a vector a language and task,
+    and counts come to the driver. The limits for short texts are fitted on the sample too, see _fitted().
     """
     rows = pick(labelled, doc_id=id_col, text=text_col, lang=lang_col).where("lang IS NOT NULL AND doc_id IS NOT NULL").withColumn("h", F.xxhash64("doc_id"))
     cut = rows.select("lang", "h").withColumn("n", F.expr("row_number() OVER (PARTITION BY lang ORDER BY h)")).where(F.col("n") <= sample_per_language).groupBy("lang").agg(F.max("h").alias("cut"))
@@ -126,9 +148,10 @@ def prototypes(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if len(cuts) > MAX_LANGUAGES:
         raise ValueError(f"there are more than {MAX_LANGUAGES} languages")
     if not cuts:
-        return {}
+        return Profiles()
     last = F.create_map(*[F.lit(x) for r in cuts for x in (r["lang"], r["cut"])])
     sampled = rows.where(F.col("h") <= last[F.col("lang")]).select("lang", "text")
+    sampled = parked(sampled, "sample")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -144,10 +167,53 @@ def prototypes(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     out: dict[str, np.ndarray] = {}
     for r in sorted(sums):
         out[r["lang"]] = out.get(r["lang"], 0) + np.array(r["v"])
-    return {lang: (v / np.linalg.norm(v)).astype(np.float32) for lang, v in sorted(out.items()) if v.any()}
+    known = Profiles({lang: (v / np.linalg.norm(v)).astype(np.float32) for lang, v in sorted(out.items()) if v.any()})
+    known.limits = _fitted(sampled, out, dim, ngram)
+    return known
+
+
+def _fitted(sampled: DataFrame, sums: dict[str, np.ndarray], dim: int, ngram: int) -> tuple[float, ...]:
+    """The cosines, for 1, 2, 4 n-grams and so on under MIN_GRAMS, that all but LOW_SHARE of the sampled texts (lang, text) reach when cut to so many.
+
+    A text is held against its language's prototype without itself, so the only text of a language tells nothing. Shorter texts than a number are left out of
+    it. Limits don't fall with the number; one that fewer than 1 / LOW_SHARE texts speak for is that of the number before, at first 0.
+    """
+    sizes = [2**k for k in range(MIN_GRAMS.bit_length() - 1)]
+    table = sampled.sparkSession.sparkContext.broadcast(sums)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = np.zeros((len(sizes), _BINS), np.int64)
+        for batch in N.pieces(batches):
+            data, offsets = N.utf8(batch.column(1))
+            langs = batch.column(0).to_pylist()
+            for i, j in N.steps(offsets, _STEP):
+                code, edges = letters(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                whole, counts = _bundles(code, edges, dim, ngram)
+                others = np.stack([table.value[x] for x in langs[i:j]]) - _unit(whole)
+                counts = np.where(np.linalg.norm(others, axis=1) > 1e-3, counts, 0)
+                others = _unit(others)
+                for row, n in zip(tally, sizes):
+                    some = np.flatnonzero(counts >= n)
+                    if len(some):
+                        cut = code[(edges[some][:, None] + np.arange(n + ngram - 1)).ravel()]
+                        vectors = _bundles(cut, np.arange(len(some) + 1) * (n + ngram - 1), dim, ngram)[0]
+                        cosine = (_unit(vectors) * others[some]).sum(axis=1)
+                        row += np.bincount(np.clip((cosine + 1) * (_BINS / 2), 0, _BINS - 1).astype(np.int64), minlength=_BINS)
+        at = np.nonzero(tally)
+        yield pa.RecordBatch.from_arrays([pa.array(at[0]), pa.array(at[1]), pa.array(tally[at])], names=["k", "bin", "n"])
+
+    tally = np.zeros((len(sizes), _BINS), np.int64)
+    for k, b, n in sampled.mapInArrow(run, "k long, bin long, n long").groupBy("k", "bin").agg(F.sum("n").alias("n")).collect():
+        tally[k, b] = n
+    out, limit = [], 0.0
+    for row in tally:
+        if row.sum() * LOW_SHARE >= 1:
+            limit = max(limit, float(np.searchsorted(np.cumsum(row), row.sum() * LOW_SHARE)) * 2 / _BINS - 1)
+        out.append(limit)
+    return tuple(out)
 
 
-def identify(docs: DataFrame, known: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", *, min_cosine: float = MIN_COSINE, min_grams: int = MIN_GRAMS, ngram: int = NGRAM) -> DataFrame:
+def identify(docs: DataFrame, known: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", *, min_cosine: float = MIN_COSINE, ngram: int = NGRAM) -> DataFrame:
     """(doc_id, lang, cosine, margin, accepted) for every row of docs: the language with the largest cosine, and its lead over the next.
 
     Of equal cosines the language first in the alphabet wins. Null, empty and letterless texts, and all texts where no
@@ -155,6 +221,7 @@ def identify(docs: DataFrame, known: dict[str, np.ndarray], id_col: str = "doc_i
     null id too; other columns are ignored.
     """
     names = sorted(known)
+    limits = _limits(known, min_cosine)
     table = docs.sparkSession.sparkContext.broadcast(np.stack([known[x] for x in names]) if names else np.zeros((0, DIM), np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,14 +236,15 @@ def identify(docs: DataFrame, known: dict[str, np.ndarray], id_col: str = "doc_i
                     best, top = np.where(counts > 0, cosine.argmax(axis=1), -1), np.where(counts > 0, cosine.max(axis=1), 0)
                     lead = np.where(counts > 0, top - (np.partition(cosine, -2, axis=1)[:, -2] if len(protos) > 1 else 0), 0)
                 lang = pa.array([names[k] if k >= 0 else None for k in best.tolist()], pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), lang, pa.array(top.astype(np.float64)), pa.array(lead.astype(np.float64)), pa.array((best >= 0) & ((top >= min_cosine) | (counts < min_grams)))], names=["doc_id", "lang", "cosine", "margin", "accepted"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), lang, pa.array(top.astype(np.float64)), pa.array(lead.astype(np.float64)), pa.array((best >= 0) & _reached(top, counts, limits))], names=["doc_id", "lang", "cosine", "margin", "accepted"])
 
     return pick(docs, doc_id=id_col, text=text_col).mapInArrow(run, "doc_id long, lang string, cosine double, margin double, accepted boolean")
 
 
-def keep_identified(docs: DataFrame, known: dict[str, np.ndarray], text_col: str = "text", lang_col: str = "lang", *, min_cosine: float = MIN_COSINE, min_grams: int = MIN_GRAMS, ngram: int = NGRAM) -> DataFrame:
+def keep_identified(docs: DataFrame, known: dict[str, np.ndarray], text_col: str = "text", lang_col: str = "lang", *, min_cosine: float = MIN_COSINE, ngram: int = NGRAM) -> DataFrame:
     """The rows of docs that identify() accepts, all their columns as they were but lang_col, which gets the identified language."""
     names = sorted(known)
+    limits = _limits(known, min_cosine)
     table = docs.sparkSession.sparkContext.broadcast(np.stack([known[x] for x in names]) if names else np.zeros((0, DIM), np.float32))
     at, put = docs.columns.index(text_col), docs.columns.index(lang_col)
 
@@ -189,7 +257,7 @@ def keep_identified(docs: DataFrame, known: dict[str, np.ndarray], text_col: str
                 if len(protos):
                     vectors, counts = bundles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], protos.shape[1], ngram)
                     cosine = _unit(vectors) @ protos.T
-                    best[i:j] = np.where((counts > 0) & ((cosine.max(axis=1) >= min_cosine) | (counts < min_grams)), cosine.argmax(axis=1), -1)
+                    best[i:j] = np.where((counts > 0) & _reached(cosine.max(axis=1), counts, limits), cosine.argmax(axis=1), -1)
             columns = batch.columns
             columns[put] = pa.array([names[k] if k >= 0 else None for k in best.tolist()], batch.column(put).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(best >= 0))

@@ -64,3 +64,11 @@ def test_rejection_and_odd_rows(spark, docs, odd_rows):
     assert L.identify(df.limit(0), known).count() == 0
     few = L.prototypes(corpus(spark), sample_per_language=1)
     assert sorted(few) == ["de", "en", "fr"]
+
+
+def test_short_texts_are_judged(spark, docs):
+    known = L.prototypes(corpus(spark))
+    assert len(known.limits) == 8 and list(known.limits) == sorted(known.limits) and 0 < known.limits[-1]
+    df = docs([(50, " ".join(["qxzj vkwq zzxq jjqv wqxk"] * 8)), (51, TEXTS["de"]), (52, "Zug."), (53, "qxzj vkwq zzxq jjqv wqxk")])
+    assert {r["doc_id"] for r in L.identify(df, known).where("accepted").collect()} == {51, 52}
+    assert {r["doc_id"] for r in L.keep_identified(df, known).collect()} == {51, 52}
