@@ -14,8 +14,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates stay in their first document alone."""
-    return lines.line_dedup(docs).drop("dropped_lines")
+    """Lines of recurring templates, those of one token included, stay in their first document alone."""
+    return lines.line_dedup(docs, min_tokens=1).drop("dropped_lines")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,8 +23,8 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents without lines of recurring templates."""
-    return lines.line_dedup(_table(spark, sf_dir, "documents"))
+    """The documents without lines of recurring templates, those of one token included."""
+    return lines.line_dedup(_table(spark, sf_dir, "documents"), min_tokens=1)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

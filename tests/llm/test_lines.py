@@ -1,6 +1,8 @@
 import random
 
+import corpus_pipeline
 from tallyspark.llm import lines as L
+from tallyspark.llm import queries
 
 
 def brute(rows, depth=L.DEPTH, similarity=L.SIMILARITY, min_docs=L.MIN_DOCS, min_tokens=L.MIN_TOKENS):
@@ -72,3 +74,12 @@ def test_odd_rows(docs, odd_rows):
     assert L.line_dedup(df.limit(0)).count() == 0
     nobody = docs([(None, same)] * 7)
     assert L.line_dedup(nobody).where("text <> ''").count() == 7
+
+
+def test_lines_of_one_token_in_the_queries(spark, docs, prose, tmp_path):
+    rows = [(d, "\n".join(["Advertisement", prose(d, 9), f"p{d}", "Rare." if d < 5 else "x y", ""])) for d in range(12)]
+    docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    want = sorted(brute(rows, min_tokens=1))
+    assert sum("Advertisement" in t for _, t in want) == 1 and sum("Rare." in t for _, t in want) == 5
+    for out in (queries.op3_line_dedup(spark, str(tmp_path)), corpus_pipeline.line_dedup(spark, docs(rows), str(tmp_path))):
+        assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == want
