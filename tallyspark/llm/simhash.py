@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as N
@@ -91,8 +91,20 @@ def simhashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return pick(docs, doc_id=id_col, text=text_col).where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, "doc_id long, f0 long, f1 long, f2 long, f3 long")
 
 
-def _byte(position: int) -> Column:
-    return F.shiftrightunsigned(F.col(_PARTS[position // 8]), 8 * (position % 8)).bitwiseAND(F.lit(255))
+def _entries(prints: DataFrame, sets: list[tuple[int, ...]]) -> DataFrame:
+    """(doc_id, key) for each fingerprint and set. Built in numpy, since hundreds of sets as columns fill the driver's memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1000):
+                some = batch.slice(a, 1000)
+                parts = np.stack([some.column(k).to_numpy(zero_copy_only=False) for k in range(1, 5)], axis=1)
+                at = np.ascontiguousarray(parts).view(np.uint8).astype(np.int64)[:, np.array(sets)]
+                keys = (at << 8 * np.arange(at.shape[2])).sum(axis=2) + (np.arange(len(sets)) << 8 * at.shape[2])
+                ids = np.repeat(some.column(0).to_numpy(zero_copy_only=False), len(sets))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys.ravel())], names=["doc_id", "key"])
+
+    return prints.select("doc_id", *_PARTS).mapInArrow(run, "doc_id long, key long")
 
 
 def near_duplicate_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, max_bits: int = MAX_BITS, tables: int = TABLES, key_bytes: int = KEY_BYTES) -> DataFrame:
@@ -109,9 +121,8 @@ def near_duplicate_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str
     prints = parked(prints, "simhash")
     same = prints.where("first < doc_id").selectExpr("first AS doc_a", "doc_id AS doc_b", "0 AS hamming")
     sets = position_sets(tables, key_bytes)
-    keys = F.array(*[F.lit(t * 256**key_bytes) + sum((F.shiftleft(_byte(p), 8 * k) for k, p in enumerate(s)), F.lit(0).cast("long")) for t, s in enumerate(sets)])
     firsts = prints.where("first = doc_id").drop("first")
-    entries = firsts.select("doc_id", F.explode(keys).alias("key"))
+    entries = _entries(firsts, sets)
     a, b = entries.alias("a"), entries.alias("b")
     met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.doc_id") < F.col("b.doc_id"))).groupBy(F.col("a.doc_id").alias("doc_a"), F.col("b.doc_id").alias("doc_b")).agg(F.count("*").alias("lists"))
     # by now a pair and its tally of lists are all that moves; the fingerprints are fetched for distinct pairs only
