@@ -4,12 +4,14 @@ Each letter has a random vector of DIM signs, drawn from its code point alone. A
 vectors, each permuted by its place (a cyclic shift), by multiplication; a text's vector bundles those
 of all its n-grams by addition. A language's prototype bundles the texts of a bounded sample of labelled rows,
 each scaled to length 1. A document gets the language of the prototype with the largest cosine, and is rejected where
-that is under the limit for its number of n-grams, or where it has no letters. From MIN_GRAMS n-grams on the limit is MIN_COSINE; under
-that it is what all but LOW_SHARE of the sampled texts reach that are cut to so many n-grams.
+that is under the limit for its number of n-grams, or where it has no letters. One rule makes the limits for all numbers: what all
+but LOW_SHARE of the sampled texts reach when cut to so many n-grams, but no less than CHANCE standard deviations of
+the cosine with a random vector, 1 / sqrt(DIM) each, and no more than MIN_COSINE.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,32 +20,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as N
-from .shared import parked, pick, schema_with
+from .shared import BROADCAST_BYTES, parked, pick, schema_with
 
 DIM = 1024
 NGRAM = 3
 #: Labelled rows of each language that prototypes are fitted on, at most.
 SAMPLE_PER_LANGUAGE = 400
-#: Languages at most; their prototypes lie on the driver.
-MAX_LANGUAGES = 2000
 MIN_COSINE = 0.35
-#: From so many n-grams on, a power of two, labelled good texts of sf0.1 have 0.64 or more; what is rejected is mostly a few words over and over.
-#: Shorter texts have lower cosines, so their limits are fitted.
-MIN_GRAMS = 256
+#: A random vector's cosine with a prototype exceeds so many standard deviations in one case of 740.
+CHANCE = 3.0
 LOW_SHARE = 0.05
+#: Limits are fitted for 1, 2, 4 ... n-grams, up to two to this power; in samples of natural text they reach MIN_COSINE well before.
+_FITTED = 16
 _BINS = 2000
 _STEP = 1 << 17
 #: Cells of the matrix of documents and n-grams that is held at a time.
 _CELLS = 1 << 20
 
-_FOLD = np.full(0x250, 32, np.int64)
-for _c in range(0x250):
-    if chr(_c).isalpha():
-        _FOLD[_c] = ord(chr(_c).lower()) if len(chr(_c).lower()) == 1 else _c
+
+def _fold(code: int) -> int:
+    """A letter's lower case, a combining mark itself, a space for anything else."""
+    c = chr(code)
+    if not c.isalpha():
+        return code if unicodedata.category(c)[0] == "M" else 32
+    return ord(c.lower()) if len(c.lower()) == 1 else code
+
+
+_FOLD = np.array([_fold(c) for c in range(0x250)], np.int64)
 
 
 def letters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-case code points of the texts with every run of other characters as one space, a space around each text; and their edges."""
+    """Lower-case letters and combining marks of the texts, of any script, as code points, with every run of other characters as one space, a space around each text; and their edges."""
     lead = (data & 0xC0) != 0x80
     at = np.flatnonzero(lead)
     b = data[at].astype(np.int64)
@@ -57,7 +64,10 @@ def letters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
             code[some] = x
     near = code < len(_FOLD)
     code[near] = _FOLD[code[near]]
-    code[~near & (code >= 0x2000) & (code < 0x3040)] = 32
+    far = np.flatnonzero(~near)
+    if len(far):
+        distinct, index = N.dense(code[far])
+        code[far] = np.array([_fold(c) for c in distinct.tolist()], np.int64)[index]
     edges = np.searchsorted(at, offsets)
     n_docs = len(offsets) - 1
     doc = np.repeat(np.arange(n_docs), np.diff(edges))
@@ -78,14 +88,15 @@ def letter_vectors(codes: np.ndarray, dim: int = DIM) -> np.ndarray:
 
 
 class Profiles(dict[str, np.ndarray]):
-    """Prototypes by language. limits[k] is the least cosine that texts of 2**k to 2**(k + 1) - 1 n-grams are accepted with."""
+    """Prototypes by language. limits[k] is the least cosine that texts of 2**k to 2**(k + 1) - 1 n-grams are accepted with; the last one holds for longer texts too."""
 
     limits: tuple[float, ...] = ()
 
 
-def _limits(known: dict[str, np.ndarray], min_cosine: float) -> np.ndarray:
-    """The limits by the binary logarithm of the number of n-grams, min_cosine at most; the last one is for all larger numbers."""
-    return np.append(np.minimum(getattr(known, "limits", ()), min_cosine), min_cosine)
+def _limits(known: dict[str, np.ndarray], min_cosine: float, dim: int) -> np.ndarray:
+    """The limits by the binary logarithm of the number of n-grams, between chance and min_cosine; without fitted ones min_cosine for all."""
+    fitted = np.array(getattr(known, "limits", ()) or (min_cosine,))
+    return np.minimum(np.maximum(fitted, CHANCE / np.sqrt(dim)), min_cosine)
 
 
 def _reached(cosine: np.ndarray, counts: np.ndarray, limits: np.ndarray) -> np.ndarray:
@@ -138,20 +149,19 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 def prototypes(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, sample_per_language: int = SAMPLE_PER_LANGUAGE, dim: int = DIM, ngram: int = NGRAM) -> Profiles:
     """Each language's prototype, of length 1, from the sample_per_language labelled rows whose ids have the least hashes.
 
-    Rows with a null language or id are passed over, texts without letters add nothing; rows that tie with the last sampled hash are
-    taken too. More than MAX_LANGUAGES languages raise ValueError. The sampled rows are written to the scratch folder; only sums, a vector a language and task,
-    and counts come to the driver. The limits for short texts are fitted on the sample too, see _fitted().
+    Rows with a null language or id are passed over, null, empty and letterless texts add nothing; rows that tie with the last sampled hash are
+    taken too. Ids are of any type that can be hashed. The sampled rows are written to the scratch folder; a language's are summed in one place, so a vector for
+    each language and counts are all that comes to the driver. The limits are fitted on the sample too, see _fitted().
     """
     rows = pick(labelled, doc_id=id_col, text=text_col, lang=lang_col).where("lang IS NOT NULL AND doc_id IS NOT NULL").withColumn("h", F.xxhash64("doc_id"))
     cut = rows.select("lang", "h").withColumn("n", F.expr("row_number() OVER (PARTITION BY lang ORDER BY h)")).where(F.col("n") <= sample_per_language).groupBy("lang").agg(F.max("h").alias("cut"))
-    cuts = cut.limit(MAX_LANGUAGES + 1).collect()
-    if len(cuts) > MAX_LANGUAGES:
-        raise ValueError(f"there are more than {MAX_LANGUAGES} languages")
-    if not cuts:
+    cut = parked(cut, "cuts")
+    n_langs = cut.count()
+    if not n_langs:
         return Profiles()
-    last = F.create_map(*[F.lit(x) for r in cuts for x in (r["lang"], r["cut"])])
-    sampled = rows.where(F.col("h") <= last[F.col("lang")]).select("lang", "text")
-    sampled = parked(sampled, "sample")
+    sampled = rows.join(F.broadcast(cut) if n_langs * 64 <= BROADCAST_BYTES else cut, "lang").where("h <= cut").select("lang", "text")
+    n = int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sampled = parked(sampled.repartition(min(n, n_langs), "lang"), "sample")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -168,17 +178,17 @@ def prototypes(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     for r in sorted(sums):
         out[r["lang"]] = out.get(r["lang"], 0) + np.array(r["v"])
     known = Profiles({lang: (v / np.linalg.norm(v)).astype(np.float32) for lang, v in sorted(out.items()) if v.any()})
-    known.limits = _fitted(sampled, out, dim, ngram)
+    known.limits = _fitted(sampled, {lang: v.astype(np.float32) for lang, v in out.items()}, dim, ngram)
     return known
 
 
 def _fitted(sampled: DataFrame, sums: dict[str, np.ndarray], dim: int, ngram: int) -> tuple[float, ...]:
-    """The cosines, for 1, 2, 4 n-grams and so on under MIN_GRAMS, that all but LOW_SHARE of the sampled texts (lang, text) reach when cut to so many.
+    """The cosines, for 1, 2, 4 n-grams and so on, that all but LOW_SHARE of the sampled texts (lang, text) reach when cut to so many.
 
     A text is held against its language's prototype without itself, so the only text of a language tells nothing. Shorter texts than a number are left out of
     it. Limits don't fall with the number; one that fewer than 1 / LOW_SHARE texts speak for is that of the number before, at first 0.
     """
-    sizes = [2**k for k in range(MIN_GRAMS.bit_length() - 1)]
+    sizes = [2**k for k in range(_FITTED + 1)]
     table = sampled.sparkSession.sparkContext.broadcast(sums)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,53 +223,70 @@ def _fitted(sampled: DataFrame, sums: dict[str, np.ndarray], dim: int, ngram: in
     return tuple(out)
 
 
+class _Judge:
+    """Languages in blocks whose prototypes are small enough to broadcast; a text's best one is carried from block to block."""
+
+    def __init__(self, docs: DataFrame, known: dict[str, np.ndarray], min_cosine: float, ngram: int):
+        names, send = sorted(known), docs.sparkSession.sparkContext.broadcast
+        dim = len(known[names[0]]) if names else DIM
+        per = max(1, BROADCAST_BYTES // (4 * dim))
+        self.blocks = [(names[k : k + per], send(np.stack([known[x] for x in names[k : k + per]]))) for k in range(0, len(names), per)]
+        self.limits, self.dim, self.ngram = _limits(known, min_cosine, dim), dim, ngram
+
+    def __call__(self, column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """(language, cosine, margin, accepted) of each text."""
+        data, offsets = N.utf8(column)
+        n = len(offsets) - 1
+        lang, top, next_best, counts = np.full(n, None, object), np.full(n, -np.inf), np.full(n, -np.inf), np.zeros(n, np.int64)
+        for i, j in N.steps(offsets, _STEP):
+            vectors, counts[i:j] = bundles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], self.dim, self.ngram)
+            vectors, some = _unit(vectors), slice(i, j)
+            for names, table in self.blocks:
+                cosine = vectors @ table.value.T
+                best = cosine.max(axis=1)
+                second = np.partition(cosine, -2, axis=1)[:, -2] if len(names) > 1 else np.full(j - i, -np.inf)
+                ahead = best > top[some]
+                next_best[some] = np.maximum(np.where(ahead, second, best), np.where(ahead, top[some], next_best[some]))
+                lang[some][ahead] = np.array(names, object)[cosine.argmax(axis=1)][ahead]
+                top[some] = np.maximum(top[some], best)
+        judged = (counts > 0) & (top > -np.inf)
+        lang[~judged] = None
+        top, margin = np.where(judged, top, 0), np.where(judged, top - np.where(next_best > -np.inf, next_best, 0), 0)
+        return pa.array(lang.tolist(), pa.string()), top, margin, judged & _reached(top, counts, self.limits)
+
+
 def identify(docs: DataFrame, known: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", *, min_cosine: float = MIN_COSINE, ngram: int = NGRAM) -> DataFrame:
     """(doc_id, lang, cosine, margin, accepted) for every row of docs: the language with the largest cosine, and its lead over the next.
 
     Of equal cosines the language first in the alphabet wins. Null, empty and letterless texts, and all texts where no
-    language is known, have a null language, cosine and margin 0, and are rejected. Texts count whole; each row counts by itself, with a
-    null id too; other columns are ignored.
+    language is known, have a null language, cosine and margin 0, and are rejected. Texts count whole, however long; each row counts by itself, with a
+    null id too. Ids are whole numbers; other columns are ignored, and an empty table gives an empty one.
     """
-    names = sorted(known)
-    limits = _limits(known, min_cosine)
-    table = docs.sparkSession.sparkContext.broadcast(np.stack([known[x] for x in names]) if names else np.zeros((0, DIM), np.float32))
+    judge = _Judge(docs, known, min_cosine, ngram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        protos = table.value
         for batch in N.pieces(batches):
-            data, offsets = N.utf8(batch.column(1))
-            for i, j in N.steps(offsets, _STEP):
-                vectors, counts = bundles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], protos.shape[1], ngram)
-                best, top, lead = np.full(j - i, -1), np.zeros(j - i), np.zeros(j - i)
-                if len(protos):
-                    cosine = _unit(vectors) @ protos.T
-                    best, top = np.where(counts > 0, cosine.argmax(axis=1), -1), np.where(counts > 0, cosine.max(axis=1), 0)
-                    lead = np.where(counts > 0, top - (np.partition(cosine, -2, axis=1)[:, -2] if len(protos) > 1 else 0), 0)
-                lang = pa.array([names[k] if k >= 0 else None for k in best.tolist()], pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), lang, pa.array(top.astype(np.float64)), pa.array(lead.astype(np.float64)), pa.array((best >= 0) & _reached(top, counts, limits))], names=["doc_id", "lang", "cosine", "margin", "accepted"])
+            lang, top, margin, accepted = judge(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lang, *map(pa.array, (top, margin, accepted))], names=["doc_id", "lang", "cosine", "margin", "accepted"])
 
-    return pick(docs, doc_id=id_col, text=text_col).mapInArrow(run, "doc_id long, lang string, cosine double, margin double, accepted boolean")
+    slim = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return slim.mapInArrow(run, "doc_id long, lang string, cosine double, margin double, accepted boolean")
 
 
 def keep_identified(docs: DataFrame, known: dict[str, np.ndarray], text_col: str = "text", lang_col: str = "lang", *, min_cosine: float = MIN_COSINE, ngram: int = NGRAM) -> DataFrame:
-    """The rows of docs that identify() accepts, all their columns as they were but lang_col, which gets the identified language."""
-    names = sorted(known)
-    limits = _limits(known, min_cosine)
-    table = docs.sparkSession.sparkContext.broadcast(np.stack([known[x] for x in names]) if names else np.zeros((0, DIM), np.float32))
+    """The rows of docs that are accepted, all their columns as they were but lang_col, which gets the identified language.
+
+    Null, empty and letterless texts go, and all rows where no language is known. Of equal cosines the language first in the alphabet wins. Texts count whole, however
+    long; repeated rows, with a null id too, stay or go alike; an empty table gives an empty one.
+    """
+    judge = _Judge(docs, known, min_cosine, ngram)
     at, put = docs.columns.index(text_col), docs.columns.index(lang_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        protos = table.value
         for batch in N.pieces(batches):
-            data, offsets = N.utf8(batch.column(at))
-            best = np.full(batch.num_rows, -1)
-            for i, j in N.steps(offsets, _STEP):
-                if len(protos):
-                    vectors, counts = bundles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], protos.shape[1], ngram)
-                    cosine = _unit(vectors) @ protos.T
-                    best[i:j] = np.where((counts > 0) & _reached(cosine.max(axis=1), counts, limits), cosine.argmax(axis=1), -1)
+            lang, _top, _margin, accepted = judge(batch.column(at))
             columns = batch.columns
-            columns[put] = pa.array([names[k] if k >= 0 else None for k in best.tolist()], batch.column(put).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(best >= 0))
+            columns[put] = lang.cast(batch.column(put).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(accepted))
 
     return docs.mapInArrow(run, schema_with(docs))

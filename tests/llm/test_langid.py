@@ -1,3 +1,5 @@
+import functools
+
 import numpy as np
 
 from tallyspark.llm import langid as L
@@ -51,7 +53,7 @@ def test_held_out_accuracy(spark):
 def test_rejection_and_odd_rows(spark, docs, odd_rows):
     known = L.prototypes(corpus(spark))
     alien = " ".join(["qxzj vkwq zzxq jjqv wqxk"] * 24)
-    df = docs([*odd_rows, (50, alien), (51, TEXTS["de"]), (52, "Zug.")], "cosine margin accepted")
+    df = docs([*odd_rows, (50, alien), (51, TEXTS["de"]), (52, "Der faule Hund.")], "cosine margin accepted")
     got = {r["doc_id"]: r for r in L.identify(df, known).collect()}
     assert not any(got[d]["accepted"] for d in (1, 2, 3, 4, 50)) and got[2]["lang"] is None and got[2]["cosine"] == 0
     assert got[51]["lang"] == "de" and got[51]["accepted"] and got[52]["accepted"]
@@ -68,7 +70,73 @@ def test_rejection_and_odd_rows(spark, docs, odd_rows):
 
 def test_short_texts_are_judged(spark, docs):
     known = L.prototypes(corpus(spark))
-    assert len(known.limits) == 8 and list(known.limits) == sorted(known.limits) and 0 < known.limits[-1]
-    df = docs([(50, " ".join(["qxzj vkwq zzxq jjqv wqxk"] * 8)), (51, TEXTS["de"]), (52, "Zug."), (53, "qxzj vkwq zzxq jjqv wqxk")])
+    assert list(known.limits) == sorted(known.limits) and 0 < known.limits[-1]
+    floor = L._limits(known, L.MIN_COSINE, L.DIM)
+    assert min(floor) >= L.CHANCE / L.DIM**0.5 and max(floor) <= L.MIN_COSINE
+    alien = [" ".join(["qxzj vkwq zzxq jjqv wqxk"] * 8), "qxzj vkwq zzxq jjqv wqxk", "qxzj vkwq zzxq", "qx"]
+    df = docs([*enumerate(alien, 100), (51, TEXTS["de"]), (52, "Der faule Hund.")])
     assert {r["doc_id"] for r in L.identify(df, known).where("accepted").collect()} == {51, 52}
     assert {r["doc_id"] for r in L.keep_identified(df, known).collect()} == {51, 52}
+
+
+def test_letters_of_any_script(spark, docs):
+    fold = lambda t: "".join(map(chr, L.letters(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0]))
+    assert fold("ПРИВЕТ, Мир!") == " привет мир " and fold("ΑΒΓ") == " αβγ " and fold("日本語") == " 日本語 "
+    assert fold("🙂🙂").strip() == "" and fold("１２３").strip() == "" and fold("हिन्दी") == " हिन्दी "
+    known = L.prototypes(corpus(spark))
+    rows = L.identify(docs([(1, "🙂 🙂🙂"), (2, "１２３ ４"), (3, "12 %")]), known).collect()
+    assert all(r["lang"] is None and r["cosine"] == 0 and not r["accepted"] for r in rows)
+
+
+def plain(text, protos, dim):
+    """Language, cosine and margin by loops over letters and n-grams."""
+    clean = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+    while "  " in clean:
+        clean = clean.replace("  ", " ")
+    if not clean.strip():
+        return None, 0.0, 0.0, 0
+    total = sum(gram(clean[k : k + 3], dim) for k in range(len(clean) - 2))
+    cosines = sorted(((float(total @ v / np.linalg.norm(total)), lang) for lang, v in protos.items()), key=lambda x: (-x[0], x[1]))
+    return cosines[0][1], cosines[0][0], cosines[0][0] - cosines[1][0], len(clean) - 2
+
+
+def test_the_query_against_loops(spark, monkeypatch):
+    """op4_language_id as it is registered, over the whole table: cosine, language, margin and acceptance of every document by loops; with blocks of one language too."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").collect()
+    protos = {}
+    for r in rows:
+        if r["lang"] is not None and r["text"]:
+            one = plain_vector(r["text"], L.DIM)
+            protos[r["lang"]] = protos.get(r["lang"], 0) + one
+    protos = {lang: v / np.linalg.norm(v) for lang, v in protos.items()}
+    from tallyspark.llm import queries
+
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    limits = L._limits(L.prototypes(df), L.MIN_COSINE, L.DIM)
+    got = {r["doc_id"]: r for r in queries.op4_language_id(spark, "/root/testdata/sf0.001").collect()}
+    for r in rows:
+        lang, cosine, margin, n = plain(r["text"] or "", protos, L.DIM)
+        limit = limits[min(int(np.log2(max(n, 1))), len(limits) - 1)]
+        if abs(cosine - limit) > 1e-4:
+            assert (r["doc_id"] in got) == (lang is not None and cosine > limit)
+        if r["doc_id"] in got:
+            g = got[r["doc_id"]]
+            assert abs(g["cosine"] - cosine) < 1e-4 and abs(g["margin"] - margin) < 1e-4 and (g["lang"] == lang or margin < 1e-4)
+    monkeypatch.setattr(L, "BROADCAST_BYTES", 4 * L.DIM)
+    blocks = {r["doc_id"]: r for r in queries.op4_language_id(spark, "/root/testdata/sf0.001").collect()}
+    assert blocks.keys() == got.keys() and all(blocks[d]["lang"] == got[d]["lang"] and abs(blocks[d]["margin"] - got[d]["margin"]) < 1e-6 for d in got)
+
+
+def plain_vector(text, dim):
+    """A text's bundle of length 1, by loops."""
+    clean = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+    while "  " in clean:
+        clean = clean.replace("  ", " ")
+    total = sum((gram(clean[k : k + 3], dim) for k in range(len(clean) - 2) if clean.strip()), np.zeros(dim))
+    return total / max(np.linalg.norm(total), 1e-12)
+
+
+@functools.cache
+def gram(letters, dim):
+    a, b, c = (L.letter_vectors(np.array([ord(x)]), dim)[0].astype(float) for x in letters)
+    return np.roll(a, 2) * np.roll(b, 1) * c
