@@ -3,7 +3,7 @@
 A shard is a run of documents of about SHARD_BYTES. Its words, with a separator after each document, are
 sorted as suffixes; the Burrows-Wheeler transform of the sequence is kept as a wavelet matrix with prefix
 counts, beside every SAMPLE-th suffix position and those of the documents' first words. All benchmark phrases, the windows of ngram words of each
-item, are searched backwards together by wavelet ranks; the occurrences are located by walking to a sampled
+item and shorter items whole, are searched backwards together by wavelet ranks, those of one length at a time; the occurrences are located by walking to a sampled
 position, and overlapping or touching ones are merged to removal spans.
 
 Phrases reach the shards by broadcast up to a checked size. Beyond it the shard indexes are written to the
@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as N
-from .shared import BROADCAST_BYTES, parked, pick, schema_with
+from .shared import BROADCAST_BYTES, parked, pick, schema_with, unused
 from .substring import remove_spans
 
 NGRAM = 13
+#: Items of fewer words are too common as phrases to tell a leak from ordinary language.
+SHORTEST = 5
 SHARD_BYTES = 2 << 20
 SAMPLE = 16
 
@@ -123,41 +125,54 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return d[new], s[new], (reach[last] - (d[new] << 40)) if len(d) else s, of
 
 
-def shard_spans(index: FMIndex, phrases: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(document, first word, words, items) of each removal span in one shard; items[i] belongs to phrase i."""
-    phrase, place = index.search(phrases)
+#: Phrases of one length, a row of word hashes each, and the item of each.
+Phrases = list[tuple[np.ndarray, np.ndarray]]
+
+
+def shard_spans(index: FMIndex, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(document, first word, words, items) of each removal span in one shard."""
+    found = [np.zeros((3, 0), np.int64)]
+    for grams, items in phrases:
+        phrase, place = index.search(grams)
+        found.append(np.stack([place, place + grams.shape[1], items[phrase]]))
+    place, end, item = np.concatenate(found, axis=1)
     doc = np.searchsorted(index.begins, place, "right") - 1
-    start = place - index.begins[doc]
-    d, s, e, of = merged(doc, start, start + phrases.shape[1])
-    pairs = np.unique(np.stack([of, items[phrase]]), axis=1)
+    d, s, e, of = merged(doc, place - index.begins[doc], end - index.begins[doc])
+    pairs = np.unique(np.stack([of, item]), axis=1)
     ids = np.split(pairs[1], np.searchsorted(pairs[0], np.arange(1, len(d)))) if len(d) else []
     return d, s, e - s, ids
 
 
-def phrases_of(bench: DataFrame, item_col: str = "item_id", text_col: str = "text", *, ngram: int = NGRAM) -> DataFrame:
-    """(item_id, gram): every window of ngram words of every item, as 8 bytes a word. Items of fewer words have none."""
+def phrases_of(bench: DataFrame, item_col: str = "item_id", text_col: str = "text", *, ngram: int = NGRAM, shortest: int = SHORTEST) -> DataFrame:
+    """(item_id, gram): every window of ngram words of every item, as 8 bytes a word. An item of fewer words, but `shortest` at least, is one phrase."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in N.pieces(batches):
             data, offsets = N.utf8(batch.column(1))
             w = N.words(data, offsets)
-            begin = np.concatenate([np.arange(a, b - ngram + 1) for a, b in zip(w.first[:-1], w.first[1:])] or [np.zeros(0, np.int64)])
-            rows = w.hashes[begin[:, None] + np.arange(ngram)] if len(begin) else np.zeros((0, ngram), np.uint64)
-            item = batch.column(0).cast(pa.int64()).take(pa.array(np.searchsorted(w.first, begin, "right") - 1))
-            yield pa.RecordBatch.from_arrays([item, pa.array([r.tobytes() for r in rows], pa.binary())], names=["item_id", "gram"])
+            items, grams = [], []
+            for item, a, b in zip(batch.column(0).to_pylist(), w.first[:-1].tolist(), w.first[1:].tolist()):
+                wide = min(ngram, b - a)
+                own = [w.hashes[k : k + wide].tobytes() for k in range(a, b - wide + 1)] if wide >= min(shortest, ngram) else []
+                grams += own
+                items += [item] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(grams, pa.binary())], names=["item_id", "gram"])
 
-    return pick(bench, item_id=item_col, text=text_col).where("item_id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, "item_id long, gram binary").distinct()
+    slim = pick(bench, item_id=item_col, text=text_col).select(F.col("item_id").cast("long"), F.col("text").cast("string"))
+    return slim.where("item_id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, "item_id long, gram binary").distinct()
 
 
-def _blocks(bench: DataFrame, item_col: str, text_col: str, ngram: int, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """Phrases and their items, as many at a time as the limit allows, and whether these are all."""
-    found = parked(phrases_of(bench, item_col, text_col, ngram=ngram), "phrases")
+def _blocks(bench: DataFrame, item_col: str, text_col: str, ngram: int, limit: int, shortest: int) -> Iterator[tuple[Phrases, bool]]:
+    """Phrases, as many at a time as the limit allows, and whether these are all."""
+    found = parked(phrases_of(bench, item_col, text_col, ngram=ngram, shortest=shortest), "phrases")
     n = found.count()
     blocks = max(1, -(-n * (8 * ngram + 8) // limit))
     for k in range(blocks):
         rows = found.where(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == k).toArrow() if blocks > 1 else found.toArrow()
-        grams = np.frombuffer(b"".join(rows["gram"].to_pylist()), np.uint64).reshape(-1, ngram)
-        yield grams, rows["item_id"].to_numpy(), blocks == 1
+        grams, items = rows["gram"].to_pylist(), rows["item_id"].to_numpy()
+        wide = np.array([len(x) // 8 for x in grams], np.int64)
+        by_width = [(w, np.flatnonzero(wide == w)) for w in np.unique(wide).tolist()]
+        yield [(np.frombuffer(b"".join([grams[k] for k in some.tolist()]), np.uint64).reshape(-1, w), items[some]) for w, some in by_width], blocks == 1
 
 
 def _shards(column: pa.Array, shard_bytes: int) -> Iterator[tuple[int, int, N.Words]]:
@@ -181,25 +196,25 @@ def _span_batch(ids: pa.Array, d: np.ndarray, s: np.ndarray, n: np.ndarray, item
     return pa.RecordBatch.from_arrays([ids.take(pa.array(d)).cast(pa.int64()), pa.array(s), pa.array(n), pa.array([x.tolist() for x in items], pa.list_(pa.int64()))], names=["doc_id", "start_word", "n_words", "item_ids"])
 
 
-def contaminated_spans(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, ngram: int = NGRAM, shard_bytes: int = SHARD_BYTES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(doc_id, start_word, n_words, item_ids): the maximal runs of words that ngram-word phrases of the benchmark cover.
+def contaminated_spans(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, ngram: int = NGRAM, shortest: int = SHORTEST, shard_bytes: int = SHARD_BYTES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(doc_id, start_word, n_words, item_ids): the maximal runs of words that phrases of the benchmark cover.
 
-    Words are compared in lower case without punctuation and counted from 0. Documents that share no phrase
-    have no row; so have null, empty and wordless texts. Every row of docs is searched, repeated rows each by
-    itself; a null id stays null. Items that are null, have a null id or fewer than ngram words give no phrase.
-    An empty benchmark or corpus gives an empty result. Other columns are ignored.
+    Phrases are all windows of ngram words of an item; an item of fewer words, but `shortest` at least, is a phrase as a whole. Words are compared in lower
+    case without punctuation and counted from 0. Documents that share no phrase have no row; so have null, empty and wordless texts. Every row of docs is
+    searched whole, however long, repeated rows each by itself; a null id stays null. Items that are null, have a null id or fewer than `shortest` words give no
+    phrase; of repeated items and phrases one counts. An empty benchmark or corpus gives an empty result. Ids are whole numbers; other columns are ignored.
     """
-    spark, both = docs.sparkSession, pick(docs, doc_id=id_col, text=text_col)
+    spark, both = docs.sparkSession, pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     index = None
     out = []
-    for grams, items, alone in _blocks(bench, item_col, item_text_col, ngram, broadcast_bytes):
-        sent = spark.sparkContext.broadcast((grams, items))
+    for phrases, alone in _blocks(bench, item_col, item_text_col, ngram, broadcast_bytes, shortest):
+        sent = spark.sparkContext.broadcast(phrases)
         if alone:
 
             def direct(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
                 for batch in N.pieces(batches):
                     for i, j, w in _shards(batch.column(1), shard_bytes):
-                        yield _span_batch(batch.column(0).slice(i, j - i), *shard_spans(FMIndex(w.hashes, w.first), *sent.value))
+                        yield _span_batch(batch.column(0).slice(i, j - i), *shard_spans(FMIndex(w.hashes, w.first), sent.value))
 
             return both.mapInArrow(direct, _SPANS)
 
@@ -216,7 +231,7 @@ def contaminated_spans(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id"
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for shard, ids, fm in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                    d, s, n, found = shard_spans(FMIndex.load(fm.as_py()), *sent.value)
+                    d, s, n, found = shard_spans(FMIndex.load(fm.as_py()), sent.value)
                     spans = _span_batch(pa.array(ids, pa.int64()), d, s, n, found)
                     yield spans.append_column("row", pa.array([f"{shard}-{k}" for k in d.tolist()], pa.string()))
 
@@ -235,27 +250,29 @@ def _united(parts: list[DataFrame]) -> DataFrame:
     return run.groupBy("row", "part").agg(F.first("doc_id").alias("doc_id"), F.min("start_word").alias("start_word"), (F.max(F.expr("start_word + n_words")) - F.min("start_word")).alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids")).drop("row", "part")
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, text_col: str = "text", n_chars_col: str | None = "n_chars", item_col: str = "item_id", item_text_col: str = "text", *, ngram: int = NGRAM, shard_bytes: int = SHARD_BYTES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, bench: DataFrame, text_col: str = "text", n_chars_col: str | None = "n_chars", item_col: str = "item_id", item_text_col: str = "text", *, ngram: int = NGRAM, shortest: int = SHORTEST, shard_bytes: int = SHARD_BYTES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """docs with the text of every removal span of contaminated_spans() cut out, from its first to its last word, and n_chars recounted.
 
-    All rows stay, in all columns; a text that was wholly contaminated becomes empty, a null one stays null.
-    Where the benchmark is too large to broadcast, the spans of all its blocks are found first, and cut out by a join.
+    All rows stay, repeated ones and those with a null id too, in all columns, whatever their names; a text that was wholly contaminated becomes empty, null, empty and
+    wordless ones stay as they are. Texts are searched whole, however long. Where the benchmark is too large to broadcast, the spans of all its blocks are found
+    first, and cut out by a join. An empty benchmark leaves docs as they are.
     """
     at = docs.columns.index(text_col)
     count = docs.columns.index(n_chars_col) if n_chars_col in docs.columns else None
-    grams, items, alone = next(_blocks(bench, item_col, item_text_col, ngram, broadcast_bytes))
+    phrases, alone = next(_blocks(bench, item_col, item_text_col, ngram, broadcast_bytes, shortest))
     if not alone:
-        numbered = parked(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-        spans = contaminated_spans(numbered, bench, "__row", text_col, item_col, item_text_col, ngram=ngram, shard_bytes=shard_bytes, broadcast_bytes=broadcast_bytes)
-        return remove_spans(numbered, spans, "__row", text_col, n_chars_col).drop("__row")
-    sent = docs.sparkSession.sparkContext.broadcast((grams, items))
+        (row,) = unused(docs.columns, "row")
+        numbered = parked(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+        spans = contaminated_spans(numbered, bench, row, text_col, item_col, item_text_col, ngram=ngram, shortest=shortest, shard_bytes=shard_bytes, broadcast_bytes=broadcast_bytes)
+        return remove_spans(numbered, spans, row, text_col, n_chars_col).drop(row)
+    sent = docs.sparkSession.sparkContext.broadcast(phrases)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in N.pieces(batches):
             texts, cut = batch.column(at), {}
             data, offsets = N.utf8(texts)
             for i, j, w in _shards(texts, shard_bytes):
-                d, s, n, _ids = shard_spans(FMIndex(w.hashes, w.first), *sent.value)
+                d, s, n, _ids = shard_spans(FMIndex(w.hashes, w.first), sent.value)
                 for doc, a, b in zip(d.tolist(), w.start[w.first[d] + s].tolist(), w.end[w.first[d] + s + n - 1].tolist()):
                     cut.setdefault(i + doc, []).append((a + int(offsets[i]), b + int(offsets[i])))
             if cut:

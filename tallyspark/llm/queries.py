@@ -91,12 +91,14 @@ WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 b AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
 bg AS (SELECT DISTINCT item_id, w[i:i + 12] AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS i FROM b)),
 dg AS (SELECT doc_id, i - 1 AS s, w[i:i + 12] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
-hit AS (SELECT doc_id, s, item_id FROM dg JOIN bg USING (g)),
-place AS (SELECT DISTINCT doc_id, s FROM hit),
-fresh AS (SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 13 THEN 0 ELSE 1 END AS f FROM place),
-run AS (SELECT doc_id, s, sum(f) OVER (PARTITION BY doc_id ORDER BY s) AS r FROM fresh)
-SELECT run.doc_id, min(run.s)::BIGINT AS start_word, (max(run.s) - min(run.s) + 13)::BIGINT AS n_words, array_to_string(list_sort(list_distinct(list(hit.item_id))), ',') AS item_ids
-FROM run JOIN hit USING (doc_id, s) GROUP BY run.doc_id, run.r
+short AS (SELECT DISTINCT item_id, w AS g, len(w) AS n FROM b WHERE len(w) BETWEEN {decontam.SHORTEST} AND 12),
+brief AS (SELECT doc_id, n, i - 1 AS s, w[i:i + n - 1] AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM short))),
+hit AS (SELECT doc_id, s, s + 13 AS e, item_id FROM dg JOIN bg USING (g) UNION ALL SELECT doc_id, s, s + n, item_id FROM brief JOIN short USING (n, g)),
+place AS (SELECT DISTINCT doc_id, s, e FROM hit),
+fresh AS (SELECT doc_id, s, e, CASE WHEN s <= max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS f FROM place),
+run AS (SELECT doc_id, s, e, sum(f) OVER (PARTITION BY doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS r FROM fresh)
+SELECT run.doc_id, min(run.s)::BIGINT AS start_word, (max(run.e) - min(run.s))::BIGINT AS n_words, array_to_string(list_sort(list_distinct(list(hit.item_id))), ',') AS item_ids
+FROM run JOIN hit USING (doc_id, s, e) GROUP BY run.doc_id, run.r
 """,
     "op5_substring_dedup": rf"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as N
-from .shared import pick, schema_with
+from .shared import pick, quoted, schema_with, unused
 
 MIN_WORDS = 50
 GRAM = 25
@@ -143,9 +143,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Words are compared in lower case without punctuation and counted from 0. The first document, by id, keeps
     a passage. Repeats within one document do not count; rows with the same id are taken for the same document, and their spans
-    are united; a row with a null id is left out. Null, empty and shorter texts have no spans. Other columns are ignored.
+    are united; a row with a null id is left out. Null, empty and shorter texts have no spans, an empty table gives none; texts count whole, however
+    long. Ids are whole numbers; other columns are ignored.
     """
-    spark, slim = docs.sparkSession, pick(docs, doc_id=id_col, text=text_col).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    spark, slim = docs.sparkSession, pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     shared = _fingerprints(slim, gram, min_words).selectExpr("*", "min(doc_id) OVER (PARTITION BY fp) AS shard", "max(doc_id) OVER (PARTITION BY fp) AS other").where("shard < other")
     places = shared.groupBy("doc_id", "shard").agg(F.collect_list(F.struct("low", "high")).alias("at"))
     places = places.groupBy("doc_id").agg(F.collect_list(F.struct("shard", "at")).alias("shards"))
@@ -203,10 +204,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_chars_col: str | None = "n_chars") -> DataFrame:
     """docs with the spans (doc_id, start_word, n_words) cut out of their texts, from first to last word, and n_chars recounted.
 
-    All rows and columns stay; a null text or one without spans stays as it is; words past a text's end are ignored.
+    All rows and columns stay, whatever their names; every row of an id loses the id's spans, a row with a null id none. A null or empty text, however long, or
+    one without spans stays as it is; overlapping and repeated spans count once, words past a text's end are ignored. An empty table of either kind changes nothing.
     """
-    per = spans.groupBy(F.col("doc_id").alias("__span_id")).agg(F.sort_array(F.collect_list(F.struct("start_word", "n_words"))).alias("__spans"))
-    joined = docs.join(per, docs[id_col] == per["__span_id"], "left").drop("__span_id")
+    span_id, cuts = unused(docs.columns, "span_id", "cuts")
+    per = spans.groupBy(F.col("doc_id").alias(span_id)).agg(F.sort_array(F.collect_list(F.struct("start_word", "n_words"))).alias(cuts))
+    joined = docs.join(per, quoted(id_col) == F.col(span_id), "left").drop(span_id)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,8 +222,8 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text
                     out, done = [], 0
                     for s in cut:
                         a, b = s["start_word"], min(s["start_word"] + s["n_words"], len(w.hashes))
-                        if a < b:
-                            out.append(raw[done : w.start[a]])
+                        if a < b and w.end[b - 1] > done:
+                            out.append(raw[done : max(done, int(w.start[a]))])
                             done = int(w.end[b - 1])
                     texts[r] = b"".join([*out, raw[done:]]).decode()
             columns = [pa.array(texts, c.type) if k == at else c for k, c in enumerate(batch.columns[:-1])]
@@ -228,5 +231,5 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text
 
     out = joined.mapInArrow(run, schema_with(docs))
     if n_chars_col in docs.columns:
-        out = out.withColumn(n_chars_col, F.when(F.col(text_col).isNotNull(), F.length(text_col).cast(docs.schema[n_chars_col].dataType)).otherwise(F.col(n_chars_col)))
+        out = out.withColumn(n_chars_col, F.when(quoted(text_col).isNotNull(), F.length(quoted(text_col)).cast(docs.schema[n_chars_col].dataType)).otherwise(quoted(n_chars_col)))
     return out
