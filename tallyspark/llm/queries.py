@@ -74,11 +74,11 @@ _WORDS = r"list_filter(string_split_regex(regexp_replace(lower(text), '[!-/:-@\[
 ORACLE_SQL = {
     "op1_sharding": f"""
 WITH slim AS (SELECT coalesce(source, '') AS k0, doc_id AS k1, strlen(coalesce(text, ''))::BIGINT AS b FROM documents),
-lim AS (SELECT greatest(1, least({sharding.MAX_SHARD_BYTES}, floor({sharding.SLACK} * sum(b) / {sharding.RANGES})))::BIGINT AS l FROM slim),
+lim AS (SELECT total, rg, greatest(1, least({sharding.MAX_SHARD_BYTES}, floor({sharding.SLACK} * total / rg)))::BIGINT AS l FROM (SELECT sum(b) AS total, greatest({sharding.RANGES}, ceil(sum(b) / {sharding.RANGE_BYTES}))::BIGINT AS rg FROM slim)),
 clock AS (SELECT k0, k1, -ln((('0x' || substr(md5(k0 || '/' || k1), 1, 12))::BIGINT::DOUBLE + 1) / {2**48 + 1}) / b AS c FROM slim WHERE b > 0),
-sample AS (SELECT k0, k1 FROM clock ORDER BY c, k0, k1 LIMIT {sharding.RANGES * sharding.OVERSAMPLE}),
+sample AS (SELECT k0, k1 FROM clock, lim WHERE c <= rg * {sharding.OVERSAMPLE} / total),
 place AS (SELECT k0, k1, row_number() OVER (ORDER BY k0, k1) - 1 AS i, count(*) OVER () AS n FROM sample),
-point AS (SELECT DISTINCT k0, k1 FROM place JOIN range(1, {sharding.RANGES}) r(k) ON i = r.k * n // {sharding.RANGES}),
+point AS (SELECT DISTINCT k0, k1 FROM place JOIN (SELECT unnest(range(1, rg)) AS k, rg FROM lim) r ON i = r.k * n // rg),
 merged AS (SELECT k0, k1, b, 0 AS p FROM slim UNION ALL SELECT k0, k1, 0, 1 FROM point),
 ranged AS (SELECT k0, k1, b, p, (sum(p) OVER (ORDER BY k0, k1, p DESC ROWS UNBOUNDED PRECEDING))::INT AS range_id FROM merged),
 sized AS (SELECT range_id, k0, k1, b, sum(b) OVER (PARTITION BY range_id) AS t, sum(b) OVER (PARTITION BY range_id ORDER BY k0, k1 ROWS UNBOUNDED PRECEDING) - b AS before FROM ranged WHERE p = 0),

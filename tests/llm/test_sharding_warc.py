@@ -8,7 +8,7 @@ def test_shards(spark):
     dice = random.Random(9)
     rows = [(k, "x" * dice.choice([0, 1, 50, 400, 3000]), dice.choice(["hot"] * 5 + ["a", "b", None])) for k in range(3000)]
     rows += [(None, "y" * 100, "hot"), (None, None, None)] + [(5000, "z" * 900, "hot")] * 40
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 AS range_id", "'q' AS points", "'q' AS cuts")
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 AS range_id", "'q' AS points", "'q' AS cuts", *[f"'q' AS {c}" for c in ("__points", "__cuts", "split", "PARTS", "own_cuts", "shard", "k", "b")])
     out = sharding.shards(df, ranges=16, oversample=32)
     got = out.collect()
     assert sorted(map(repr, ((r["doc_id"], r["text"], r["source"]) for r in got))) == sorted(map(repr, rows)) and out.columns == [c for c in df.columns if c != "range_id"] + ["range_id", "sub_id"]
@@ -26,7 +26,20 @@ def test_shards(spark):
     assert len({s for s in shards if (True, "hot", True, 5000) in keys[s]}) == 1
     assert len(shards) >= 16 and sharding.shards(df.limit(0), ranges=4).count() == 0
     for part in out.rdd.glom().map(lambda p: [((r["range_id"], r["sub_id"]), r) for r in p]).collect():
-        assert [s for s, _ in part] == sorted(s for s, _ in part)
+        assert len({s for s, _ in part}) <= 1 and [order(r) for _, r in part] == sorted(order(r) for _, r in part)
+    few = sharding.shards(df, oversample=8).select("range_id").distinct().count()
+    assert few > 100  # RANGES of them, where bytes don't ask for more
+
+
+def test_ranges_follow_the_bytes(spark, monkeypatch):
+    df = spark.range(2000).selectExpr("id AS doc_id", "'s' AS source", "repeat('x', 1000) AS text")
+    monkeypatch.setattr(sharding, "RANGES", 4)
+    monkeypatch.setattr(sharding, "RANGE_BYTES", 40_000)
+    out = sharding.shards(df).groupBy("range_id", "sub_id").count().collect()
+    assert max(r["range_id"] for r in out) >= 40 and max(r["count"] for r in out) <= 51
+    monkeypatch.setattr(sharding, "BROADCAST_BYTES", 600)  # so few splitters are broadcast that subdivision must make up for it
+    out = sharding.shards(df).groupBy("range_id", "sub_id").count().collect()
+    assert max(r["range_id"] for r in out) < 12 and max(r["sub_id"] for r in out) >= 3 and max(r["count"] for r in out) <= 51
 
 
 def pages(spark):
