@@ -3,15 +3,17 @@
 A document's fingerprint has 256 bits: each distinct word votes on every bit by its own hash, longer words
 more, since short ones are common to all texts. Documents of equal fingerprints are one entry of the index.
 A list for a single byte at a position would hold a 256th of the corpus, and its pairs grow with the square, so the index is
-keyed by the bytes at several positions together: TABLES fixed sets of KEY_BYTES positions each. For the
-pairs that meet in a list the shared positional bytes of the whole fingerprints are counted, and those with
-fewer than the guaranteed minimum drop out: two fingerprints within max_bits differ in that many bytes at
-most, and any pair from a list shares KEY_BYTES. The rest are verified by Hamming distance.
+keyed by the bytes at several positions together, TABLES sets of KEY_BYTES positions: all those within GROUPS groups of positions,
+and some across them. Fingerprints that share 2 * GROUPS + 1 bytes share KEY_BYTES = 3 of one group, so those up to BYTES - 9 = 23 bits apart always meet.
+For the pairs that meet, the shared positional bytes are counted, and pairs with too few drop out: fingerprints within max_bits
+share BYTES - max_bits at least, and all but a share LOSS of those max_bits apart have fewest_shared() or more. The rest are verified by Hamming distance.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 import random
 from collections.abc import Iterator
 
@@ -21,13 +23,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as N
-from .shared import BROADCAST_BYTES, parked, pick
+from .shared import BROADCAST_BYTES, parked, pick, quoted, unused
 
 BYTES = 32
 KEY_BYTES = 3
-#: Fingerprints 40 bits apart share a given set's bytes in 1.5 % of cases: so many sets find 97 % of them.
+#: Groups of byte positions; all sets of KEY_BYTES positions within one are tables. Four groups of eight make 224.
+GROUPS = 4
+#: Tables in all, those across groups included.
 TABLES = 256
 MAX_BITS = 40
+#: Of the fingerprints MAX_BITS apart, the share that the count filter may lose.
+LOSS = 0.005
 _STEP = 1 << 17
 #: Cells of the matrix of documents and words that is held at a time.
 _CELLS = 1 << 21
@@ -36,17 +42,24 @@ _SCHEMA = pa.schema([("doc_id", pa.int64()), ("f0", pa.int64()), ("f1", pa.int64
 _PARTS = ["f0", "f1", "f2", "f3"]
 
 
-def position_sets(tables: int = TABLES, key_bytes: int = KEY_BYTES) -> list[tuple[int, ...]]:
-    """Sets of byte positions: shuffled positions cut into disjoint sets, again and again, always the same for the same arguments."""
-    dice, out = random.Random(7), []
-    while len(out) < tables:
-        order = list(range(BYTES))
-        dice.shuffle(order)
-        for k in range(0, BYTES - key_bytes + 1, key_bytes):
-            key = tuple(sorted(order[k : k + key_bytes]))
-            if key not in out and len(out) < tables:
-                out.append(key)
-    return out
+def position_sets(tables: int = TABLES, key_bytes: int = KEY_BYTES, groups: int = GROUPS) -> list[tuple[int, ...]]:
+    """Sets of byte positions: all within one group of neighbouring positions, then such across groups by lot, up to `tables` of them. Always the same for the same arguments."""
+    edges = [g * BYTES // groups for g in range(groups + 1)]
+    out = [x for a, b in zip(edges, edges[1:]) for x in itertools.combinations(range(a, b), key_bytes)]
+    across = [x for x in itertools.combinations(range(BYTES), key_bytes) if x not in set(out)]
+    random.Random(7).shuffle(across)
+    return [*out, *across][: max(tables, len(out))]
+
+
+def fewest_shared(max_bits: int = MAX_BITS, loss: float = LOSS) -> int:
+    """The number of positional bytes that fingerprints max_bits apart share: by the pigeonhole principle, or, where that is more, all but `loss` of them if the bits are anywhere alike."""
+    ways, total, below, m = math.comb(8 * BYTES, max_bits), 0, 0, 0
+    for m in range(BYTES + 1):
+        total = math.comb(BYTES, m) * sum((-1) ** j * math.comb(BYTES - m, j) * math.comb(8 * (BYTES - m - j), max_bits) for j in range(BYTES - m + 1))
+        if below + total > loss * ways:
+            break
+        below += total
+    return max(BYTES - max_bits, m)
 
 
 def fingerprints(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -88,7 +101,8 @@ def simhashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 prints = fingerprints(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), *(pa.array(np.ascontiguousarray(prints[:, k]).view(np.int64)) for k in range(4))], schema=_SCHEMA)
 
-    return pick(docs, doc_id=id_col, text=text_col).where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, "doc_id long, f0 long, f1 long, f2 long, f3 long")
+    slim = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return slim.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, "doc_id long, f0 long, f1 long, f2 long, f3 long")
 
 
 def _entries(prints: DataFrame, sets: list[tuple[int, ...]]) -> DataFrame:
@@ -112,10 +126,11 @@ def near_duplicate_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Among documents of equal fingerprints, only the pairs with the one of least id, their first, are given; pairs between
     different fingerprints are given for their first documents. Every document thus hangs on its group by a
-    chain of pairs. The search misses the pairs that share none of the tables' keys; see the README for its recall.
-    Texts without words, the empty one among them, are alike only where they are equal but for outer white space. Null texts, and rows
-    with a null id, have no pairs. Rows with one id count as one
-    document: it pairs with others by each of its texts, never with itself. Other columns are ignored.
+    chain of pairs. With the default tables all pairs up to 23 bits apart are found. Beyond that the search misses pairs that share none of the tables' keys, and the count
+    filter a few; see the README for its recall.
+    Texts without words, the empty one among them, are alike only where they are equal but for outer white space. Texts count whole, however long. Null texts, and rows
+    with a null id, have no pairs, nor has an empty table. Rows with one id count as one
+    document: it pairs with others by each of its texts, never with itself. Ids are whole numbers; other columns are ignored.
     """
     prints = simhashes(docs, id_col, text_col).selectExpr("*", f"min(doc_id) OVER (PARTITION BY {', '.join(_PARTS)}) AS first")
     prints = parked(prints, "simhash")
@@ -124,14 +139,14 @@ def near_duplicate_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str
     firsts = prints.where("first = doc_id").drop("first")
     entries = _entries(firsts, sets)
     a, b = entries.alias("a"), entries.alias("b")
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.doc_id") < F.col("b.doc_id"))).groupBy(F.col("a.doc_id").alias("doc_a"), F.col("b.doc_id").alias("doc_b")).agg(F.count("*").alias("lists"))
-    # by now a pair and its tally of lists are all that moves; the fingerprints are fetched for distinct pairs only
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.doc_id") < F.col("b.doc_id"))).select(F.col("a.doc_id").alias("doc_a"), F.col("b.doc_id").alias("doc_b")).distinct()
+    # only the two ids of a pair move; the fingerprints, and with them the tally of shared bytes, are fetched for distinct pairs
     left, right = (firsts.select(F.col("doc_id").alias(f"doc_{x}"), *[F.col(p).alias(f"{x}{p}") for p in _PARTS]) for x in "ab")
     both = met.join(left, "doc_a").join(right, "doc_b")
     xors = [F.col(f"a{p}").bitwiseXOR(F.col(f"b{p}")) for p in _PARTS]
     apart = sum((F.bit_count(x) for x in xors), F.lit(0))
     shared = sum((F.expr(f"CASE WHEN shiftrightunsigned(a{p} ^ b{p}, {8 * k}) & 255 = 0 THEN 1 ELSE 0 END") for p in _PARTS for k in range(8)), F.lit(0))
-    near = both.where((shared >= max(key_bytes, BYTES - max_bits)) & (apart <= max_bits)).select("doc_a", "doc_b", apart.alias("hamming"))
+    near = both.where((shared >= fewest_shared(max_bits)) & (apart <= max_bits)).select("doc_a", "doc_b", apart.alias("hamming"))
     return same.unionByName(near).groupBy("doc_a", "doc_b").agg(F.min("hamming").cast("int").alias("hamming"))
 
 
@@ -156,10 +171,11 @@ def groups(pairs: DataFrame) -> DataFrame:
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
     """docs without the members of near-duplicate groups other than the one of least id.
 
-    Groups are the connected components of near_duplicate_pairs(). Documents without pairs all stay, those with null ids or texts too. Of rows that
-    share an id all stay or all go.
+    Groups are the connected components of near_duplicate_pairs(). Documents without pairs all stay, those with null ids or texts too; empty texts are copies of each
+    other. Of rows that share an id all stay or all go. Texts count whole, however long; all columns stay, whatever their names; an empty table gives an empty one.
     """
-    gone = groups(near_duplicate_pairs(docs, id_col, text_col, **how)).where("group_id < doc_id").selectExpr("doc_id AS gone_id")
+    (gone_id,) = unused(docs.columns, "gone_id")
+    gone = groups(near_duplicate_pairs(docs, id_col, text_col, **how)).where("group_id < doc_id").select(F.col("doc_id").alias(gone_id))
     # texts move only where the ids to drop, 16 bytes each, are too many to broadcast
     gone = F.broadcast(gone) if gone.count() * 16 <= BROADCAST_BYTES else gone
-    return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
+    return docs.join(gone, quoted(id_col) == F.col(gone_id), "left_anti")
