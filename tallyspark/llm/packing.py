@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnum as N
@@ -21,7 +21,6 @@ from .shared import BROADCAST_BYTES, parked, pick
 from .tokens import VOCABULARY, ids
 
 CAPACITY = 2048
-_BUCKETS = 256
 
 
 class Pattern(NamedTuple):
@@ -77,7 +76,10 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
 
 
 def token_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, n_tokens) of every row of docs under the vocabulary; a null or empty text has none."""
+    """(doc_id, n_tokens) of every row of docs under the vocabulary, repeated rows and those with a null id too; a null or empty text has none.
+
+    Texts count whole, however long. Ids are whole numbers; other columns are ignored, an empty table gives an empty one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in N.pieces(batches):
@@ -90,35 +92,48 @@ def token_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def pack(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(window_id, position, doc_id, first_token, n_tokens): where each piece of the sequences (doc_id, n_tokens) stands.
 
-    A sequence longer than capacity first fills whole windows by itself; what remains is packed with the others. Windows have
-    numbers from 0 without gaps, the whole ones last. Sequences without tokens, or with a null length, have no place. Among
-    sequences of one length, ids decide, nulls first; rows with equal ids and lengths are interchangeable.
+    A sequence longer than capacity, however long, first fills whole windows by itself; what remains is packed with the others. Windows have
+    numbers from 0 without gaps, the whole ones last. Sequences without tokens, or with a null length, have no place; an empty table gives none. Among
+    sequences of one length, ids decide, nulls first; rows with equal ids and lengths are interchangeable, each has its own place. Other columns are ignored.
+
+    Rows are laid out by length and id in parts of about equal size, so a length that most sequences have takes many tasks; a row's rank among those of its length
+    is its rank within its part and the number of them in parts before.
     """
     spark = lengths.sparkSession
-    lengths = parked(lengths.where("n_tokens > 0").selectExpr("doc_id", "n_tokens", f"n_tokens div {capacity} AS whole", f"n_tokens % {capacity} AS rest"), "lengths")
-    patterns = plan({r["rest"]: r["count"] for r in lengths.where("rest > 0").groupBy("rest").count().collect()}, capacity)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    whole = parked(lengths.where("n_tokens > 0").selectExpr("doc_id", "n_tokens", f"n_tokens div {capacity} AS whole", f"n_tokens % {capacity} AS rest"), "lengths")
+    lengths = parked(whole.repartitionByRange(n, "rest", "doc_id", "n_tokens").withColumn("part", F.spark_partition_id()), "lengths-by-part")
+    met = sorted(tuple(r) for r in lengths.groupBy("part", "rest").agg(F.count("*").alias("n"), F.sum("whole").alias("whole")).collect())
+    counts, before = {}, []
+    for part, rest, n_rows, _ in met:
+        before.append((part, rest, counts.get(rest, 0)))
+        counts[rest] = counts.get(rest, 0) + n_rows
+    patterns = plan({rest: c for rest, c in counts.items() if rest}, capacity)
     rows, used = [], {}
     for parts, first, times in patterns:
         at = 0
-        for n, k in parts:
-            low = used.get(n, 0)
-            used[n] = low + k * times
-            rows.append((n, low, used[n], k, first, at))
-            at += n * k
-    windows = patterns[-1].first + patterns[-1].times if patterns else 0
-    places = spark.createDataFrame(rows, "rest long, low long, high long, k long, first long, at long")
-    places = F.broadcast(places) if len(rows) * 64 <= BROADCAST_BYTES else places
-    ranked = lengths.where("rest > 0").selectExpr("*", "row_number() OVER (PARTITION BY rest ORDER BY doc_id NULLS FIRST, n_tokens) - 1 AS r")
+        for length, k in parts:
+            low = used.get(length, 0)
+            used[length] = low + k * times
+            rows.append((length, low, used[length], k, first, at))
+            at += length * k
+    places = _side(spark, rows, "rest long, low long, high long, k long, first long, at long")
+    ranks = _side(spark, before, "part int, rest long, base long")
+    ranked = lengths.where("rest > 0").selectExpr("*", "row_number() OVER (PARTITION BY part, rest ORDER BY doc_id NULLS FIRST, n_tokens) - 1 AS own").join(ranks, ["part", "rest"]).withColumn("r", F.col("base") + F.col("own"))
     packed = ranked.join(places, (ranked["rest"] == places["rest"]) & (F.col("r") >= F.col("low")) & (F.col("r") < F.col("high"))).select(
         F.expr("first + (r - low) div k").alias("window_id"), (F.col("at") + F.expr("(r - low) % k") * ranked["rest"]).alias("position"), "doc_id", (F.col("n_tokens") - ranked["rest"]).alias("first_token"), ranked["rest"].alias("n_tokens")
     )
-    long = lengths.where("whole > 0").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(_BUCKETS)))
-    before, at = [], windows
-    for bucket, n in sorted((r["bucket"], r["n"]) for r in long.groupBy("bucket").agg(F.sum("whole").alias("n")).collect()):
-        before.append((bucket, at))
-        at += n
-    offsets = F.broadcast(spark.createDataFrame(before, "bucket long, at long"))
-    run = "sum(whole) OVER (PARTITION BY bucket ORDER BY doc_id NULLS FIRST, n_tokens ROWS UNBOUNDED PRECEDING) - whole"
-    full = long.withColumn("run", F.expr(run)).join(offsets, "bucket").select("doc_id", F.expr("at + run").alias("at"), F.explode(F.expr("sequence(0L, whole - 1)")).alias("i"))
+    at, of_part = patterns[-1].first + patterns[-1].times if patterns else 0, {}
+    for part, _, _, windows in met:
+        of_part.setdefault(part, at)
+        at += windows
+    offsets = _side(spark, list(of_part.items()), "part int, at long")
+    run = "sum(whole) OVER (PARTITION BY part ORDER BY rest, doc_id NULLS FIRST, n_tokens ROWS UNBOUNDED PRECEDING) - whole"
+    full = lengths.where("whole > 0").withColumn("run", F.expr(run)).join(offsets, "part").select("doc_id", F.expr("at + run").alias("at"), F.explode(F.expr("sequence(0L, whole - 1)")).alias("i"))
     full = full.select((F.col("at") + F.col("i")).alias("window_id"), F.lit(0).cast("long").alias("position"), "doc_id", (F.col("i") * capacity).alias("first_token"), F.lit(capacity).cast("long").alias("n_tokens"))
     return packed.unionByName(full)
+
+
+def _side(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    side = spark.createDataFrame(rows, schema)
+    return F.broadcast(side) if len(rows) * 64 <= BROADCAST_BYTES else side

@@ -72,3 +72,46 @@ def test_lengths_and_odd_rows(docs, odd_rows):
     got = {(r["doc_id"], r["n_tokens"]) for r in lengths.collect()}
     assert (1, 0) in got and (2, 0) in got and any(d == 5 and n >= 60_000 for d, n in got)
     check([tuple(r) for r in lengths.collect()], placements(P.pack(lengths)), P.CAPACITY)
+
+
+def best_fill(lengths, room):
+    """The largest sum of some of the lengths that isn't over room, by the set of all sums."""
+    sums = {0}
+    for n in lengths:
+        sums |= {x + n for x in sums if x + n <= room}
+    return max(sums)
+
+
+def window_by_window(windows, capacity):
+    """Each window holds the longest piece left, and fills up as far as any choice of those left could."""
+    shared = [w for w in sorted(windows) if not (len(windows[w]) == 1 and windows[w][0][1] == capacity)]
+    left = [n for w in shared for _, n, _, _ in windows[w]]
+    for w in shared:
+        own = [n for _, n, _, _ in windows[w]]
+        assert max(own) == max(left)
+        left.remove(max(left))
+        assert sum(own) == max(own) + best_fill(left, capacity - max(own))
+        own.remove(max(own))
+        for n in own:
+            left.remove(n)
+    assert not left
+
+
+def test_the_query_window_by_window(spark):
+    """op6_packing as it is registered: every token of every document placed once, each window as full as it could be."""
+    from tallyspark.llm import queries, tokens
+
+    rows = [(r["doc_id"], len(tokens.ids(r["text"]))) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    windows = placements(queries.op6_packing(spark, "/root/testdata/sf0.001"))
+    check(rows, windows, P.CAPACITY)
+    window_by_window(windows, P.CAPACITY)
+
+
+def test_one_length_that_most_rows_have(spark):
+    df = spark.range(40_000).selectExpr("id AS doc_id", "CASE WHEN id % 50 = 0 THEN id % 90 + 1 ELSE 7 END AS n_tokens")
+    out = P.pack(df, 64)
+    assert out.count() == out.select("doc_id").distinct().count() + df.where("n_tokens > 64 AND n_tokens % 64 > 0").count()
+    windows = out.groupBy("window_id").agg({"n_tokens": "sum", "position": "max"}).toPandas()
+    assert windows["sum(n_tokens)"].max() <= 64 and len(windows) == windows["window_id"].max() + 1
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "part" in plan and "rest" in plan
