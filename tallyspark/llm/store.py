@@ -96,7 +96,8 @@ def save(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "
     """Writes folder/store in one pass, by kind: chunk (digest, ids; each digest once), reference (doc_key, seq, digest), manifest (doc_key, root).
 
     Ids are stored in two little-endian bytes each where the vocabulary has at most 65536, else in four. doc_key numbers the rows, since ids may be null or repeat. A null
-    text is kept as null, n_chunks -1, beside an empty one, n_chunks 0: both have a reference of seq -1 without a digest. Other columns are left out.
+    text is kept as null, n_chunks -1, beside an empty one, n_chunks 0: both have a reference of seq -1 without a digest. Texts are cut whole, however long; repeated
+    rows and equal texts share their chunks. An empty table makes an empty store. Ids are whole numbers; other columns, of whatever name, are left out.
     """
     spark = docs.sparkSession
 
@@ -118,7 +119,9 @@ def save(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "
     slim = pick(docs, doc_id=id_col, text=text_col).select(F.monotonically_increasing_id().alias("doc_key"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
     chunks = slim.mapInArrow(chunk, _CHUNK)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = chunks.repartition(n, F.coalesce("digest", F.col("doc_key").cast("string").cast("binary"))).sortWithinPartitions(F.asc_nulls_last("digest"), F.col("ids").isNull())
+    # ids meet by digest, at most one row from each task; references without ids stay spread by document, however many name the same chunk
+    meeting = F.when(F.col("ids").isNotNull(), F.col("digest")).otherwise(F.col("doc_key").cast("string").cast("binary"))
+    met = chunks.repartition(n, meeting).sortWithinPartitions(F.asc_nulls_last("digest"), F.col("ids").isNull())
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -128,7 +131,7 @@ def save(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "
                 continue
             fresh = pa.concat_arrays([pa.array([names[0].as_py() != last]), pc.fill_null(pc.not_equal(names.slice(1), names.slice(0, len(names) - 1)), False)])
             last = names[len(names) - 1].as_py()
-            for kind, kept, columns in (("chunk", pc.and_(fresh, pc.is_valid(names)), {"digest", "n_ids", "ids"}), ("reference", None, {"doc_key", "doc_id", "n_chunks", "seq", "digest", "n_ids"}), ("manifest", pc.is_valid(batch["root"]), {"doc_key", "doc_id", "n_chunks", "root"})):
+            for kind, kept, columns in (("chunk", pc.and_(fresh, pc.is_valid(batch["ids"])), {"digest", "n_ids", "ids"}), ("reference", None, {"doc_key", "doc_id", "n_chunks", "seq", "digest", "n_ids"}), ("manifest", pc.is_valid(batch["root"]), {"doc_key", "doc_id", "n_chunks", "root"})):
                 rows = batch.filter(kept) if kept is not None else batch
                 yield pa.RecordBatch.from_arrays([pa.array([kind] * rows.num_rows, pa.string()), *(rows[c] if c in columns else pa.nulls(rows.num_rows, k) for c, k in zip(_NAMES, _KINDS))], names=["kind", *_NAMES])
 
@@ -157,7 +160,7 @@ def verify(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, n_ids, n_chunks, root, verified) of every document of the manifest.
 
     verified: the recipe has its n_chunks chunks numbered from 0, its root is the manifest's, and every chunk it names is stored, once, with ids of that
-    digest and number. n_chunks is -1 for a null text, 0 for an empty one; both verify.
+    digest and number. n_chunks is -1 for a null text, 0 for an empty one; both verify. Repeated rows have a line each; an empty store has none.
     """
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +171,9 @@ def verify(spark: SparkSession, folder: str) -> DataFrame:
     chunks = _stored(spark, folder, "chunk").select("digest", "n_ids", "ids").mapInArrow(test, "digest binary, stored_ids long, good boolean")
     chunks = chunks.groupBy("digest").agg(F.min("stored_ids").alias("stored_ids"), (F.min("good") & (F.count("*") == 1)).alias("good"))
     references = _stored(spark, folder, "reference").where("digest IS NOT NULL").select("doc_key", "digest", "n_ids")
-    lost = references.join(chunks, "digest", "left").where("NOT coalesce(good AND stored_ids = n_ids, false)").select("doc_key").distinct().withColumn("lost", F.lit(True))
+    # each chunk that is named counts once here, by partial aggregation, so that one in very many documents burdens no task
+    bad = references.select("digest", "n_ids").distinct().join(chunks, "digest", "left").where("NOT coalesce(good AND stored_ids = n_ids, false)").select("digest", "n_ids")
+    lost = references.join(bad, ["digest", "n_ids"], "left_semi").select("doc_key").distinct().withColumn("lost", F.lit(True))
     manifest = _stored(spark, folder, "manifest").select("doc_key", "doc_id", "n_chunks", "root")
     again = recipes(spark, folder).select("doc_key", "n_ids", F.size("digests").alias("found"), F.expr("transform(digests, x -> x.seq) = transform(digests, (x, k) -> k)").alias("numbered"), F.col("root").alias("root_again"))
     joined = manifest.join(again, "doc_key", "left").join(lost, "doc_key", "left")
