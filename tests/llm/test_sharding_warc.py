@@ -1,3 +1,5 @@
+import gzip
+import hashlib
 import random
 from collections import defaultdict
 
@@ -63,3 +65,24 @@ def test_archives_round_trip(spark, tmp_path):
     columns = ("file", "offset", "length", "record_id", "digest")
     assert sorted(map(tuple, again.select(*columns).collect()), key=str) == sorted(map(tuple, index.select(*columns).collect()), key=str)
     assert warc.archived(df.limit(0)).count() == 0
+
+
+def test_a_foreign_archive(spark, tmp_path):
+    """Records as other writers make them: names that are UUIDs, SHA-1 digests, folded and blankless headers, other types, bytes that are no UTF-8."""
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>caf\xc3\xa9 \xff</p>"
+    records = [
+        b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:1>\r\nContent-Length: 4\r\n\r\nsoft\r\n\r\n",
+        b"WARC/1.1\r\nwarc-type:response\r\nWARC-Record-ID:<urn:uuid:2>\r\nWARC-Target-URI: http://a.org/\r\n\tx\r\nWARC-Payload-Digest: sha1:AAAA\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(http), http),
+        b"WARC/1.0\r\nWARC-Type: request\r\nContent-Length: 0\r\n\r\n\r\n\r\n",
+        b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:7>\r\nWARC-Target-URI: http://b.org\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n",
+    ]
+    members = [gzip.compress(r) for r in records]
+    (tmp_path / "f.warc.gz").write_bytes(b"".join(members) + members[0][:9])  # the last one breaks off
+    (tmp_path / "empty.warc.gz").write_bytes(b"")
+    files = spark.createDataFrame([(f"file://{tmp_path}/f.warc.gz",), (f"file://{tmp_path}/empty.warc.gz",), (None,)], "file string")
+    index = warc.index_files(files)
+    rows = sorted(index.collect(), key=lambda r: r["offset"])
+    assert [(r["warc_type"], r["warc_id"], r["record_id"], r["url"]) for r in rows] == [("warcinfo", "<urn:uuid:1>", None, None), ("response", "<urn:uuid:2>", None, "http://a.org/ x"), ("request", None, None, None), ("resource", None, 7, "http://b.org")]
+    assert [r["length"] for r in rows] == [*map(len, members)] and rows[1]["digest"] == hashlib.sha256(http).hexdigest()
+    got = {(r["record_id"], r["url"]): (r["html"], r["verified"]) for r in warc.read(index).collect()}
+    assert got == {(None, None): (None, True), (None, "http://a.org/ x"): ("<p>café \ufffd</p>", True), (7, "http://b.org"): ("hi", True)}
