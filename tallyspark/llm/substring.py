@@ -5,12 +5,14 @@ are routed: of each text, winnowed hashes of GRAM words are taken so densely tha
 holds one at least. Documents that share a hash meet in the shard named after the first document that has it,
 each with the words around the shared places, as far as a common run of MIN_WORDS words could reach. In a shard the documents pass
 in the order of their ids: each is streamed through the suffix automaton of what came before, which gives the
-longest match that ends at each word (matching statistics), and its own words are then added, unless one match
-covers them all. Runs of MIN_WORDS words and more that an earlier document has are the spans to remove.
+longest match that ends at each word (matching statistics). Of its own words those stretches are then added that hold a run of MIN_WORDS
+words which wasn't there, so the automaton grows with what is new alone, and a segment that an earlier document has as a whole is known by its digest and
+isn't streamed. Runs of MIN_WORDS words and more that an earlier document has are the spans to remove.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -128,6 +130,12 @@ def _fingerprints(docs: DataFrame, gram: int, min_words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, fp long, low int, high int")
 
 
+def _news(length: np.ndarray, min_words: int) -> list[tuple[int, int]]:
+    """Of a sequence with these matching statistics, the stretches made of runs of min_words words that have no match."""
+    begin = np.flatnonzero(length[min_words - 1 :] < min_words)
+    return _union(begin, begin + min_words)
+
+
 def _union(low: np.ndarray, high: np.ndarray) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(zip(low.tolist(), high.tolist())):
@@ -173,22 +181,27 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     segments = slim.join(places, "doc_id").select("doc_id", "text", "shards").mapInArrow(cut, "shard long, doc_id long, start int, words binary")
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, automaton, seen, waiting = None, None, None, []
+        now, automaton, seen, waiting, whole = None, None, None, [], {}
         for batch in batches:
             found: list[list[int]] = [[], [], []]
             for shard, doc, start, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                if len(blob) < 8 * min_words:
+                    continue
                 if shard != now:
-                    now, automaton, seen, waiting = shard, Automaton(), doc, []
+                    now, automaton, seen, waiting, whole = shard, Automaton(), doc, [], {}
                 if doc != seen:
                     for own in waiting:
                         automaton.add(own)
                     seen, waiting = doc, []
-                own = np.frombuffer(blob, np.uint64).tolist()
-                length = np.array(automaton.matches(own))
-                end = np.flatnonzero(length >= min_words)
-                if not len(own) or length[-1] < len(own):
-                    waiting.append(own)
-                for p, q in _union(end + 1 - length[end], end + 1):
+                if whole.setdefault(hashlib.blake2b(blob, digest_size=16).digest(), doc) != doc:
+                    spans = [(0, len(blob) // 8)]
+                else:
+                    own = np.frombuffer(blob, np.uint64).tolist()
+                    length = np.array(automaton.matches(own))
+                    end = np.flatnonzero(length >= min_words)
+                    waiting += [own[p:q] for p, q in _news(length, min_words)]
+                    spans = _union(end + 1 - length[end], end + 1)
+                for p, q in spans:
                     for column, x in zip(found, (doc, start + p, start + q)):
                         column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.int64())], names=["doc_id", "low", "high"])
