@@ -9,7 +9,8 @@ import time
 from tallyspark import queries
 from tallyspark.session import session
 
-HEADLINE = ("performance_summary", "asof_join_time", "last_by_key", "rolling_performance", "round_trips", "journal_by_symbol", "group_sum_mean_count", "flow_adjusted_returns", "relative_metrics", "pivot_metrics", "natural_join_dedupe_right", "first_by_dedupe", "derive_funcs", "quote_snapshot", "connection_health")
+HEADLINE = ("performance_summary", "asof_join_time", "last_by_key", "rolling_performance", "round_trips", "journal_by_symbol", "group_sum_mean_count", "flow_adjusted_returns", "relative_metrics", "pivot_metrics",
+    "natural_join_dedupe_right", "first_by_dedupe", "derive_funcs", "quote_snapshot", "connection_health")
 
 
 def main() -> None:
