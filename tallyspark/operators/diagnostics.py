@@ -90,16 +90,27 @@ def farms(errors: DataFrame) -> DataFrame:
 def connection_health(errors: DataFrame, connected: bool = True) -> DataFrame:
     """One row: connected, tier_counts, genuine_errors in order of arrival, farms, connection_lost, summary.
 
-    The connection is lost if the last loss was not followed by a restore. Without messages all is empty and well.
+    The connection is lost if the last loss was not followed by a restore. Without messages all is empty and well. The row holds every genuine error; where they are
+    too many for one row, genuine_errors() has them as a table.
     """
-    d = diagnose(errors)
-    by_tier = tier_counts(errors).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tier", "n")))).alias("tier_counts"))
-    by_farm = farms(errors).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("farm", "is_ok")))).alias("farms"))
-    rest = d.agg(
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("fatal"), F.struct(SEQ, "code", "description")))), lambda x: F.struct(x["code"].alias("code"), x["description"].alias("description"))).alias("genuine_errors"),
-        F.coalesce(F.max_by("lost", F.when(F.col("lost") | F.col("restored"), F.col(SEQ))), F.lit(False)).alias("connection_lost"),
-    )
-    one = by_tier.crossJoin(by_farm).crossJoin(rest).withColumn("connected", F.lit(connected))
+    d, by = diagnose(errors), F.col("farm.farm")
+    turn = F.when(F.col("lost") | F.col("restored"), F.col(SEQ))
+    # one pass: a few rows for each tier and farm first, then one of them all
+    parts = d.groupBy("tier", by.alias("of_farm")).agg(
+        F.count("*").alias("n"), F.max(SEQ).alias("at"), F.max_by("farm.is_ok", SEQ).alias("is_ok"), F.max(turn).alias("turned"), F.max_by("lost", turn).alias("lost"),
+        F.collect_list(F.when(F.col("fatal"), F.struct(SEQ, "code", "description"))).alias("fatal"),
+    )
+    tiers = [F.when(F.sum(F.when(F.col("tier") == t, F.col("n"))) > 0, F.struct(F.lit(t).alias("key"), F.sum(F.when(F.col("tier") == t, F.col("n"))).alias("value"))) for t in sorted((GENUINE, DEGRADED, INFO, DATA_WARNING))]
+    states = F.array_sort(F.collect_list(F.when(F.col("of_farm").isNotNull(), F.struct(F.col("of_farm").alias("farm"), F.col("at").alias("at"), F.col("is_ok").alias("is_ok")))))
+    all_in = parts.agg(
+        F.filter(F.array(*tiers), lambda x: x.isNotNull()).alias("tiers"), states.alias("states"), F.array_sort(F.flatten(F.collect_list("fatal"))).alias("fatal"),
+        F.coalesce(F.max_by("lost", F.col("turned")), F.lit(False)).alias("connection_lost"),
+    )
+    latest = F.filter("states", lambda x, k: (k + 1 == F.size("states")) | (F.get("states", k + 1)["farm"] != x["farm"]))
+    one = all_in.select(
+        F.lit(connected).alias("connected"), F.map_from_entries("tiers").alias("tier_counts"), F.map_from_entries(F.transform(latest, lambda x: F.struct(x["farm"], x["is_ok"]))).alias("farms"),
+        F.transform("fatal", lambda x: F.struct(x["code"].alias("code"), x["description"].alias("description"))).alias("genuine_errors"), "connection_lost",
+    )
     n = F.size("genuine_errors")
     codes = F.array_join(F.transform("genuine_errors", lambda g: g["code"].cast("string")), ", ")
     states = F.array_join(F.transform(F.map_entries("farms"), lambda e: F.concat(e["key"], F.when(e["value"], "=OK").otherwise("=BROKEN"))), ", ")
@@ -113,10 +124,15 @@ def connection_health(errors: DataFrame, connected: bool = True) -> DataFrame:
     return one.select("connected", "tier_counts", "genuine_errors", "farms", "connection_lost", summary.alias("summary"))
 
 
-def settled(counts: DataFrame, stable: int = 3) -> DataFrame:
-    """Of a series of row counts (_seq, n), the first place where the count was positive and the same `stable` times in a row, or no row."""
+def settled(counts: DataFrame, stable: int = 3, by: str | None = None) -> DataFrame:
+    """Of a series of row counts (_seq, n), the first place where the count was positive and the same `stable` times in a row, or no row.
+
+    With `by`, a column that names sources, each source's own series: (by, _seq, n).
+    """
     from pyspark.sql import Window
 
-    w = Window.orderBy(SEQ).rowsBetween(-(stable - 1), 0)
-    runs = counts.select(SEQ, "n", F.min("n").over(w).alias("low"), F.max("n").over(w).alias("high"), F.count("*").over(w).alias("k"))
-    return runs.where((F.col("k") == stable) & (F.col("low") == F.col("high")) & (F.col("n") > 0)).orderBy(SEQ).limit(1).select(SEQ, "n")
+    keys = [by] if by else []
+    w = Window.partitionBy(*keys).orderBy(SEQ).rowsBetween(-(stable - 1), 0)
+    runs = counts.select(*keys, SEQ, "n", F.min("n").over(w).alias("low"), F.max("n").over(w).alias("high"), F.count("*").over(w).alias("k"))
+    calm = runs.where((F.col("k") == stable) & (F.col("low") == F.col("high")) & (F.col("n") > 0))
+    return calm.groupBy(*keys).agg(F.min(SEQ).alias(SEQ), F.min_by("n", SEQ).alias("n")).where(F.col(SEQ).isNotNull())

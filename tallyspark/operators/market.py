@@ -29,6 +29,17 @@ def quote_snapshot(prices: DataFrame, sizes: DataFrame | None = None) -> DataFra
     return p.join(s, "ContractId", "left").select(*p.columns[:-1], *s.columns[1:], "timestamp")
 
 
+def quotes_of(requests: DataFrame, prices: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """A row for each request (Symbol, ContractId): its quote_snapshot(), or what is wrong: error and message, else null.
+
+    error is symbol_not_found where the contract is null, quote_timeout where the contract has no price tick.
+    """
+    found = quote_snapshot(prices, sizes).withColumn("ticked", F.lit(True))
+    error = F.when(F.col("ContractId").isNull(), "symbol_not_found").when(F.col("ticked").isNull(), "quote_timeout")
+    message = F.when(error == "symbol_not_found", "the symbol has no contract").when(error == "quote_timeout", "no market data: the market is closed, or it isn't subscribed to")
+    return requests.select("Symbol", "ContractId").join(found, "ContractId", "left").select("Symbol", "ContractId", *[c for c in found.columns if c not in ("ContractId", "ticked")], error.alias("error"), message.alias("message"))
+
+
 def last_rows(rows: DataFrame, by: str, n: int = 30) -> DataFrame:
     """The last n rows of each group in order of arrival; n of 0 or less means 30."""
     w = Window.partitionBy(by).orderBy(F.desc(SEQ))
@@ -51,6 +62,14 @@ def bars_of_requests(bars: DataFrame, requests: DataFrame) -> DataFrame:
     return CATALOG["bar"].project(bars.drop("Sym").join(requests.select("RequestId", "Sym"), "RequestId"))
 
 
+def bar_tables(bars: DataFrame, request_ids: dict[str, int], query: object | None = None) -> dict[str, DataFrame]:
+    """{symbol: its canonical bars}, for every symbol of {symbol: request id}; one without bars has an empty table, and so have all where the query that feeds the bars has failed."""
+    from ..plans.views import raw_rows
+
+    rows = raw_rows(bars, query=query).where(F.col("RequestId").isin(*request_ids.values())) if request_ids else bars
+    return {symbol: bars_of_request(rows, symbol, request) for symbol, request in request_ids.items()}
+
+
 def parse_expiry(text: Column) -> Column:
     """A date from YYYYMMDD, or from YYYYMM its first day; null for anything else."""
     bare = F.trim(text)

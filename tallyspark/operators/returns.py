@@ -5,6 +5,7 @@ Every step keeps the shuffle by account that the first one makes: period windows
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Sequence
 
@@ -15,6 +16,7 @@ from ..functions.rates import PERIODS_PER_YEAR, risk_free
 from ..types import column
 
 NAN = float("nan")
+logger = logging.getLogger(__name__)
 NEW_YORK = "America/New_York"
 
 
@@ -32,29 +34,50 @@ def nav_points(nav: DataFrame, value_column: str = "Total") -> DataFrame:
     return out.where(F.col("ts").isNotNull() & F.col("value").isNotNull())
 
 
+BASE_CURRENCY = "USD"
+
+
+def _movements(cash: DataFrame, base_currency: str | None) -> DataFrame:
+    """(Account, Type, Timestamp, Amount, Currency, flow_date, amount) of the deposits, withdrawals and transfers that have an amount and a time; amount, in base currency, is null where it can't be told."""
+    get = lambda c, t: column(c).cast(t) if c in cash.columns else F.lit(None).cast(t)
+    fx, own = get("FxRateToBase", "double"), F.upper(F.btrim(get("Currency", "string"), F.lit(" \t\r\n\f\x0b")))
+    base = F.lit((base_currency or BASE_CURRENCY).strip().upper())
+    rows = cash.where(F.lower(get("Type", "string")).rlike("deposit|withdraw|transfer")).select(
+        get("Account", "string").alias("Account"), get("Type", "string").alias("Type"), get("Timestamp", "timestamp").alias("Timestamp"), get("Amount", "double").alias("Amount"), get("Currency", "string").alias("Currency"),
+        F.when(fx > 0, get("Amount", "double") * fx).when(own.isNull() | (own == base), get("Amount", "double")).alias("amount_in_base"),
+    )
+    return rows.where("Timestamp IS NOT NULL AND Amount IS NOT NULL").withColumn("flow_date", F.to_date(F.from_utc_timestamp("Timestamp", NEW_YORK)))
+
+
 def external_flows(cash: DataFrame, base_currency: str | None = None) -> DataFrame:
     """(Account, flow_date, amount): deposits, withdrawals and transfers by New York day, in base currency.
 
     Amounts with a positive FxRateToBase are converted; those without count as they are if their currency is null or the
-    base currency (any, if none is named and the row gives no rate), else they are left out. A table without
+    base currency, USD if none is named, in any case and with any white space around it; else they are left out, see skipped_flows(). A table without
     Type, Amount or Timestamp has no flows.
     """
     spark = cash.sparkSession
     if not {"Type", "Amount", "Timestamp"} <= set(cash.columns):
         return spark.createDataFrame([], "Account string, flow_date date, amount double")
-    get = lambda c, t: column(c).cast(t) if c in cash.columns else F.lit(None).cast(t)
-    kind, fx = F.lower(get("Type", "string")), get("FxRateToBase", "double")
-    rows = cash.where(kind.rlike("deposit|withdraw|transfer")).select(
-        get("Account", "string").alias("Account"),
-        F.to_date(F.from_utc_timestamp(get("Timestamp", "timestamp"), NEW_YORK)).alias("flow_date"),
-        F.when(fx > 0, get("Amount", "double") * fx).when(get("Currency", "string").isNull() | (get("Currency", "string") == F.lit(base_currency or "USD")), get("Amount", "double")).alias("amount"),
-    )
-    return rows.where("flow_date IS NOT NULL AND amount IS NOT NULL").groupBy("Account", "flow_date").agg(F.sum("amount").alias("amount"))
+    return _movements(cash, base_currency).where("amount_in_base IS NOT NULL").groupBy("Account", "flow_date").agg(F.sum("amount_in_base").alias("amount"))
 
 
 def skipped_flows(cash: DataFrame, base_currency: str | None = None) -> DataFrame:
-    """The external movements that external_flows() leaves out for want of an exchange rate."""
-    return cash.where(F.lower("Type").rlike("deposit|withdraw|transfer") & ~F.coalesce(F.col("FxRateToBase") > 0, F.lit(False)) & F.col("Currency").isNotNull() & (F.col("Currency") != F.lit(base_currency or "USD")))
+    """(Account, flow_date, Type, Amount, Currency) of the movements that external_flows() leaves out for want of an exchange rate."""
+    if not {"Type", "Amount", "Timestamp"} <= set(cash.columns):
+        return cash.sparkSession.createDataFrame([], "Account string, flow_date date, Type string, Amount double, Currency string")
+    return _movements(cash, base_currency).where("amount_in_base IS NULL").select("Account", "flow_date", "Type", "Amount", "Currency")
+
+
+def warn_of_skipped(cash: DataFrame, base_currency: str | None = None, named: int = 20) -> int:
+    """Logs a warning for the first movements that are left out of returns, with how many there are; for single accounts, since they come to the driver."""
+    skipped = skipped_flows(cash, base_currency)
+    n = skipped.count()
+    if n:
+        for r in skipped.orderBy("flow_date").limit(named).collect():
+            logger.warning("a %s of %s %s on %s is left out of the flows: there is no rate to convert it with, so that period's return counts it as gain", r["Type"], r["Amount"], r["Currency"], r["flow_date"])
+        logger.warning("%d movements are left out of the flows", n)
+    return n
 
 
 def periods(nav: DataFrame, flows: DataFrame | None = None, value_column: str = "Total") -> DataFrame:

@@ -52,18 +52,21 @@ def round_trips(fills: DataFrame, by: Sequence[str] = ("Sym",)) -> DataFrame:
     split = split.select(*by, "Timestamp", SEQ, "leg", "Price", "Multiplier", "Strategy", "s", F.col("bad").cast("int").alias("bad"), "l.*")
     run = Window.partitionBy(*by).orderBy("Timestamp", SEQ, "leg").rowsBetween(Window.unboundedPreceding, 0)
     numbered = split.withColumn("trip", F.sum(F.col("opens").cast("int")).over(run)).withColumn("suspect", F.max("bad").over(run)).withColumn("at", F.row_number().over(Window.partitionBy(*by).orderBy("Timestamp", SEQ, "leg")))
+    # a trip's strategy and direction are known at its first leg; as keys they leave only fixed-width values to aggregate, so hashing does
+    first = F.last(F.when(F.col("opens"), F.struct("Strategy", (F.col("s") > 0).alias("long"))), ignorenulls=True).over(run)
+    numbered = numbered.withColumn("first", first).select("*", F.col("first.Strategy").alias("strategy_of"), F.col("first.long").alias("is_long"))
     opened = lambda c: F.max(F.when(F.col("opens"), F.col(c)))
     entry, out = F.col("entry"), ~F.col("entry")
-    trips = numbered.groupBy(*by, "trip").agg(
-        F.max(F.when(F.col("opens"), F.when(F.col("s") > 0, "long").otherwise("short"))).alias("direction"), opened("Timestamp").alias("entry_ts"), F.max(F.when(F.col("closes"), F.col("Timestamp"))).alias("exit_ts"),
+    trips = numbered.groupBy(*by, "trip", "strategy_of", "is_long").agg(
+        opened("Timestamp").alias("entry_ts"), F.max(F.when(F.col("closes"), F.col("Timestamp"))).alias("exit_ts"),
         F.sum(F.when(entry, F.col("qty")).otherwise(0.0)).alias("qty"), F.sum(F.when(entry, F.col("qty") * F.col("Price")).otherwise(0.0)).alias("bought"), F.sum(F.when(out, F.col("qty"))).alias("out"), F.sum(F.when(out, F.col("qty") * F.col("Price"))).alias("sold"),
-        F.sum("pnl").alias("realized_pnl"), F.sum("fee").alias("commission"), opened("Strategy").alias("strategy"), opened("Multiplier").alias("multiplier"), (~F.max("closes")).alias("is_open"), (F.max_by("suspect", "at") == 1).alias("suspect"),
+        F.sum("pnl").alias("realized_pnl"), F.sum("fee").alias("commission"), opened("Multiplier").alias("multiplier"), (~F.max("closes")).alias("is_open"), (F.max_by("suspect", "at") == 1).alias("suspect"),
     )
     entry_price = F.when(F.col("qty") != 0, F.col("bought") / F.col("qty")).otherwise(0.0)
     worth = F.col("qty") * entry_price * F.col("multiplier")
     return trips.select(
-        *by, "trip", "direction", "entry_ts", "exit_ts", F.when(~F.col("is_open"), (F.unix_micros("exit_ts") - F.unix_micros("entry_ts")) / 1e6).alias("hold_seconds"), "qty", entry_price.alias("avg_entry_price"), (F.col("sold") / F.col("out")).alias("avg_exit_price"), "realized_pnl", "commission",
-        F.when(~F.col("is_open") & (worth != 0), F.col("realized_pnl") / F.when(worth != 0, worth)).alias("return_pct"), "strategy", "is_open", "suspect",
+        *by, "trip", F.when(F.col("is_long"), "long").otherwise("short").alias("direction"), "entry_ts", "exit_ts", F.when(~F.col("is_open"), (F.unix_micros("exit_ts") - F.unix_micros("entry_ts")) / 1e6).alias("hold_seconds"), "qty", entry_price.alias("avg_entry_price"), (F.col("sold") / F.col("out")).alias("avg_exit_price"), "realized_pnl", "commission",
+        F.when(~F.col("is_open") & (worth != 0), F.col("realized_pnl") / F.when(worth != 0, worth)).alias("return_pct"), F.col("strategy_of").alias("strategy"), "is_open", "suspect",
     )
 
 

@@ -182,6 +182,7 @@ def statement_performance(spark: SparkSession, source: str | Path, *, account: s
     both = tables["nav"].select("Account").unionByName(tables["cash"].select("Account"))
     only_account(both, account)
     pick = lambda df: df.where(F.col("Account") == account) if account is not None else df
+    R.warn_of_skipped(pick(tables["cash"]), base_currency)
     return performance_of(pick(tables["nav"]), R.external_flows(pick(tables["cash"]), base_currency), **how)
 
 
@@ -245,5 +246,6 @@ def journal_of(fills: DataFrame, /, group_by: str = "symbol") -> "JournalResult"
     money = roundtrips.open_totals(trips).first()
     return JournalResult(
         aggregates=roundtrips.journal(trips, None).first().asDict(), by_group={r["group_key"]: {k: v for k, v in r.asDict().items() if k != "group_key"} for r in by_group.orderBy("group_key").collect()},
-        warnings=[{"sym": r["Sym"], "reason": r["reason"]} for r in roundtrips.warnings(trips).orderBy("Sym").collect()], open_realized_pnl=money["open_realized_pnl"], open_commission=money["open_commission"], round_trips=[r for r in rows if not r["is_open"]], open_round_trips=[r for r in rows if r["is_open"]],
+        warnings=[{"sym": r["Sym"], "reason": r["reason"]} for r in roundtrips.warnings(trips).orderBy("Sym").collect()], open_realized_pnl=money["open_realized_pnl"], open_commission=money["open_commission"],
+            round_trips=[r for r in rows if not r["is_open"]], open_round_trips=[r for r in rows if r["is_open"]],
     )

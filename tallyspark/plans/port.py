@@ -143,7 +143,7 @@ class Port:
         keys = [column(b) for b in by]
         return self._result(frame.groupBy(*keys).agg(*out) if out else frame.select(*keys).distinct())
 
-    def as_of_join(self, left: Result, right: Result, /, *, joins: Sequence[str], on: Sequence[str]) -> Result:
+    def as_of_join(self, left: Result, right: Result, /, *, joins: Sequence[str], on: Sequence[str], bucket: float | None = None) -> Result:
         """Every left row with columns of the latest right row at or before it; on's last column orders, the others must be equal."""
         if not on:
             raise ValueError("an as-of join needs a column to order by")
@@ -153,7 +153,7 @@ class Port:
         order = on[-1]
         for side in (left, right):
             self._need(side, [order], DType.TIMESTAMP_NS, DType.INT64, DType.FLOAT64)
-        return self._result(core.asof_join(left.frame, right.frame, on, joins))
+        return self._result(core.asof_join(left.frame, right.frame, on, joins, bucket=bucket))
 
     def sort(self, source: Result, *, keys: list[tuple]) -> Result:
         """Rows by (column, descending) pairs, later ones breaking ties; nulls are least."""

@@ -174,11 +174,17 @@ def pnl_snapshot(pnl: DataFrame, symbols: DataFrame) -> DataFrame:
     return CATALOG["position_pnl"].project(natural_join(table, symbols.withColumn(SEQ, F.lit(0)), [("ConId", "ConId")], ["Sym"]))
 
 
-def raw_rows(df: DataFrame, predicate: str | None = None) -> DataFrame:
-    """The rows of a raw table that fulfil a predicate, which reaches the scan; all of them without one."""
+def raw_rows(df: DataFrame, predicate: str | None = None, query: object | None = None) -> DataFrame:
+    """The rows of a raw table that fulfil a predicate, which reaches the scan; all of them without one.
+
+    Where the streaming query that feeds the table is given and has failed, there are none, and a warning says so.
+    """
     from ..functions.expr import compile_predicate
+    from ..streaming.changes import snapshot_or_empty
     from ..types import schema_of
 
+    if query is not None:
+        return snapshot_or_empty(query, lambda: raw_rows(df, predicate), df.schema)
     return df.where(compile_predicate(predicate, schema_of(df))) if predicate else df
 
 

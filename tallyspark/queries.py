@@ -11,12 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.stamps import fingerprint, moment
 from .operators import benchmark as B
 from .operators import core, diagnostics, market
 from .operators import returns as R
 from .operators import roundtrips as RT
 from .plans import views
 from .plans.port import Port, connect
+from .sources import statement as S
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,7 +55,8 @@ def _rounded(df: DataFrame, places: int = 6) -> DataFrame:
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
     e = _table(spark, d, "events")
-    return e.select(F.col("event_id").alias("_seq"), F.col("ts").cast("timestamp").alias("Timestamp"), F.concat(F.lit("A"), (F.col("user_id") % 5).cast("string")).alias("Account"), F.concat(F.lit("S"), (F.col("user_id") % 40).cast("string")).alias("Sym"), "user_id", F.col("event_type").alias("Key"), F.col("value").alias("DoubleValue"))
+    return e.select(F.col("event_id").alias("_seq"), F.col("ts").cast("timestamp").alias("Timestamp"), F.concat(F.lit("A"), (F.col("user_id") % 5).cast("string")).alias("Account"),
+        F.concat(F.lit("S"), (F.col("user_id") % 40).cast("string")).alias("Sym"), "user_id", F.col("event_type").alias("Key"), F.col("value").alias("DoubleValue"))
 
 
 _EV = "ev AS (SELECT event_id AS seq, ts, 'A' || (user_id % 5) AS account, 'S' || (user_id % 40) AS sym, user_id, event_type AS k, value AS v FROM events)"
@@ -72,14 +75,16 @@ def _cash(spark: SparkSession, d: str) -> DataFrame:
     foreign = F.col("_seq") % 3 == 0
     return _events(spark, d).where("Key = 'signup'").select(
         F.col("_seq").cast("string").alias("TxnId"), "Account", "Timestamp", F.when(F.col("_seq") % 4 == 0, "Dividends").otherwise("Deposits & Withdrawals").alias("Type"), F.col("DoubleValue").alias("Amount"),
-        F.when(foreign | (F.col("_seq") % 5 == 0), "EUR").otherwise("USD").alias("Currency"), F.when(foreign, 1.08).alias("FxRateToBase"),
+        F.when(foreign | (F.col("_seq") % 5 == 0), "EUR").when(F.col("_seq") % 7 == 1, "usd").when(F.col("_seq") % 7 == 2, " USD ").when(F.col("_seq") % 7 == 3, None).otherwise("USD").alias("Currency"), F.when(foreign, 1.08).alias("FxRateToBase"),
     )
 
 
-_FLOWS = "flows AS (SELECT account, (ts - INTERVAL 5 HOUR)::DATE AS day, sum(CASE WHEN seq % 3 = 0 THEN v * 1.08 WHEN seq % 5 <> 0 THEN v END) AS amount FROM ev WHERE k = 'signup' AND seq % 4 <> 0 GROUP BY ALL HAVING amount IS NOT NULL)"
+_CURRENCY = "CASE WHEN seq % 3 = 0 OR seq % 5 = 0 THEN 'EUR' WHEN seq % 7 = 1 THEN 'usd' WHEN seq % 7 = 2 THEN ' USD ' WHEN seq % 7 = 3 THEN NULL ELSE 'USD' END"
+_FLOWS = f"flows AS (SELECT account, (ts - INTERVAL 5 HOUR)::DATE AS day, sum(CASE WHEN seq % 3 = 0 THEN v * 1.08 WHEN coalesce(upper(trim({_CURRENCY})), 'USD') = 'USD' THEN v END) AS amount FROM ev WHERE k = 'signup' AND seq % 4 <> 0 GROUP BY ALL HAVING amount IS NOT NULL)"
 _PAIRS = "pairs AS (SELECT account, t, total, lag(t) OVER (PARTITION BY account ORDER BY t) AS pt, lag(total) OVER (PARTITION BY account ORDER BY t) AS prior, row_number() OVER (PARTITION BY account ORDER BY t) AS k FROM nav)"
 _RET = "ret AS (SELECT account, pt::DATE AS prior_date, t::DATE AS later_date, t, k, (total - prior) / prior AS r FROM pairs WHERE prior <> 0)"
-_FRET = "fl AS (SELECT p.account, p.t, p.k, p.pt, p.prior, p.total, coalesce(sum(f.amount), 0) AS flow FROM pairs p LEFT JOIN flows f ON f.account = p.account AND f.day > p.pt::DATE AND f.day <= p.t::DATE GROUP BY ALL), ret AS (SELECT account, pt::DATE AS prior_date, t::DATE AS later_date, t, k, flow, (total - prior - flow) / prior AS r FROM fl WHERE prior <> 0)"
+_FRET = """fl AS (SELECT p.account, p.t, p.k, p.pt, p.prior, p.total, coalesce(sum(f.amount), 0) AS flow FROM pairs p LEFT JOIN flows f ON f.account = p.account AND f.day > p.pt::DATE AND f.day <= p.t::DATE GROUP BY ALL),
+ret AS (SELECT account, pt::DATE AS prior_date, t::DATE AS later_date, t, k, flow, (total - prior - flow) / prior AS r FROM fl WHERE prior <> 0)"""
 _RETURNS = f"WITH {_EV}, {_NAV}, {_PAIRS}, {_RET}"
 _FLOW_RETURNS = f"WITH {_EV}, {_NAV}, {_FLOWS}, {_PAIRS}, {_FRET}"
 
@@ -90,7 +95,9 @@ def _bench(spark: SparkSession, d: str) -> DataFrame:
     return o.where("n <> 11").groupBy("n").agg(F.avg("o_totalprice").alias("Close")).select(F.lit("BM").alias("Sym"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("n")).cast("timestamp").alias("Timestamp"), "Close")
 
 
-_BENCH = "bench AS (SELECT DATE '2024-01-01' + n::INT AS d, avg(o_totalprice) AS close FROM (SELECT o_totalprice, (o_orderdate::DATE - DATE '1995-01-01') % 30 AS n FROM orders) WHERE n <> 11 GROUP BY n), bret AS (SELECT lag(d) OVER (ORDER BY d) AS prior_date, d AS later_date, close / lag(close) OVER (ORDER BY d) - 1 AS b FROM bench), both_sides AS (SELECT ret.account, ret.prior_date, ret.later_date, ret.r AS p, bret.b FROM ret JOIN bret USING (prior_date, later_date))"
+_BENCH = """bench AS (SELECT DATE '2024-01-01' + n::INT AS d, avg(o_totalprice) AS close FROM (SELECT o_totalprice, (o_orderdate::DATE - DATE '1995-01-01') % 30 AS n FROM orders) WHERE n <> 11 GROUP BY n),
+bret AS (SELECT lag(d) OVER (ORDER BY d) AS prior_date, d AS later_date, close / lag(close) OVER (ORDER BY d) - 1 AS b FROM bench), both_sides AS (SELECT ret.account, ret.prior_date, ret.later_date, ret.r AS p, bret.b
+FROM ret JOIN bret USING (prior_date, later_date))"""
 _ALIGNED = f"{_RETURNS}, {_BENCH}"
 
 
@@ -109,14 +116,17 @@ q AS (SELECT *, pos - s AS prev FROM p),
 c AS (SELECT *, abs(prev) < 1e-9 AS flat, abs(prev) >= 1e-9 AND (prev > 0) = (s > 0) AS along FROM q),
 g AS (SELECT *, NOT flat AND NOT along AND qty > abs(prev) + 1e-9 AS flip, (flat OR along) AND abs(pnl) > 1e-9 AS bad FROM c),
 legs AS (
-SELECT sym, ts, seq, 0 AS leg, s, price, strategy, bad, CASE WHEN flip THEN abs(prev) ELSE qty END AS lq, flat OR along AS entry, flat AS opens, CASE WHEN flat OR along THEN 0 ELSE pnl END AS lp, CASE WHEN flip THEN fee * abs(prev) / qty ELSE fee END AS lf, flip OR (NOT flat AND NOT along AND abs(pos) < 1e-9) AS closes FROM g
+SELECT sym, ts, seq, 0 AS leg, s, price, strategy, bad, CASE WHEN flip THEN abs(prev) ELSE qty END AS lq, flat OR along AS entry, flat AS opens, CASE WHEN flat OR along THEN 0 ELSE pnl END AS lp, CASE WHEN flip THEN fee * abs(prev) / qty ELSE fee END AS lf, flip OR (NOT flat AND NOT along AND abs(pos) < 1e-9) AS closes
+FROM g
 UNION ALL SELECT sym, ts, seq, 1, s, price, strategy, bad, qty - abs(prev), true, true, 0, fee * (1 - abs(prev) / qty), false FROM g WHERE flip),
 n AS (SELECT *, sum(opens::INT) OVER w AS trip, max(bad::INT) OVER w AS sus, row_number() OVER (PARTITION BY sym ORDER BY ts, seq, leg) AS place FROM legs WINDOW w AS (PARTITION BY sym ORDER BY ts, seq, leg ROWS UNBOUNDED PRECEDING)),
 t AS (SELECT sym, trip, max(CASE WHEN opens THEN CASE WHEN s > 0 THEN 'long' ELSE 'short' END END) AS direction, max(CASE WHEN opens THEN ts END) AS entry_ts, max(CASE WHEN closes THEN ts END) AS exit_ts, sum(CASE WHEN entry THEN lq ELSE 0 END) AS qty,
 sum(CASE WHEN entry THEN lq * price ELSE 0 END) / sum(CASE WHEN entry THEN lq ELSE 0 END) AS avg_entry_price, sum(CASE WHEN NOT entry THEN lq * price END) / sum(CASE WHEN NOT entry THEN lq END) AS avg_exit_price,
 sum(lp) AS realized_pnl, sum(lf) AS commission, max(CASE WHEN opens THEN strategy END) AS strategy, NOT bool_or(closes) AS is_open, arg_max(sus, place) = 1 AS suspect FROM n GROUP BY sym, trip)"""
 
-_TRIP_COLUMNS = "sym AS Sym, trip::BIGINT AS trip, direction, entry_ts, exit_ts, CASE WHEN NOT is_open THEN round(epoch_us(exit_ts) / 1e6 - epoch_us(entry_ts) / 1e6, 6) END AS hold_seconds, round(qty, 6) AS qty, round(avg_entry_price, 6) AS avg_entry_price, round(avg_exit_price, 6) AS avg_exit_price, round(realized_pnl, 6) AS realized_pnl, round(commission, 6) AS commission, CASE WHEN NOT is_open THEN round(realized_pnl / (qty * avg_entry_price), 6) END AS return_pct, strategy, is_open, suspect"
+_TRIP_COLUMNS = """sym AS Sym, trip::BIGINT AS trip, direction, entry_ts, exit_ts, CASE WHEN NOT is_open THEN round(epoch_us(exit_ts) / 1e6 - epoch_us(entry_ts) / 1e6, 6) END AS hold_seconds, round(qty, 6) AS qty,
+round(avg_entry_price, 6) AS avg_entry_price, round(avg_exit_price, 6) AS avg_exit_price, round(realized_pnl, 6) AS realized_pnl,
+round(commission, 6) AS commission, CASE WHEN NOT is_open THEN round(realized_pnl / (qty * avg_entry_price), 6) END AS return_pct, strategy, is_open, suspect"""
 
 
 def _port(spark: SparkSession, d: str) -> Port:
@@ -129,7 +139,9 @@ def _port(spark: SparkSession, d: str) -> Port:
     return connect({"quote": quote, "execution": execution})
 
 
-_QUOTE = f"{_EV}, quote AS (SELECT sym AS \"Sym\", ts AS \"Timestamp\", v - 1 AS \"Bid\", v + 1 AS \"Ask\", v AS \"Last\", seq FROM ev WHERE k IN ('view', 'click')), execution AS (SELECT seq::VARCHAR AS \"ExecId\", ts AS \"Timestamp\", account AS \"Account\", user_id AS \"ConId\", sym AS \"Sym\", CASE k WHEN 'purchase' THEN 'BUY' ELSE 'SELL' END AS \"Side\", (seq % 3 + 1)::DOUBLE AS \"Qty\", v AS \"Price\", seq FROM ev WHERE k IN ('purchase', 'error'))"
+_QUOTE = f"""{_EV}, quote AS (SELECT sym AS \"Sym\", ts AS \"Timestamp\", v - 1 AS \"Bid\", v + 1 AS \"Ask\", v AS \"Last\", seq FROM ev WHERE k IN ('view', 'click')),
+execution AS (SELECT seq::VARCHAR AS \"ExecId\", ts AS \"Timestamp\", account AS \"Account\", user_id AS \"ConId\", sym AS \"Sym\", CASE k WHEN 'purchase' THEN 'BUY' ELSE 'SELL' END AS \"Side\", (seq % 3 + 1)::DOUBLE AS \"Qty\", v AS \"Price\", seq
+FROM ev WHERE k IN ('purchase', 'error'))"""
 
 
 def _shown(frame: DataFrame, *columns: str, places: int = 6) -> DataFrame:
@@ -225,7 +237,8 @@ def asof_join_numeric(spark: SparkSession, d: str) -> DataFrame:
     return _shown(p.as_of_join(left, right, on=["Sym", "n"], joins=["Last"]).frame, "ExecId", "Last")
 
 
-@_query(f"""WITH {_QUOTE} SELECT count(*)::BIGINT AS n, count(q."Last")::BIGINT AS matched FROM execution e ASOF LEFT JOIN (SELECT "Sym", "Timestamp", max("Last") AS "Last" FROM quote WHERE "Timestamp" >= TIMESTAMP '2024-01-20' GROUP BY ALL) q ON e."Sym" = q."Sym" AND e."Timestamp" >= q."Timestamp" """)
+@_query(f"""WITH {_QUOTE} SELECT count(*)::BIGINT AS n, count(q."Last")::BIGINT AS matched FROM execution e ASOF LEFT JOIN (SELECT "Sym", "Timestamp", max("Last") AS "Last" FROM quote
+WHERE "Timestamp" >= TIMESTAMP '2024-01-20' GROUP BY ALL) q ON e."Sym" = q."Sym" AND e."Timestamp" >= q."Timestamp" """)
 def asof_no_match_kept(spark: SparkSession, d: str) -> DataFrame:
     p = _port(spark, d)
     late = p.time_window(p.table("quote"), column="Timestamp", start="2024-01-20T00:00:00", end="2030-01-01T00:00:00")
@@ -260,7 +273,8 @@ def natural_join_dedupe_right(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(joined)
 
 
-@_query(f"""WITH {_EV} SELECT account AS "Account", round(arg_max(v, seq) FILTER (k = 'view'), 6) AS "Viewed", round(arg_max(v, seq) FILTER (k = 'click'), 6) AS "Clicked", round(arg_max(v, seq) FILTER (k = 'purchase'), 6) AS "Bought", arg_max(ts, seq) FILTER (k = 'purchase') AS "Timestamp" FROM ev GROUP BY account HAVING count(*) FILTER (k = 'purchase') > 0""")
+@_query(f"""WITH {_EV} SELECT account AS "Account", round(arg_max(v, seq) FILTER (k = 'view'), 6) AS "Viewed", round(arg_max(v, seq) FILTER (k = 'click'), 6) AS "Clicked", round(arg_max(v, seq) FILTER (k = 'purchase'),
+6) AS "Bought", arg_max(ts, seq) FILTER (k = 'purchase') AS "Timestamp" FROM ev GROUP BY account HAVING count(*) FILTER (k = 'purchase') > 0""")
 def pivot_metrics(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(core.pivot_latest(_events(spark, d), ["Account"], "Key", "DoubleValue", {"view": "Viewed", "click": "Clicked", "purchase": "Bought"}, "purchase", {"Timestamp": "Timestamp"}))
 
@@ -280,12 +294,14 @@ def _raw(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     )
     fees = fills.where("_seq % 2 = 0").select(F.col("_seq").cast("string").alias("ExecId"), F.col("Timestamp").alias("ReceiveTime"), (F.col("DoubleValue") / 100).alias("Commission"), F.col("DoubleValue").alias("RealizedPNL"), "_seq")
     unset = F.when(F.col("_seq") % 3 == 0, views.UNSET).when(F.col("_seq") % 3 == 1, -views.UNSET).otherwise(F.col("DoubleValue"))
-    pnl = e.where("Key = 'view'").select("Account", F.when(F.col("_seq") % 11 == 0, "").otherwise(F.col("user_id").cast("string")).alias("ConId"), unset.alias("DailyPnL"), F.col("DoubleValue").alias("UnrealizedPnL"), F.lit(None).cast("double").alias("RealizedPnL"), F.col("DoubleValue").alias("Value"), "_seq")
+    pnl = e.where("Key = 'view'").select("Account", F.when(F.col("_seq") % 11 == 0, "").otherwise(F.col("user_id").cast("string")).alias("ConId"), unset.alias("DailyPnL"), F.col("DoubleValue").alias("UnrealizedPnL"),
+        F.lit(None).cast("double").alias("RealizedPnL"), F.col("DoubleValue").alias("Value"), "_seq")
     held = e.where("Key = 'click'").select("Account", F.col("user_id").alias("ContractId"), F.col("Sym").alias("Symbol"), F.col("DoubleValue").alias("Position"), F.col("DoubleValue").alias("AvgCost"), "_seq")
     return {"orders_exec_details": details, "orders_exec_commission_report": fees, "accounts_pnl_single": pnl, "accounts_positions": held}
 
 
-@_query(f"""WITH {_EV} SELECT seq::VARCHAR AS "ExecId", sym AS "Sym", CASE WHEN seq % 7 = 0 THEN 'OTHER' WHEN k = 'purchase' THEN 'BUY' ELSE 'SELL' END AS "Side", CASE WHEN seq % 2 = 0 THEN round(-v / 100, 6) END AS "Commission", CASE WHEN seq % 2 = 0 THEN round(v, 6) END AS "RealizedPnl" FROM ev WHERE k IN ('purchase', 'error')""")
+@_query(f"""WITH {_EV} SELECT seq::VARCHAR AS "ExecId", sym AS "Sym", CASE WHEN seq % 7 = 0 THEN 'OTHER' WHEN k = 'purchase' THEN 'BUY' ELSE 'SELL' END AS "Side", CASE WHEN seq % 2 = 0 THEN round(-v / 100, 6) END AS "Commission", CASE WHEN seq % 2 = 0 THEN round(v, 6) END AS "RealizedPnl"
+FROM ev WHERE k IN ('purchase', 'error')""")
 def canonical_side_commission(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(views.apply_view(views.VIEWS["execution"], _raw(spark, d)).select("ExecId", "Sym", "Side", "Commission", "RealizedPnl"))
 
@@ -340,8 +356,11 @@ ends AS (SELECT account, min(t) AS s, max(t) AS e, arg_min(total, t) AS a, arg_m
 f AS (SELECT *, CASE WHEN n >= 2 AND g > 0 THEN pow(g, 252.0 / n) - 1 ELSE 'NaN'::DOUBLE END AS ann FROM agg JOIN ends USING (account))"""
 
 
-@_query(f"""{_PERFORMANCE} SELECT account AS "Account", s AS start, e AS "end", n::BIGINT AS num_periods, round(a, 6) AS starting_nav, round(z, 6) AS ending_nav, round(fl, 6) AS net_external_flows, true AS flows_applied, round(g - 1, 6) AS cumulative_return, round(ann, 6) AS annualized_return, round(sd * sqrt(252), 6) AS annualized_volatility,
-round(CASE WHEN sd > 0 THEN (m - 0.0378 / 252) / sd * sqrt(252) ELSE 'NaN'::DOUBLE END, 6) AS sharpe_ratio, round(CASE WHEN down > 0 THEN (m - 0.0378 / 252) / down * sqrt(252) ELSE 'NaN'::DOUBLE END, 6) AS sortino_ratio, round(CASE WHEN mdd < 0 THEN ann / abs(mdd) ELSE 'NaN'::DOUBLE END, 6) AS calmar_ratio, round(mdd, 6) AS max_drawdown, round(hit, 6) AS hit_rate, round(best, 6) AS best_period, round(worst, 6) AS worst_period, 0.0378::DOUBLE AS risk_free_annual, 252::BIGINT AS periods_per_year FROM f""")
+@_query(f"""{_PERFORMANCE} SELECT account AS "Account", s AS start, e AS "end", n::BIGINT AS num_periods, round(a, 6) AS starting_nav, round(z, 6) AS ending_nav,
+round(fl, 6) AS net_external_flows, true AS flows_applied, round(g - 1, 6) AS cumulative_return, round(ann, 6) AS annualized_return, round(sd * sqrt(252), 6) AS annualized_volatility,
+round(CASE WHEN sd > 0 THEN (m - 0.0378 / 252) / sd * sqrt(252) ELSE 'NaN'::DOUBLE END, 6) AS sharpe_ratio,
+round(CASE WHEN down > 0 THEN (m - 0.0378 / 252) / down * sqrt(252) ELSE 'NaN'::DOUBLE END, 6) AS sortino_ratio, round(CASE WHEN mdd < 0 THEN ann / abs(mdd) ELSE 'NaN'::DOUBLE END, 6) AS calmar_ratio,
+round(mdd, 6) AS max_drawdown, round(hit, 6) AS hit_rate, round(best, 6) AS best_period, round(worst, 6) AS worst_period, 0.0378::DOUBLE AS risk_free_annual, 252::BIGINT AS periods_per_year FROM f""")
 def performance_summary(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(R.performance(_nav(spark, d), R.external_flows(_cash(spark, d))))
 
@@ -354,7 +373,8 @@ def drawdown_curve(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"""{_RETURNS}, win AS (SELECT a.account, a.k, a.t, b.k AS bk, b.r FROM ret a JOIN ret b ON b.account = a.account AND b.k BETWEEN a.k - 9 AND a.k WHERE a.k >= 11),
 w AS (SELECT *, product(1 + r) OVER (PARTITION BY account, k ORDER BY bk ROWS UNBOUNDED PRECEDING) AS wealth FROM win), p AS (SELECT *, greatest(1, max(wealth) OVER (PARTITION BY account, k ORDER BY bk ROWS UNBOUNDED PRECEDING)) AS peak FROM w)
-SELECT account AS "Account", t AS "Timestamp", round(product(1 + r) - 1, 6) AS "Return", round(stddev_samp(r) * sqrt(252), 6) AS "Volatility", round((avg(r) - 0.0378 / 252) / stddev_samp(r) * sqrt(252), 6) AS "Sharpe", round(min(least(wealth / peak - 1, 0)), 6) AS "MaxDrawdown" FROM p GROUP BY account, k, t""")
+SELECT account AS "Account", t AS "Timestamp", round(product(1 + r) - 1, 6) AS "Return", round(stddev_samp(r) * sqrt(252), 6) AS "Volatility", round((avg(r) - 0.0378 / 252) / stddev_samp(r) * sqrt(252), 6) AS "Sharpe",
+round(min(least(wealth / peak - 1, 0)), 6) AS "MaxDrawdown" FROM p GROUP BY account, k, t""")
 def rolling_performance(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(R.rolling_performance(_nav(spark, d), window=10))
 
@@ -384,7 +404,8 @@ def _both(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]
 
 
 @_query(f"""{_ALIGNED}, a AS (SELECT account, count(*) AS n, min(later_date) AS s, max(later_date) AS e, covar_samp(p, b) AS cov, var_samp(b) AS vb, stddev_samp(p) AS sp, stddev_samp(b) AS sb, avg(p) AS mp, avg(b) AS mb, stddev_samp(p - b) AS ta, avg(p - b) AS ma FROM both_sides GROUP BY account)
-SELECT account AS "Account", n::BIGINT AS num_periods, s AS start, e AS "end", round(cov / vb, 6) AS beta, round(((mp - 0.0378 / 252) - cov / vb * (mb - 0.0378 / 252)) * 252, 6) AS alpha_annualized, round(cov / (sp * sb), 6) AS correlation, round(pow(cov / (sp * sb), 2), 6) AS r_squared, round(ta * sqrt(252), 6) AS tracking_error, round(ma / ta * sqrt(252), 6) AS information_ratio FROM a""")
+SELECT account AS "Account", n::BIGINT AS num_periods, s AS start, e AS "end", round(cov / vb, 6) AS beta, round(((mp - 0.0378 / 252) - cov / vb * (mb - 0.0378 / 252)) * 252, 6) AS alpha_annualized,
+round(cov / (sp * sb), 6) AS correlation, round(pow(cov / (sp * sb), 2), 6) AS r_squared, round(ta * sqrt(252), 6) AS tracking_error, round(ma / ta * sqrt(252), 6) AS information_ratio FROM a""")
 def relative_metrics(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(B.relative(_both(spark, d)[2]).select("Account", "num_periods", "start", "end", "beta", "alpha_annualized", "correlation", "r_squared", "tracking_error", "information_ratio"))
 
@@ -394,12 +415,14 @@ def up_down_capture(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(B.relative(_both(spark, d)[2]).select("Account", "up_capture", "down_capture"))
 
 
-@_query(f"""{_ALIGNED}, c AS (SELECT account, count(*) AS n FROM ret GROUP BY account), x AS (SELECT account, count(*) AS n FROM both_sides GROUP BY account) SELECT c.account AS "Account", (c.n + (SELECT count(*) FROM bret WHERE prior_date IS NOT NULL) - 2 * coalesce(x.n, 0))::BIGINT AS dropped_periods FROM c LEFT JOIN x USING (account)""")
+@_query(f"""{_ALIGNED}, c AS (SELECT account, count(*) AS n FROM ret GROUP BY account), x AS (SELECT account, count(*) AS n FROM both_sides GROUP BY account) SELECT c.account AS "Account", (c.n + (SELECT count(*) FROM bret
+WHERE prior_date IS NOT NULL) - 2 * coalesce(x.n, 0))::BIGINT AS dropped_periods FROM c LEFT JOIN x USING (account)""")
 def dropped_periods(spark: SparkSession, d: str) -> DataFrame:
     return B.dropped(*_both(spark, d))
 
 
-@_query(f"""{_ALIGNED}, w AS (SELECT account, later_date, row_number() OVER (PARTITION BY account ORDER BY later_date) AS n, covar_samp(p, b) OVER f AS cov, var_samp(b) OVER f AS vb, stddev_samp(p) OVER f AS sp, stddev_samp(b) OVER f AS sb, avg(p) OVER f AS mp, avg(b) OVER f AS mb, stddev_samp(p - b) OVER f AS ta FROM both_sides WINDOW f AS (PARTITION BY account ORDER BY later_date ROWS BETWEEN 7 PRECEDING AND CURRENT ROW))
+@_query(f"""{_ALIGNED}, w AS (SELECT account, later_date, row_number() OVER (PARTITION BY account ORDER BY later_date) AS n, covar_samp(p, b) OVER f AS cov, var_samp(b) OVER f AS vb, stddev_samp(p) OVER f AS sp, stddev_samp(b) OVER f AS sb, avg(p) OVER f AS mp, avg(b) OVER f AS mb, stddev_samp(p - b) OVER f AS ta
+FROM both_sides WINDOW f AS (PARTITION BY account ORDER BY later_date ROWS BETWEEN 7 PRECEDING AND CURRENT ROW))
 SELECT account AS "Account", later_date::TIMESTAMP AS "Timestamp", round(cov / vb, 5) AS "Beta", round(((mp - 0.0378 / 252) - cov / vb * (mb - 0.0378 / 252)) * 252, 5) AS "Alpha", round(cov / (sp * sb), 5) AS "Correlation", round(ta * sqrt(252), 5) AS "TrackingError" FROM w WHERE n >= 8""")
 def rolling_relative(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(B.rolling_relative(_both(spark, d)[2], window=8), 5)
@@ -483,7 +506,8 @@ def farm_states(spark: SparkSession, d: str) -> DataFrame:
     return diagnostics.farms(_errors(spark, d))
 
 
-@_query(f"WITH {_ERR} SELECT true AS connected, coalesce((SELECT arg_max(code = 1100, seq) FROM err WHERE code IN (1100, 1101, 1102)), false) AS connection_lost, (SELECT count(*) FROM tiered WHERE tier = 'GENUINE_ERROR')::BIGINT AS genuine, (SELECT count(DISTINCT regexp_extract(msg, '[:.](\\S+)$', 1)) FROM err WHERE msg LIKE '%farm connection%')::BIGINT AS farms")
+@_query(f"""WITH {_ERR} SELECT true AS connected, coalesce((SELECT arg_max(code = 1100, seq) FROM err WHERE code IN (1100, 1101, 1102)), false) AS connection_lost, (SELECT count(*) FROM tiered
+WHERE tier = 'GENUINE_ERROR')::BIGINT AS genuine, (SELECT count(DISTINCT regexp_extract(msg, '[:.](\\S+)$', 1)) FROM err WHERE msg LIKE '%farm connection%')::BIGINT AS farms""")
 def connection_health(spark: SparkSession, d: str) -> DataFrame:
     h = diagnostics.connection_health(_errors(spark, d))
     return h.select("connected", "connection_lost", F.size("genuine_errors").cast("long").alias("genuine"), F.size("farms").cast("long").alias("farms"))
@@ -494,7 +518,8 @@ def _ticks(spark: SparkSession, d: str) -> DataFrame:
     return _events(spark, d).select(F.col("user_id").alias("ContractId"), kind.alias("TickType"), F.when(F.col("_seq") % 6 != 0, F.col("DoubleValue")).alias("Price"), F.col("Timestamp").alias("ReceiveTime"), "Sym", "_seq")
 
 
-@_query(f"""WITH {_EV} SELECT user_id AS "ContractId", round(arg_max(v, seq) FILTER (k IN ('view', 'click') AND seq % 6 <> 0), 6) AS last, round(arg_max(v, seq) FILTER (k = 'purchase' AND seq % 6 <> 0), 6) AS bid, round(arg_max(v, seq) FILTER (k = 'error' AND seq % 6 <> 0), 6) AS ask, arg_max(ts, seq) AS timestamp FROM ev GROUP BY user_id""")
+@_query(f"""WITH {_EV} SELECT user_id AS "ContractId", round(arg_max(v, seq) FILTER (k IN ('view', 'click') AND seq % 6 <> 0), 6) AS last, round(arg_max(v, seq) FILTER (k = 'purchase' AND seq % 6 <> 0), 6) AS bid,
+round(arg_max(v, seq) FILTER (k = 'error' AND seq % 6 <> 0), 6) AS ask, arg_max(ts, seq) AS timestamp FROM ev GROUP BY user_id""")
 def quote_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(market.quote_snapshot(_ticks(spark, d)).select("ContractId", "last", "bid", "ask", "timestamp"))
 
@@ -512,7 +537,8 @@ def scoped_bars(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(market.bars_of_requests(bars, requests).select("Sym", "Timestamp", "Close"))
 
 
-@_query("""WITH k AS (SELECT p_partkey AS id, p_retailprice AS spot, unnest(range(0, 2200, 50)) AS strike FROM part), r AS (SELECT id, strike, row_number() OVER (PARTITION BY id ORDER BY abs(strike - spot), strike) AS rank FROM k WHERE spot > 0) SELECT id, strike::DOUBLE AS strike, rank::BIGINT AS rank FROM r WHERE rank <= 5""")
+@_query("""WITH k AS (SELECT p_partkey AS id, p_retailprice AS spot, unnest(range(0, 2200, 50)) AS strike FROM part), r AS (SELECT id, strike, row_number() OVER (PARTITION BY id ORDER BY abs(strike - spot), strike) AS rank FROM k
+WHERE spot > 0) SELECT id, strike::DOUBLE AS strike, rank::BIGINT AS rank FROM r WHERE rank <= 5""")
 def atm_strikes(spark: SparkSession, d: str) -> DataFrame:
     spots = _table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("spot"))
     ladder = spots.select("id", F.explode(F.sequence(F.lit(0), F.lit(2150), F.lit(50))).alias("strike")).select("id", F.col("strike").cast("double").alias("strike"))
@@ -526,3 +552,240 @@ def nearest_expiry(spark: SparkSession, d: str) -> DataFrame:
     today = F.col("o_orderdate").cast("date")
     chain = _table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), today.alias("today"), F.explode(F.array(*[F.date_add(today, n) for n in (7, 14, 21, 28, 35, 42, 60, 75)])).alias("day"))
     return market.nearest_expiry(chain, "id", "day", F.col("today"))
+
+
+# ---- statements: sections of text attributes, as a reader gives them, made from events ----
+
+
+def _section(rows: DataFrame, kind: str, **attributes: Column) -> DataFrame:
+    """A section of a statement with these attributes, the others absent, and _seq."""
+    named = {a: attributes.get(a, F.lit(None)).cast("string").alias(a) for a in S.ELEMENTS[kind][2].split()}
+    return rows.select(*named.values(), "_seq")
+
+
+def _with_repeats(rows: DataFrame, every: int) -> DataFrame:
+    """Some rows stand in the statement a second time, after all others."""
+    return rows.unionByName(rows.where(F.col("_seq") % every == 0).withColumn("_seq", F.col("_seq") + 1_000_000_000))
+
+
+def _stamp_text(q: Column) -> Column:
+    """A time in each of the formats that statements use, or none."""
+    t, n = "Timestamp", q % 5
+    iso = F.concat(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("-0400"))
+    return F.when(n == 0, F.date_format(t, "yyyyMMdd;HHmmss")).when(n == 1, F.date_format(t, "yyyyMMdd")).when(n == 2, iso).when(n == 3, F.date_format(t, "yyyy-MM-dd HH:mm:ss")).otherwise("")
+
+
+_STAMP = "CASE seq % 5 WHEN 0 THEN strftime(ts, '%Y%m%d;%H%M%S') WHEN 1 THEN strftime(ts, '%Y%m%d') WHEN 2 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '-0400' WHEN 3 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') ELSE '' END"
+_MOMENT = (
+    "CASE seq % 5 WHEN 1 THEN date_trunc('day', ts) + INTERVAL 5 HOUR WHEN 2 THEN date_trunc('second', ts) + INTERVAL 4 HOUR WHEN 4 THEN NULL ELSE date_trunc('second', ts) + INTERVAL 5 HOUR END"
+)
+
+
+def _trades(spark: SparkSession, d: str) -> DataFrame:
+    rows, q = _events(spark, d).where("Key IN ('purchase', 'error')"), F.col("_seq")
+    sold = F.col("Key") == "error"
+    count = F.when(sold, -1.0).otherwise(1.0) * (q % 3 + 1)
+    level = F.element_at(F.array(*map(F.lit, ("ORDER", " execution ", "", *["EXECUTION"] * 6))), (q % 9 + 1).cast("int"))
+    made = _section(
+        rows, "trades", accountId=F.col("Account"), symbol=F.when(q % 11 == 0, "").otherwise(F.col("Sym")), dateTime=_stamp_text(q), buySell=F.when(sold, "SELL").otherwise("BUY"),
+        quantity=F.when(q % 13 == 0, "n/a").otherwise(count.cast("string")), tradePrice=((q % 500) / 4.0).cast("string"), ibCommission=F.lit("-1.5"), currency=F.lit("USD"),
+        ibExecID=F.when(q % 4 == 0, "").otherwise(F.concat(F.lit("x"), F.call_function("div", q, F.lit(30)).cast("string"))), tradeID=F.when(q % 8 != 0, F.concat(F.lit("t"), q.cast("string"))),
+        multiplier=F.when(q % 6 == 0, "100").otherwise(""), levelOfDetail=level,
+    )
+    return _with_repeats(made, 16)
+
+
+_EXECUTIONS = f"""{_EV},
+tr0 AS (SELECT seq, account, CASE WHEN seq % 11 = 0 THEN '' ELSE sym END AS symbol, {_STAMP} AS stamp, {_MOMENT} AS t, CASE k WHEN 'error' THEN 'SELL' ELSE 'BUY' END AS side,
+CASE WHEN seq % 13 <> 0 THEN (CASE k WHEN 'error' THEN -1 ELSE 1 END * (seq % 3 + 1))::DOUBLE END AS q, (seq % 500) / 4.0::DOUBLE AS price, CASE WHEN seq % 4 <> 0 THEN 'x' || (seq // 30) END AS ib,
+CASE WHEN seq % 8 <> 0 THEN 't' || seq END AS tid, CASE WHEN seq % 6 = 0 THEN 100.0::DOUBLE ELSE 1.0::DOUBLE END AS mult FROM ev WHERE k IN ('purchase', 'error') AND seq % 9 <> 0),
+tr AS (SELECT * FROM tr0 UNION ALL SELECT * REPLACE (seq + 1000000000 AS seq) FROM tr0 WHERE seq % 16 = 0),
+ex AS (SELECT *, coalesce(ib, tid, 'synx-' || substr(sha1(account || '|' || symbol || '|' || stamp || '|' || coalesce(q::VARCHAR, '') || '|' || price::VARCHAR), 1, 16)) AS id,
+CASE WHEN t IS NULL THEN 'timestamp' WHEN symbol = '' OR q IS NULL THEN 'symbol, price or quantity' END AS dropped FROM (SELECT * REPLACE (nullif(stamp, '') AS stamp0) FROM (SELECT *, stamp AS stamp0 FROM tr))),
+ex1 AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS n FROM ex WHERE dropped IS NULL)"""
+
+
+@_query(f"""WITH {_EXECUTIONS} SELECT id AS "ExecId", t AS "Timestamp", account AS "Account", symbol AS "Sym", side AS "Side", abs(q) AS "Qty", price AS "Price", mult AS "Multiplier", -1.5::DOUBLE AS "Commission" FROM ex1 WHERE n = 1""")
+def statement_executions(spark: SparkSession, d: str) -> DataFrame:
+    rows = S.executions(_trades(spark, d)).where("dropped IS NULL")
+    return _rounded(S.first_of(rows, ["ExecId"])[0].select("ExecId", "Timestamp", "Account", "Sym", "Side", "Qty", "Price", "Multiplier", "Commission"))
+
+
+@_query(f"""WITH {_EXECUTIONS} SELECT id AS "ExecId", seq AS _seq, n = 1 AS kept FROM ex1""")
+def statement_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    first, again = S.first_of(S.executions(_trades(spark, d)).where("dropped IS NULL"), ["ExecId"])
+    return first.select("ExecId", "_seq", F.lit(True).alias("kept")).unionByName(again.select("ExecId", "_seq", F.lit(False).alias("kept")))
+
+
+def _transactions(spark: SparkSession, d: str) -> DataFrame:
+    rows, q = _events(spark, d).where("Key = 'signup'"), F.col("_seq")
+    made = _section(
+        rows, "cash", accountId=F.col("Account"), symbol=F.when(q % 3 == 0, "").otherwise(F.col("Sym")), type=F.when(q % 10 == 3, None).when(q % 4 == 0, "Dividends").otherwise("Deposits & Withdrawals"), dateTime=_stamp_text(q),
+        amount=F.when(q % 12 == 0, "").otherwise(((q % 1000) / 8.0 - 60).cast("string")), currency=F.when(q % 7 == 0, None).when(q % 2 == 0, "EUR").otherwise("USD"), fxRateToBase=F.when(q % 2 == 0, "1.25").otherwise(""),
+        transactionID=F.when(q % 5 == 0, "").otherwise(F.concat(F.lit("c"), F.call_function("div", q, F.lit(200)).cast("string"))),
+    )
+    return _with_repeats(made, 10)
+
+
+_SYN = "'syn-' || substr(sha1({account} || '|' || coalesce(strftime({t}, '%Y-%m-%dT%H:%M:%S') || '+00:00', '') || '|' || {type} || '|' || coalesce({sym}, '') || '|' || coalesce({amount}::VARCHAR, '') || '|' || coalesce({currency}, '')), 1, 16)"
+_CASH_ROWS = f"""ca0 AS (SELECT seq, account, CASE WHEN seq % 3 <> 0 THEN sym END AS sym, CASE WHEN seq % 10 = 3 THEN '' WHEN seq % 4 = 0 THEN 'Dividends' ELSE 'Deposits & Withdrawals' END AS type, {_MOMENT} AS t,
+CASE WHEN seq % 12 <> 0 THEN ((seq % 1000) / 8.0 - 60)::DOUBLE END AS amount, CASE WHEN seq % 7 = 0 THEN NULL WHEN seq % 2 = 0 THEN 'EUR' ELSE 'USD' END AS currency, CASE WHEN seq % 2 = 0 THEN 1.25::DOUBLE END AS fx,
+CASE WHEN seq % 5 <> 0 THEN 'c' || (seq // 200) END AS tid FROM ev WHERE k = 'signup'),
+ca AS (SELECT * FROM ca0 UNION ALL SELECT * REPLACE (seq + 1000000000 AS seq) FROM ca0 WHERE seq % 10 = 0),
+tn0 AS (SELECT seq, account, sym, date_trunc('day', ts) + INTERVAL 5 HOUR AS t, CASE WHEN seq % 4 >= 2 THEN -1 ELSE 1 END AS sign, CASE WHEN seq % 3 <> 0 THEN ((seq % 700) / 4.0)::DOUBLE END AS base, CASE WHEN seq % 2 = 0 THEN 1.25::DOUBLE END AS fx,
+CASE WHEN seq % 5 <> 0 THEN ((seq % 300) / 2.0)::DOUBLE END AS own, CASE WHEN seq % 7 <> 0 THEN 15.0::DOUBLE END AS by_price, CASE WHEN seq % 11 <> 0 THEN 9.5::DOUBLE END AS moved FROM ev WHERE k = 'click' AND seq % 10 < 6),
+tn AS (SELECT seq, account, sym, t, fx, sign * CASE WHEN base IS NOT NULL THEN CASE WHEN fx > 0 THEN base / fx ELSE coalesce(own, base) END ELSE coalesce(own, by_price, moved) END AS amount FROM tn0),
+tm AS (SELECT *, {_SYN.format(account="account", t="t", type="'Transfer'", sym="sym", amount="amount", currency="'EUR'")} AS id FROM tn),
+cx AS (SELECT seq, account, sym, type, t, amount, currency, fx, coalesce(tid, {_SYN.format(account="account", t="t", type="type", sym="sym", amount="amount", currency="currency")}) AS id FROM ca
+UNION ALL SELECT seq + (1::BIGINT << 60), account, sym, 'Transfer', t, amount, 'EUR', fx, id FROM tm),
+cx1 AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS n FROM cx WHERE amount IS NOT NULL AND t IS NOT NULL)"""
+
+
+def _moved(spark: SparkSession, d: str) -> DataFrame:
+    rows, q = _events(spark, d).where("Key = 'click' AND _seq % 10 < 6"), F.col("_seq")
+    return _section(
+        rows, "transfers", accountId=F.col("Account"), symbol=F.col("Sym"), date=F.date_format("Timestamp", "yyyyMMdd"), direction=F.element_at(F.array(F.lit("IN"), F.lit(None), F.lit("OUT"), F.lit(" out ")), (q % 4 + 1).cast("int")),
+        positionAmountInBase=F.when(q % 3 == 0, "").otherwise(((q % 700) / 4.0).cast("string")), fxRateToBase=F.when(q % 2 == 0, "1.25").otherwise(""), positionAmount=F.when(q % 5 == 0, "").otherwise(((q % 300) / 2.0).cast("string")),
+        quantity=F.lit("-3"), transferPrice=F.when(q % 7 == 0, "").otherwise("5"), cashTransfer=F.when(q % 11 == 0, "x").otherwise("9.5"), currency=F.lit("EUR"),
+    )
+
+
+def _money(df: DataFrame) -> DataFrame:
+    return _rounded(df.select("TxnId", "Account", "Timestamp", "Type", "Sym", "Amount", "Currency", "FxRateToBase"))
+
+
+@_query(f"""WITH {_EV}, {_CASH_ROWS} SELECT id AS "TxnId", account AS "Account", t AS "Timestamp", type AS "Type", sym AS "Sym", round(amount, 6) AS "Amount", currency AS "Currency", fx AS "FxRateToBase" FROM cx1 WHERE n = 1 AND seq < (1::BIGINT << 60)""")
+def statement_cash(spark: SparkSession, d: str) -> DataFrame:
+    return _money(S.first_of(S.cash(_transactions(spark, d)).where("dropped IS NULL"), ["TxnId"])[0])
+
+
+@_query(f"""WITH {_EV}, {_CASH_ROWS} SELECT id AS "TxnId", account AS "Account", t AS "Timestamp", 'Transfer' AS "Type", sym AS "Sym", round(amount, 6) AS "Amount", 'EUR' AS "Currency", fx AS "FxRateToBase", amount IS NULL AS unvalued FROM tm""")
+def statement_transfers(spark: SparkSession, d: str) -> DataFrame:
+    rows = S.transfers(_moved(spark, d))
+    return _rounded(rows.select("TxnId", "Account", "Timestamp", "Type", "Sym", "Amount", "Currency", "FxRateToBase", (F.col("dropped") == "amount").alias("unvalued")).na.fill(False, ["unvalued"]))
+
+
+def _summaries(spark: SparkSession, d: str) -> DataFrame:
+    daily = _events(spark, d).groupBy("Account", F.date_trunc("day", "Timestamp").alias("t")).agg(F.count("*").alias("n"), F.min("_seq").alias("_seq"))
+    n = F.col("n")
+    made = _section(daily, "nav", accountId=F.col("Account"), reportDate=F.date_format("t", "yyyyMMdd"), total=F.when(n % 7 == 0, "?").otherwise((n * 2.5).cast("string")), cash=F.when(n % 3 == 0, " ").otherwise(n.cast("string")), stock=(n * 1.5).cast("string"))
+    return _with_repeats(made, 3)
+
+
+_SUMMARIES = """na0 AS (SELECT min(seq) AS seq, account, date_trunc('day', ts) + INTERVAL 5 HOUR AS t, count(*)::DOUBLE AS c FROM ev GROUP BY ALL),
+na AS (SELECT * FROM na0 UNION ALL SELECT * REPLACE (seq + 1000000000 AS seq) FROM na0 WHERE seq % 3 = 0),
+na1 AS (SELECT *, row_number() OVER (PARTITION BY account, t ORDER BY seq) AS n FROM na WHERE c % 7 <> 0)"""
+
+
+@_query(f"""WITH {_EV}, {_SUMMARIES} SELECT account AS "Account", t AS "Timestamp", c * 2.5 AS "Total", CASE WHEN c % 3 <> 0 THEN c END AS "Cash", c * 1.5 AS "Stock" FROM na1 WHERE n = 1""")
+def statement_nav(spark: SparkSession, d: str) -> DataFrame:
+    rows = S.nav(_summaries(spark, d)).where("dropped IS NULL")
+    return _rounded(S.first_of(rows, ["Account", "Timestamp"])[0].select("Account", "Timestamp", "Total", "Cash", "Stock"))
+
+
+@_query(f"""WITH {_EXECUTIONS}, {_CASH_ROWS}, {_SUMMARIES},
+said AS (SELECT 'execution' AS "table", 'dropped: ' || dropped AS outcome FROM ex WHERE dropped IS NOT NULL
+UNION ALL SELECT 'execution', CASE WHEN n = 1 THEN 'kept' WHEN id LIKE 'synx-%' THEN 'repeated synthetic' ELSE 'repeated' END FROM ex1
+UNION ALL SELECT 'cash', CASE WHEN amount IS NULL THEN 'dropped: amount' ELSE 'dropped: timestamp' END FROM cx WHERE amount IS NULL OR t IS NULL
+UNION ALL SELECT 'cash', CASE WHEN n = 1 THEN 'kept' WHEN id LIKE 'syn-%' THEN 'repeated synthetic' ELSE 'repeated' END FROM cx1
+UNION ALL SELECT 'nav', 'dropped: total' FROM na WHERE c % 7 = 0
+UNION ALL SELECT 'nav', CASE WHEN n = 1 THEN 'kept' ELSE 'repeated' END FROM na1)
+SELECT "table", outcome, count(*)::BIGINT AS rows FROM said GROUP BY ALL""")
+def statement_report(spark: SparkSession, d: str) -> DataFrame:
+    given = {"trades": _trades(spark, d), "cash": _transactions(spark, d), "transfers": _moved(spark, d), "nav": _summaries(spark, d)}
+    none = _events(spark, d).where("false")
+    return S.canonicalize({kind: given[kind] if kind in given else _section(none, kind) for kind in S.ELEMENTS}).report
+
+
+@_query(f"WITH {_EV} SELECT seq AS _seq, {_STAMP} AS text, {_MOMENT} AS moment FROM ev")
+def datetime_formats(spark: SparkSession, d: str) -> DataFrame:
+    texts = _events(spark, d).select("_seq", _stamp_text(F.col("_seq")).alias("text"))
+    return _rounded(texts.withColumn("moment", moment(F.col("text"))))
+
+
+@_query(f"WITH {_EV} SELECT seq AS _seq, 'syn-' || substr(sha1(account || '|' || CASE WHEN seq % 3 <> 0 THEN sym ELSE '' END || '|' || ((seq % 500) / 4.0)::DOUBLE::VARCHAR), 1, 16) AS id FROM ev")
+def synthetic_ids(spark: SparkSession, d: str) -> DataFrame:
+    from .functions.stamps import decimal_text
+
+    q = F.col("_seq")
+    return _events(spark, d).select("_seq", fingerprint("syn-", F.col("Account"), F.when(q % 3 != 0, F.col("Sym")), decimal_text((q % 500) / 4.0)).alias("id"))
+
+
+# ---- snapshots of accounts, P&L, option parameters, greeks, severities ----
+
+
+def _overview(spark: SparkSession, d: str, keys: dict[str, str]) -> DataFrame:
+    """Account values: each kind of event reports one key; accounts A0 and A1 never report in USD."""
+    e, q = _events(spark, d), F.col("_seq")
+    key = F.create_map(*[F.lit(x) for pair in keys.items() for x in pair])[F.col("Key")]
+    foreign = F.when(q % 2 == 0, "EUR").otherwise("CHF")
+    currency = F.when(F.col("Account").isin("A0", "A1"), foreign).when(q % 3 == 0, "USD").when(q % 3 == 1, "EUR").otherwise("BASE")
+    return e.select("Account", key.alias("Key"), currency.alias("Currency"), ((q % 1000) / 8.0).cast("string").alias("Value"), F.when(q % 6 != 0, F.col("DoubleValue")).alias("DoubleValue"), F.col("Timestamp").alias("ReceiveTime"), "_seq")
+
+
+_OVERVIEW = f"""{_EV}, ov AS (SELECT seq, ts, account, k, CASE WHEN account IN ('A0', 'A1') THEN CASE WHEN seq % 2 = 0 THEN 'EUR' ELSE 'CHF' END WHEN seq % 3 = 0 THEN 'USD' WHEN seq % 3 = 1 THEN 'EUR' ELSE 'BASE' END AS currency,
+(seq % 1000) / 8.0::DOUBLE AS text_value, CASE WHEN seq % 6 <> 0 THEN v END AS v FROM ev)"""
+_FIGURES = {"view": "NetLiquidation", "click": "BuyingPower", "purchase": "MaintMarginReq", "error": "GrossPositionValue", "signup": "TotalCashValue"}
+
+
+@_query(f"""WITH {_OVERVIEW} SELECT account AS "Account", arg_max(ts, seq) FILTER (k = 'view') AS "Timestamp", round(arg_max_null(v, seq) FILTER (k = 'view'), 6) AS "NetLiquidation", round(arg_max_null(v, seq) FILTER (k = 'click'), 6) AS "BuyingPower",
+round(arg_max_null(v, seq) FILTER (k = 'purchase'), 6) AS "MaintMargin", round(arg_max_null(v, seq) FILTER (k = 'error'), 6) AS "GrossPositionValue", arg_max(currency, seq) FILTER (k = 'view') AS "Currency", round(arg_max_null(v, seq) FILTER (k = 'signup'), 6) AS "TotalCashValue"
+FROM ov GROUP BY account HAVING bool_or(k = 'view')""")
+def account(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(views.account(_overview(spark, d, _FIGURES)))
+
+
+@_query(f"""WITH {_OVERVIEW} SELECT account AS "Account", currency AS "Currency", round(arg_max_null(v, seq) FILTER (k = 'view'), 6) AS "CashBalance", round(arg_max_null(v, seq) FILTER (k = 'click'), 6) AS "NetLiquidation", round(arg_max_null(v, seq) FILTER (k = 'error'), 6) AS "ExchangeRate"
+FROM ov GROUP BY account, currency HAVING bool_or(k = 'view')""")
+def cash_balance(spark: SparkSession, d: str) -> DataFrame:
+    keys = {"view": "$LEDGER-CashBalance", "click": "$LEDGER-NetLiquidationByCurrency", "error": "$LEDGER-ExchangeRate", "signup": "other"}
+    return _rounded(views.cash_balance(_overview(spark, d, keys)))
+
+
+@_query(f"""WITH {_OVERVIEW}, r AS (SELECT *, coalesce(v, text_value) AS x FROM ov), best AS (SELECT account, CASE WHEN bool_or(currency = 'USD') THEN 'USD' ELSE arg_min(currency, seq) END AS currency FROM r GROUP BY account)
+SELECT account AS "Account", round(arg_max(x, seq) FILTER (k = 'view'), 6) AS "NetLiquidation", round(arg_max(x, seq) FILTER (k = 'click'), 6) AS "BuyingPower", round(arg_max(x, seq) FILTER (k = 'purchase'), 6) AS "MaintMargin",
+round(arg_max(x, seq) FILTER (k = 'error'), 6) AS "GrossPositionValue", currency AS "Currency", arg_max(ts, seq) FILTER (k = 'view') AS "Timestamp" FROM r JOIN best USING (account, currency) GROUP BY account, currency HAVING bool_or(k = 'view')""")
+def account_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(views.account_snapshot(_overview(spark, d, _FIGURES)))
+
+
+@_query(f"""WITH {_EV}, p AS (SELECT seq, account, CASE WHEN seq % 9 = 0 THEN NULL ELSE user_id END AS con, CASE WHEN seq % 5 <> 0 THEN v END AS v FROM ev WHERE k = 'error'), s AS (SELECT DISTINCT user_id AS con, sym FROM ev WHERE user_id % 3 <> 0)
+SELECT account AS "Account", con AS "ConId", sym AS "Sym", round(v, 6) AS "DailyPnl", round(-v, 6) AS "UnrealizedPnl" FROM p LEFT JOIN s USING (con)""")
+def pnl_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """P&L rows as they come: identities as text, some not numbers, unset figures as the vendor marks them."""
+    e, q = _events(spark, d), F.col("_seq")
+    daily = F.when(q % 5 == 0, F.lit(views.UNSET)).otherwise(F.col("DoubleValue"))
+    pnl = e.where("Key = 'error'").select("Account", F.when(q % 9 == 0, "x").otherwise(F.col("user_id").cast("string")).alias("ConId"), daily.alias("DailyPnL"), (-daily).alias("UnrealizedPnL"), "_seq")
+    symbols = e.where("user_id % 3 <> 0").select(F.col("user_id").alias("ConId"), "Sym").distinct()
+    return _rounded(views.pnl_snapshot(pnl, symbols).select("Account", "ConId", "Sym", "DailyPnl", "UnrealizedPnl"))
+
+
+@_query("""SELECT o_orderkey AS "RequestId", array_to_string(list_sort([o_orderdate::DATE + 30, date_trunc('month', o_orderdate)::DATE]), ',') AS expirations,
+array_to_string(CASE WHEN o_orderkey % 2 = 0 THEN [2.5::DOUBLE, (o_orderkey % 90 + 3)::DOUBLE] ELSE [(o_orderkey % 90 + 3)::DOUBLE] END, ',') AS strikes FROM orders""")
+def chain_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Comma-separated dates, of days and of months, and strikes, with some that are neither."""
+    day, k = F.col("o_orderdate").cast("date"), F.col("o_orderkey")
+    dates = F.concat_ws(",", F.date_format(F.date_add(day, 30), "yyyyMMdd"), F.lit(" soon"), F.date_format(day, " yyyyMM"))
+    strikes = F.concat_ws(", ", (k % 90 + 3).cast("string"), F.when(k % 2 == 0, "2.5").otherwise("n/a"))
+    params = _table(spark, d, "orders").select(k.alias("RequestId"), F.lit("SMART").alias("Exchange"), F.lit("TC").alias("TradingClass"), F.lit("100").alias("Multiplier"), dates.alias("Expirations"), strikes.alias("Strikes"))
+    return market.option_chain(params).select("RequestId", F.array_join(F.col("Expirations").cast("array<string>"), ",").alias("expirations"), F.array_join(F.col("Strikes").cast("array<string>"), ",").alias("strikes"))
+
+
+@_query(f"""WITH {_EV} SELECT user_id AS "ContractId", max(seq) AS _seq, round(arg_max_null(CASE WHEN seq % 6 <> 0 THEN v END, seq), 6) AS "Delta", round(arg_max(v / 7, seq), 6) AS "Gamma" FROM ev WHERE k = 'view' GROUP BY user_id""")
+def greeks(spark: SparkSession, d: str) -> DataFrame:
+    rows = _events(spark, d).where("Key = 'view'").select(F.col("user_id").alias("ContractId"), "_seq", F.when(F.col("_seq") % 6 != 0, F.col("DoubleValue")).alias("Delta"), (F.col("DoubleValue") / 7).alias("Gamma"))
+    return _rounded(market.latest_greeks(rows))
+
+
+@_query(f"""WITH {_ERR} SELECT seq AS _seq, code::BIGINT AS "Code", msg AS "Message", CASE tier WHEN 'MARKET_DATA_WARNING' THEN 'INFORMATIONAL' ELSE tier END AS "Severity" FROM tiered""")
+def errors_severity(spark: SparkSession, d: str) -> DataFrame:
+    raw = _errors(spark, d).withColumn("ReceiveTime", F.lit("2024-01-01").cast("timestamp"))
+    return views.apply_view(views.VIEWS["errors"], {"errors": raw}).select("_seq", "Code", "Message", "Severity")
+
+
+@_query(f"""WITH {_EV}, r AS (SELECT DISTINCT user_id AS con FROM ev UNION SELECT NULL UNION SELECT -1), p AS (SELECT user_id AS con, round(arg_max(v, seq) FILTER (k IN ('view', 'click') AND seq % 6 <> 0), 6) AS last FROM ev GROUP BY user_id)
+SELECT r.con AS "ContractId", last, CASE WHEN r.con IS NULL THEN 'symbol_not_found' WHEN p.con IS NULL THEN 'quote_timeout' END AS error FROM r LEFT JOIN p USING (con)""")
+def quotes_of_requests(spark: SparkSession, d: str) -> DataFrame:
+    ticks = _ticks(spark, d)
+    asked = ticks.select("ContractId").distinct().unionByName(spark.createDataFrame([(None,), (-1,)], "ContractId long")).withColumn("Symbol", F.lit("?"))
+    return _rounded(market.quotes_of(asked, ticks).select("ContractId", "last", "error"))

@@ -7,8 +7,9 @@ and counted, never filled in.
 
 from __future__ import annotations
 
+import logging
 import xml.etree.ElementTree as ET
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -22,6 +23,7 @@ from ..operators.core import SEQ
 from ..types import CATALOG
 
 NOT_READY = "1019"
+logger = logging.getLogger(__name__)
 
 #: Where each kind of row lies in a statement, and its attributes.
 ELEMENTS: dict[str, tuple[str, str, str]] = {
@@ -34,6 +36,18 @@ ELEMENTS: dict[str, tuple[str, str, str]] = {
     "nav": ("", "EquitySummaryByReportDateInBase", "accountId reportDate total cash stock"),
 }
 
+#: The section that each kind's rows stand in.
+_SECTION = {"nav": "EquitySummaryInBase", "fifo": "FIFOPerformanceSummaryInBase"} | {kind: parent for kind, (parent, _, _) in ELEMENTS.items() if parent or kind == "nav_changes"}
+
+#: Kinds whose rows may stand in a statement without their section.
+_BESIDE = ("nav", "fifo")
+
+#: Attributes that are numbers.
+NUMERIC = {
+    "trades": "quantity tradePrice ibCommission fifoPnlRealized multiplier", "cash": "amount fxRateToBase", "transfers": "quantity transferPrice positionAmount positionAmountInBase cashTransfer fxRateToBase",
+    "corporate_actions": "quantity", "nav_changes": "startingValue endingValue mtm realized dividends depositsWithdrawals", "fifo": "realizedTotal unrealizedTotal totalFifoPnl", "nav": "total cash stock",
+}
+
 _CONTAINERS = {parent for parent, _, _ in ELEMENTS.values()} | {"EquitySummaryInBase", "FIFOPerformanceSummaryInBase", "ChangeInNAV"}
 
 
@@ -109,16 +123,59 @@ def frames(spark: SparkSession, reply: Reply) -> dict[str, DataFrame]:
     return {kind: spark.createDataFrame([(*[r.get(a) for a in ELEMENTS[kind][2].split()], i) for i, r in enumerate(reply.rows.get(kind, []))], _schema(kind)) for kind in ELEMENTS}
 
 
+def _folder_schema() -> T.StructType:
+    """A statement with its sections as arrays, since a section may come several times; rows stand in their sections, or, where these are optional, beside them."""
+    fields: dict[str, list[T.StructField]] = {}
+    for kind, (_, tag, attributes) in ELEMENTS.items():
+        rows = T.StructField(tag, T.ArrayType(T.StructType([T.StructField("_" + a, T.StringType()) for a in attributes.split()])))
+        fields.setdefault(_SECTION[kind], []).append(rows)
+        if kind in _BESIDE:
+            fields.setdefault("", []).append(rows)
+    sections = [T.StructField(name, T.ArrayType(T.StructType(rows))) for name, rows in fields.items() if name]
+    return T.StructType([*sections, *fields.get("", [])])
+
+
 def read_folder(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The rows of all statements under a path, read in parallel with declared text schemas. Documents come in the order of their names."""
+    """The rows of all statements under a path, in one parallel scan with a declared schema: files in the order of their names, a file's rows as they stand in it.
+
+    The parsed statements are kept in memory or on disk, so that all kinds of rows come from the one scan; spark.catalog.clearCache() lets go of them. Of
+    ChangeInNAV the first in each statement counts, as in parse(). Files that hold no statement have no rows; folder_replies() tells why.
+    """
+    raw = spark.read.format("xml").option("rowTag", "FlexStatement").option("attributePrefix", "_").schema(_folder_schema()).load(path)
+    raw = raw.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    found = {}
+    for kind, (_, tag, _) in ELEMENTS.items():
+        none = F.array().cast(_kind_array(kind))
+        within = [F.coalesce(F.flatten(F.transform(_SECTION[kind], _field_or(tag, none))), none)] if _SECTION[kind] else []
+        beside = [F.coalesce(F.col(tag), none)] if kind in _BESIDE or not _SECTION[kind] else []
+        found[kind] = F.concat(*within, *beside)
+    raw = raw.select("file", "block", "id", *[(F.slice(rows, 1, 1) if kind == "nav_changes" else rows).alias(kind) for kind, rows in found.items()])
+    before = Window.partitionBy("file").orderBy("block", "id").rowsBetween(Window.unboundedPreceding, -1)
+    held = raw.select("file", *ELEMENTS, *[F.coalesce(F.sum(F.size(kind)).over(before), F.lit(0)).alias(f"{kind}_before") for kind in ELEMENTS]).persist()
+    names = spark.createDataFrame([(r["file"], k << 34) for k, r in enumerate(held.select("file").distinct().orderBy("file").collect())], "file string, first long")
     out = {}
-    for kind, (_, tag, attributes) in ELEMENTS.items():
-        names = attributes.split()
-        raw = spark.read.format("xml").option("rowTag", tag).option("attributePrefix", "_").schema(T.StructType([T.StructField("_" + a, T.StringType()) for a in names])).load(path)
-        out[kind] = raw.select(*[F.col("_" + a).alias(a) for a in names], F.monotonically_increasing_id().alias(SEQ))
+    for kind, (_, _, attributes) in ELEMENTS.items():
+        rows = held.select("file", f"{kind}_before", F.posexplode(kind).alias("at", "row")).join(names, "file")
+        out[kind] = rows.select(*[F.col(f"row._{a}").alias(a) for a in attributes.split()], (F.col("first") + F.col(f"{kind}_before") + F.col("at")).alias(SEQ))
     return out
 
 
+def _field_or(name: str, other: Column) -> Callable[[Column], Column]:
+    return lambda x: F.coalesce(x[name], other)
+
+
+def _kind_array(kind: str) -> T.ArrayType:
+    return T.ArrayType(T.StructType([T.StructField("_" + a, T.StringType()) for a in ELEMENTS[kind][2].split()]))
+
+
+def folder_replies(spark: SparkSession, path: str) -> DataFrame:
+    """(file, status, code, message) of every file under a path: ok where it holds a statement, in_progress or fail for a service's refusals, else error."""
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    refused, code = F.col("value").rlike(r"<FlexStatementResponse[\s>]"), F.trim(F.regexp_extract("value", r"<ErrorCode>([^<]*)</ErrorCode>", 1))
+    status = F.when(refused, F.when(code == NOT_READY, "in_progress").otherwise("fail")).when(F.col("value").rlike(r"<FlexStatement[\s/>]"), "ok").otherwise("error")
+    return raw.select("file", status.alias("status"), F.when(refused, code).otherwise("").alias("code"), F.when(refused, F.trim(F.regexp_extract("value", r"<ErrorMessage>([^<]*)</ErrorMessage>", 1))).otherwise("").alias("message"))
+
+
 def _text(name: str) -> Column:
     return F.nullif(F.col(name), F.lit(""))
 
@@ -131,8 +188,10 @@ def executions(trades: DataFrame) -> DataFrame:
     qty, price, sym = number(F.col("quantity")), number(F.col("tradePrice")), _text("symbol")
     made = fingerprint("synx-", F.col("accountId"), F.col("symbol"), stamp, decimal_text(qty), decimal_text(price))
     found = rows.select(
-        F.coalesce(_text("ibExecID"), _text("tradeID"), made).alias("ExecId"), moment(stamp).alias("Timestamp"), _text("accountId").alias("Account"), digits(F.col("conid")).alias("ConId"), digits(F.coalesce(_text("ibOrderID"), _text("orderID"))).alias("OrderId"), F.col("orderReference").alias("OrderRef"),
-        sym.alias("Sym"), _text("assetCategory").alias("SecType"), F.coalesce("buySell", F.lit("")).alias("Side"), F.abs(qty).alias("Qty"), price.alias("Price"), F.coalesce(number(F.col("multiplier")), F.lit(1.0)).alias("Multiplier"), _text("exchange").alias("Venue"), F.lit(None).cast("string").alias("Liquidity"),
+        F.coalesce(_text("ibExecID"), _text("tradeID"), made).alias("ExecId"), moment(stamp).alias("Timestamp"), _text("accountId").alias("Account"), digits(F.col("conid")).alias("ConId"),
+            digits(F.coalesce(_text("ibOrderID"), _text("orderID"))).alias("OrderId"), F.col("orderReference").alias("OrderRef"),
+        sym.alias("Sym"), _text("assetCategory").alias("SecType"), F.coalesce("buySell", F.lit("")).alias("Side"), F.abs(qty).alias("Qty"), price.alias("Price"),
+            F.coalesce(number(F.col("multiplier")), F.lit(1.0)).alias("Multiplier"), _text("exchange").alias("Venue"), F.lit(None).cast("string").alias("Liquidity"),
         F.col("currency").alias("Currency"), F.col("openCloseIndicator").alias("OpenClose"), number(F.col("ibCommission")).alias("Commission"), number(F.col("fifoPnlRealized")).alias("RealizedPnl"), SEQ,
     )
     return found.withColumn("dropped", F.when(F.col("Timestamp").isNull(), "timestamp").when(F.col("Sym").isNull() | F.col("Price").isNull() | F.col("Qty").isNull(), "symbol, price or quantity"))
@@ -145,7 +204,8 @@ def _cash_id() -> Column:
 
 def cash(transactions: DataFrame) -> DataFrame:
     """Canonical cash movements with _seq and `dropped`; amounts and currencies stay local."""
-    rows = transactions.select(_text("transactionID").alias("TxnId"), _text("accountId").alias("Account"), moment(F.col("dateTime")).alias("Timestamp"), F.coalesce("type", F.lit("")).alias("Type"), _text("symbol").alias("Sym"), number(F.col("amount")).alias("Amount"), F.col("currency").alias("Currency"), number(F.col("fxRateToBase")).alias("FxRateToBase"), SEQ)
+    rows = transactions.select(_text("transactionID").alias("TxnId"), _text("accountId").alias("Account"), moment(F.col("dateTime")).alias("Timestamp"), F.coalesce("type", F.lit("")).alias("Type"),
+        _text("symbol").alias("Sym"), number(F.col("amount")).alias("Amount"), F.col("currency").alias("Currency"), number(F.col("fxRateToBase")).alias("FxRateToBase"), SEQ)
     return rows.withColumn("TxnId", F.coalesce("TxnId", _cash_id())).withColumn("dropped", F.when(F.col("Amount").isNull(), "amount").when(F.col("Timestamp").isNull(), "timestamp"))
 
 
@@ -231,9 +291,38 @@ def source_text(source: str | Path) -> str:
     return source if isinstance(source, str) and source.lstrip().startswith("<") else Path(source).read_bytes().decode()
 
 
+def unreadable(sections: Mapping[str, DataFrame]) -> DataFrame:
+    """(kind, attribute, rows, example): numbers that are there but can't be read, and so count as absent."""
+    parts = []
+    for kind, names in NUMERIC.items():
+        for name in names.split():
+            bad = sections[kind].where((F.trim(name) != "") & number(F.col(name)).isNull())
+            parts.append(bad.agg(F.count("*").alias("rows"), F.min(name).alias("example")).select(F.lit(kind).alias("kind"), F.lit(name).alias("attribute"), "rows", "example"))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out.where("rows > 0")
+
+
 def load(spark: SparkSession, source: str | Path) -> Statement:
-    """The canonical tables of one statement, given as XML or as a path; StatementError if it can't be read."""
-    return canonicalize(frames(spark, parse_or_raise(source_text(source))))
+    """The canonical tables of one statement, given as XML or as a path; StatementError if it can't be read. Numbers that can't be read and sections that aren't are warned of."""
+    reply = parse_or_raise(source_text(source))
+    for kind, names in NUMERIC.items():
+        for name in names.split():
+            bad = [r[name] for r in reply.rows.get(kind, []) if r.get(name, "").strip() and not _is_number(r[name])]
+            if bad:
+                logger.warning("%d values of %s in %s are no numbers and count as absent, the first is %r", len(bad), name, kind, bad[0])
+    if reply.unparsed:
+        logger.warning("sections that are not read: %s", ", ".join(reply.unparsed))
+    return canonicalize(frames(spark, reply))
+
+
+def _is_number(text: str) -> bool:
+    try:
+        float(text)
+    except ValueError:
+        return False
+    return True
 
 
 def load_port(spark: SparkSession, source: str | Path):

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import logging
+from collections.abc import Callable, Mapping, Sequence
 from typing import TYPE_CHECKING
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..operators.core import SEQ
-from ..types import column
+from ..operators.core import SEQ, last_by
 
 if TYPE_CHECKING:
     from ..plans.port import Result, Stream
 
+logger = logging.getLogger(__name__)
+
 
 def subscribe(result: Result, callback: Callable[[pa.Table], None], *, checkpoint: str | None = None, mode: str = "append") -> Stream:
     """Calls back with each batch of added rows, from the query's own thread; batches without rows are not delivered.
@@ -58,9 +59,7 @@ def watch(result: Result, callback: Callable[[pa.Table], None], *, once: bool =
 
 def live_last_by(df: DataFrame, keys: Sequence[str], seq: str = SEQ) -> DataFrame:
     """The last row of each key of a stream, for output modes update and complete. Its state is one row a key, which grows with the keys alone."""
-    rest = [c for c in df.columns if c not in keys]
-    latest = df.groupBy(*map(column, keys)).agg(F.max_by(F.struct(*map(column, rest)), column(seq)).alias("__last"))
-    return latest.select(*[column(c) if c in keys else F.col("__last").getField(c).alias(c) for c in df.columns])
+    return last_by(df, keys, seq)
 
 
 def asof_against(stream: DataFrame, right: Callable[[], DataFrame], on: Sequence[str], bring: Sequence[str], sink: Callable[[DataFrame, int], None]) -> object:
@@ -71,7 +70,38 @@ def asof_against(stream: DataFrame, right: Callable[[], DataFrame], on: Sequence
 
 
 def snapshot_or_empty(query: object, read: Callable[[], DataFrame], schema: object) -> DataFrame:
-    """What read() gives, or, where the query that feeds it has failed, an empty table."""
+    """What read() gives, or, where the query that feeds it has failed, an empty table, of which a warning tells. Callers that ask again and again see no rows, not errors."""
     from pyspark.sql import SparkSession
 
-    return SparkSession.active().createDataFrame([], schema) if query.exception() is not None else read()
+    if (failure := query.exception()) is None:
+        return read()
+    logger.warning("the source has failed, so it has no rows: %s", str(failure).split("\n", 1)[0])
+    return SparkSession.active().createDataFrame([], schema)
+
+
+def live_pivot(df: DataFrame, by: Sequence[str], key: str, value: str, wanted: Mapping[str, str], driver: str, carry: Mapping[str, str] | None = None, seq: str = SEQ) -> DataFrame:
+    """pivot_latest() of a stream, for output modes update and complete; its state is one row for each `by`."""
+    from ..operators.core import pivot_latest
+
+    return pivot_latest(df, by, key, value, wanted, driver, carry, seq)
+
+
+def live_account(overview: DataFrame, only: str | None = None) -> DataFrame:
+    """The account table of a stream of account values, a row for each account that has reported NetLiquidation."""
+    from ..plans.views import account
+
+    return account(overview, only)
+
+
+def live_cash_balance(overview: DataFrame, only: str | None = None) -> DataFrame:
+    """The cash balances of a stream of account values."""
+    from ..plans.views import cash_balance
+
+    return cash_balance(overview, only)
+
+
+def live_position(positions: DataFrame) -> DataFrame:
+    """The positions of a stream of position rows, the last of each account and contract."""
+    from ..plans.views import VIEWS, apply_view
+
+    return apply_view(VIEWS["position"], {VIEWS["position"].source: positions})

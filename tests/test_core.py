@@ -1,6 +1,7 @@
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tallyspark.errors import SchemaMismatch
 from tallyspark.operators import core
@@ -61,8 +62,42 @@ def test_asof_against_a_loop(spark, left, right):
         want.append((k, t, i, max(fit)[1] if fit else None))
     lf, rf = spark.createDataFrame(ls, "k string, t long, n int"), spark.createDataFrame([(*r, r[2]) for r in rs], "k string, t long, v int, _seq long")
     assert rows(core.asof_join(lf, rf, ["k", "t"], ["v"])) == sorted(want, key=repr)
+    assert rows(core.asof_join(lf, rf, ["k", "t"], ["v"], bucket=2)) == sorted(want, key=repr)
+
+
+def test_asof_of_one_hot_key_in_stretches(spark):
+    left = spark.range(500).selectExpr("'hot' AS k", "timestamp_seconds(id * 37 % 1000) AS t", "id AS n").unionByName(spark.createDataFrame([(None, None, -1), ("hot", None, -2)], "k string, t timestamp, n long"))
+    right = spark.range(60).selectExpr("'hot' AS k", "timestamp_seconds(id * 311 % 900 + 50) AS t", "CASE WHEN id % 5 > 0 THEN id END AS v", "id AS _seq")
+    whole = core.asof_join(left, right, ["k", "t"], ["v"])
+    parted = core.asof_join(left, right, ["k", "t"], ["v"], bucket=20)
+    assert rows(parted) == rows(whole) and parted.where("v IS NOT NULL").count() > 300
+    assert rows(core.asof_join(left, right, ["t"], ["v"], bucket=20)) == rows(core.asof_join(left, right, ["t"], ["v"]))
 
 
 def test_pivot_is_driven_by_one_key(spark):
     df = spark.createDataFrame([("A", "x", 1.0, 1), ("A", "x", None, 3), ("A", "y", 2.0, 2), ("B", "y", 9.0, 4), ("C", "x", 4.0, 5)], "acct string, key string, v double, _seq long")
     assert rows(core.pivot_latest(df, ["acct"], "key", "v", {"x": "X", "y": "Y"}, "x")) == [("A", None, 2.0), ("C", 4.0, None)]
+
+
+def test_files_without_numbers_have_no_order(spark, tmp_path):
+    spark.range(10).repartition(3).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    with pytest.raises(ValueError):
+        core.arrival(df)
+    assert core.arrival(df.selectExpr("id", "id AS _seq")).columns == ["id", "_seq"]
+    spark.range(10).coalesce(1).write.parquet(f"{tmp_path}/one")
+    assert core.arrival(spark.read.parquet(f"{tmp_path}/one")).count() == 10
+
+
+def test_fixed_width_rows_are_picked_without_a_sort(spark):
+    rows = [(k % 7, k, float(k) if k % 5 else None, k % 2 == 0) for k in range(100)]
+    df = spark.createDataFrame(rows, "key long, _seq long, x double, b boolean")
+    for pick, best in ((core.last_by, max), (core.first_by, min)):
+        out = pick(df, ["key"])
+        want = {k: best((r for r in rows if r[0] == k), key=lambda r: r[1]) for k in range(7)}
+        assert {r["key"]: tuple(r) for r in out.collect()} == want and out.columns == df.columns
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and "HashAggregate" in plan
+    assert core.last_by(df.select("key"), ["key"], "key").count() == 7
+    mixed = core.last_by(df.withColumn("s", F.col("x").cast("string")), ["key"])
+    assert {r["key"]: r["s"] for r in mixed.collect()}[1] == "99.0"

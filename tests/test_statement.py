@@ -155,3 +155,47 @@ def test_folder_of_statements(spark, tmp_path):
     (tmp_path / "b.xml").write_text(envelope(nav_rows(NAVS)))
     s = S.canonicalize(S.read_folder(spark, str(tmp_path)))
     assert s.tables["execution"].count() == 3 and s.tables["nav"].count() == 6
+
+
+def trade(exec_id, price, **more):
+    return f'<Trade accountId="U1" symbol="A" dateTime="20260602" quantity="1" tradePrice="{price}" ibExecID="{exec_id}" ' + " ".join(f'{k}="{v}"' for k, v in more.items()) + "/>"
+
+
+def test_files_of_a_folder_count_in_the_order_of_their_names(spark, tmp_path):
+    """A larger file is read first by Spark, and still the file first by name wins; within a file the first row does."""
+    change = '<ChangeInNAV accountId="U1" startingValue="{}"/>'
+    (tmp_path / "a.xml").write_text(envelope(f"<Trades>{trade('x', 1.0)}</Trades><Trades>{trade('y', 5.0)}</Trades>{change.format(1)}{change.format(2)}", change.format(3)))
+    (tmp_path / "b.xml").write_text(envelope(f"<Trades>{trade('x', 2.0)}{trade('z', 3.0)}{trade('z', 4.0)}</Trades>" + "<!-- long -->" * 5000, f"<Trades>{trade('y', 6.0)}</Trades><EquitySummaryInBase>{nav_rows(NAVS)}</EquitySummaryInBase>"))
+    (tmp_path / "c.xml").write_text("<FlexStatementResponse><Status>Fail</Status><ErrorCode> 1019 </ErrorCode><ErrorMessage>later</ErrorMessage></FlexStatementResponse>")
+    (tmp_path / "d.xml").write_text("<FlexStatementResponse><ErrorCode>1012</ErrorCode></FlexStatementResponse>")
+    (tmp_path / "e.xml").write_text("<FlexQueryResponse/>")
+    sections = S.read_folder(spark, str(tmp_path))
+    s = S.canonicalize(sections)
+    assert {r["ExecId"]: r["Price"] for r in s.tables["execution"].collect()} == {"x": 1.0, "y": 5.0, "z": 3.0}
+    assert s.tables["nav"].count() == 6 and sorted(r["startingValue"] for r in s.nav_changes.collect()) == [1.0, 3.0]
+    order = [r["ibExecID"] for r in sections["trades"].orderBy("_seq").collect()]
+    assert order == ["x", "y", "x", "z", "z", "y"] and sections["trades"].select("_seq").distinct().count() == 6
+    together = S.parse(envelope(f"<Trades>{trade('x', 1.0)}</Trades>")).rows
+    assert together["trades"][0]["ibExecID"] == "x"
+    replies = {r["file"].rsplit("/", 1)[1]: (r["status"], r["code"], r["message"]) for r in S.folder_replies(spark, str(tmp_path)).collect()}
+    assert replies == {"a.xml": ("ok", "", ""), "b.xml": ("ok", "", ""), "c.xml": ("in_progress", "1019", "later"), "d.xml": ("fail", "1012", ""), "e.xml": ("error", "", "")}
+
+
+def test_numbers_that_cannot_be_read_are_warned_of(spark, caplog):
+    text = envelope(f"<Trades>{trade('x', 'many')}{trade('y', 2)}</Trades><Odd><Row/></Odd>")
+    s = S.load(spark, text)
+    assert s.tables["execution"].count() == 1 and "'many'" in caplog.text and "Odd" in caplog.text
+    found = [tuple(r) for r in S.unreadable(S.frames(spark, S.parse(text))).collect()]
+    assert found == [("trades", "tradePrice", 1, "many")]
+
+
+def test_base_currency_in_any_case(spark, caplog):
+    from tallyspark.operators import returns as R
+
+    rows = [("A", "Deposits", datetime(2026, 6, 2, 12), a, c, None) for a, c in ((100.0, "usd"), (50.0, " USD\t"), (7.0, "USD"), (3.0, None), (1000.0, "EUR"), (500.0, ""))]
+    cash = spark.createDataFrame(rows, "Account string, Type string, Timestamp timestamp, Amount double, Currency string, FxRateToBase double")
+    assert [r["amount"] for r in R.external_flows(cash).collect()] == [160.0]
+    assert [r["amount"] for r in R.external_flows(cash, " eur ").collect()] == [1003.0]
+    assert sorted(r["Amount"] for r in R.skipped_flows(cash).collect()) == [500.0, 1000.0]
+    assert R.warn_of_skipped(cash) == 2 and "1000.0 EUR" in caplog.text and R.skipped_flows(cash.drop("Type")).count() == 0
+    assert R.external_flows(cash.drop("Currency", "FxRateToBase")).first()["amount"] == 1660.0
