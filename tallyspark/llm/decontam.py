@@ -247,10 +247,12 @@ def _united(parts: list[DataFrame]) -> DataFrame:
     w = "PARTITION BY row ORDER BY start_word, n_words ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     run = every.selectExpr("*", f"CASE WHEN start_word <= max(start_word + n_words) OVER ({w}) THEN 0 ELSE 1 END AS fresh")
     run = run.selectExpr("*", "sum(fresh) OVER (PARTITION BY row ORDER BY start_word, n_words ROWS UNBOUNDED PRECEDING) AS part")
-    return run.groupBy("row", "part").agg(F.first("doc_id").alias("doc_id"), F.min("start_word").alias("start_word"), (F.max(F.expr("start_word + n_words")) - F.min("start_word")).alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids")).drop("row", "part")
+    return run.groupBy("row", "part").agg(F.first("doc_id").alias("doc_id"), F.min("start_word").alias("start_word"), (F.max(F.expr("start_word + n_words")) - F.min("start_word")).alias("n_words"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids")).drop("row", "part")
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, text_col: str = "text", n_chars_col: str | None = "n_chars", item_col: str = "item_id", item_text_col: str = "text", *, ngram: int = NGRAM, shortest: int = SHORTEST, shard_bytes: int = SHARD_BYTES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, bench: DataFrame, text_col: str = "text", n_chars_col: str | None = "n_chars", item_col: str = "item_id", item_text_col: str = "text", *, ngram: int = NGRAM, shortest: int = SHORTEST,
+    shard_bytes: int = SHARD_BYTES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """docs with the text of every removal span of contaminated_spans() cut out, from its first to its last word, and n_chars recounted.
 
     All rows stay, repeated ones and those with a null id too, in all columns, whatever their names; a text that was wholly contaminated becomes empty, null, empty and

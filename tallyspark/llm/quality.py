@@ -54,7 +54,7 @@ def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Words are compared in lower case without punctuation. Null, empty and wordless texts have no words and
     no repeats, and a fraction of 0. Each row counts by itself, so repeated rows give repeated results; a null
-    id stays null; other columns of docs, of whatever name, are ignored. Texts are used whole.
+    id stays null; other columns of docs, of whatever name, are ignored. Texts are used whole, however long; an empty table gives an empty one. Ids are whole numbers.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,6 +71,6 @@ def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = MIN_WORDS, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> DataFrame:
     """The rows of repetition() that keep both limits: a share of at most max_covered, a longest repeat of at most max_longest words.
 
-    Documents without words pass, since nothing repeats in them.
+    Documents without words pass, since nothing repeats in them; so do null and empty texts. What repetition() says of odd rows holds here too.
     """
     return repetition(docs, id_col, text_col, min_words=min_words).where((F.col("repeated_fraction") <= max_covered) & (F.col("longest_repeat") <= max_longest))
