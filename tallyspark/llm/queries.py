@@ -44,8 +44,8 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of near-duplicate documents."""
-    return simhash.near_duplicate_pairs(_table(spark, sf_dir, "documents"))
+    """Every document with its class of near duplicates and the number of its links."""
+    return simhash.near_duplicate_classes(_table(spark, sf_dir, "documents"))
 
 
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

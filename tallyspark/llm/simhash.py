@@ -121,6 +121,20 @@ def _entries(prints: DataFrame, sets: list[tuple[int, ...]]) -> DataFrame:
     return prints.select("doc_id", *_PARTS).mapInArrow(run, "doc_id long, key long")
 
 
+def _near(firsts: DataFrame, max_bits: int, tables: int, key_bytes: int) -> DataFrame:
+    """(doc_a, doc_b, hamming), doc_a < doc_b, of the rows (doc_id, f0, f1, f2, f3) that meet in the index and are at most max_bits apart. An id of several rows may give a pair several times."""
+    entries = _entries(firsts, position_sets(tables, key_bytes))
+    a, b = entries.alias("a"), entries.alias("b")
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.doc_id") < F.col("b.doc_id"))).select(F.col("a.doc_id").alias("doc_a"), F.col("b.doc_id").alias("doc_b")).distinct()
+    # only the two ids of a pair move; the fingerprints, and with them the tally of shared bytes, are fetched for distinct pairs
+    left, right = (firsts.select(F.col("doc_id").alias(f"doc_{x}"), *[F.col(p).alias(f"{x}{p}") for p in _PARTS]) for x in "ab")
+    both = met.join(left, "doc_a").join(right, "doc_b")
+    xors = [F.col(f"a{p}").bitwiseXOR(F.col(f"b{p}")) for p in _PARTS]
+    apart = sum((F.bit_count(x) for x in xors), F.lit(0))
+    shared = sum((F.expr(f"CASE WHEN shiftrightunsigned(a{p} ^ b{p}, {8 * k}) & 255 = 0 THEN 1 ELSE 0 END") for p in _PARTS for k in range(8)), F.lit(0))
+    return both.where((shared >= fewest_shared(max_bits)) & (apart <= max_bits)).select("doc_a", "doc_b", apart.alias("hamming"))
+
+
 def near_duplicate_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, max_bits: int = MAX_BITS, tables: int = TABLES, key_bytes: int = KEY_BYTES) -> DataFrame:
     """(doc_a, doc_b, hamming), doc_a < doc_b, once each: pairs of documents with fingerprints at most max_bits apart.
 
@@ -135,21 +149,31 @@ def near_duplicate_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str
     prints = simhashes(docs, id_col, text_col).selectExpr("*", f"min(doc_id) OVER (PARTITION BY {', '.join(_PARTS)}) AS first")
     prints = parked(prints, "simhash")
     same = prints.where("first < doc_id").selectExpr("first AS doc_a", "doc_id AS doc_b", "0 AS hamming")
-    sets = position_sets(tables, key_bytes)
-    firsts = prints.where("first = doc_id").drop("first")
-    entries = _entries(firsts, sets)
-    a, b = entries.alias("a"), entries.alias("b")
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.doc_id") < F.col("b.doc_id"))).select(F.col("a.doc_id").alias("doc_a"), F.col("b.doc_id").alias("doc_b")).distinct()
-    # only the two ids of a pair move; the fingerprints, and with them the tally of shared bytes, are fetched for distinct pairs
-    left, right = (firsts.select(F.col("doc_id").alias(f"doc_{x}"), *[F.col(p).alias(f"{x}{p}") for p in _PARTS]) for x in "ab")
-    both = met.join(left, "doc_a").join(right, "doc_b")
-    xors = [F.col(f"a{p}").bitwiseXOR(F.col(f"b{p}")) for p in _PARTS]
-    apart = sum((F.bit_count(x) for x in xors), F.lit(0))
-    shared = sum((F.expr(f"CASE WHEN shiftrightunsigned(a{p} ^ b{p}, {8 * k}) & 255 = 0 THEN 1 ELSE 0 END") for p in _PARTS for k in range(8)), F.lit(0))
-    near = both.where((shared >= fewest_shared(max_bits)) & (apart <= max_bits)).select("doc_a", "doc_b", apart.alias("hamming"))
+    near = _near(prints.where("first = doc_id").drop("first"), max_bits, tables, key_bytes)
     return same.unionByName(near).groupBy("doc_a", "doc_b").agg(F.min("hamming").cast("int").alias("hamming"))
 
 
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, max_bits: int = MAX_BITS, tables: int = TABLES, key_bytes: int = KEY_BYTES) -> DataFrame:
+    """(doc_id, class_id, links), one row for each id: the least id of the connected component, and how many other documents are within max_bits.
+
+    The links are those of near_duplicate_pairs() with copies counted in full: documents of equal fingerprints are searched as one and counted as many, so that rows
+    grow with the documents, not with their pairs. A document without links is a class of its own, one with a null text too; rows with a null id have no row.
+    Rows with one id count as one document: it links by each of its texts, once to each other document, never to itself. Empty, wordless and long texts, ids and other columns
+    are as in near_duplicate_pairs(); an empty table gives an empty one.
+    """
+    ids = pick(docs, doc_id=id_col, text=text_col).where("doc_id IS NOT NULL AND text IS NULL").select(F.col("doc_id").cast("long"), *[F.lit(None).cast("long").alias(p) for p in _PARTS])
+    texts = simhashes(docs, id_col, text_col).unionByName(ids).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.when(F.col("f0").isNotNull(), F.struct(*_PARTS)))).alias("prints"))
+    # documents with the same fingerprints are copies; those without any aren't
+    alike = "OVER (PARTITION BY prints, IF(size(prints) = 0, doc_id, NULL))"
+    texts = parked(texts.selectExpr("*", f"min(doc_id) {alike} AS first", f"count(*) {alike} AS copies"), "simhash")
+    firsts = texts.where("first = doc_id")
+    near = parked(_near(firsts.selectExpr("doc_id", "inline(prints)"), max_bits, tables, key_bytes).select("doc_a", "doc_b").distinct(), "links")
+    ends = near.unionByName(near.selectExpr("doc_b AS doc_a", "doc_a AS doc_b"))
+    others = ends.join(firsts.selectExpr("doc_id AS doc_b", "copies"), "doc_b").groupBy(F.col("doc_a").alias("first")).agg(F.sum("copies").alias("others"))
+    classes = others.join(groups(near).withColumnRenamed("doc_id", "first"), "first")
+    return texts.join(classes, "first", "left").selectExpr("doc_id", "coalesce(group_id, first) AS class_id", "copies - 1 + coalesce(others, 0) AS links")
+
+
 def groups(pairs: DataFrame) -> DataFrame:
     """(doc_id, group_id) of every document in a pair (doc_a, doc_b): the least id of its connected component.
 

@@ -5,6 +5,16 @@ import numpy as np
 from tallyspark.llm import simhash as S
 
 
+def components(ids, pairs):
+    """The least member of each one's component."""
+    group = {d: d for d in ids}
+    root = lambda d: d if group[d] == d else root(group[d])
+    for a, b in pairs:
+        x, y = sorted((root(a), root(b)))
+        group[y] = x
+    return {d: root(d) for d in group}
+
+
 def brute(prints, k):
     f = {d: [np.uint64(int(x) % 2**64) for x in p] for d, *p in prints}
     apart = lambda a, b: sum(bin(int(x ^ y)).count("1") for x, y in zip(f[a], f[b]))
@@ -39,6 +49,33 @@ def test_recall_and_precision_against_brute_force(docs, prose):
     assert set(range(0, 300, 10)) <= set(kept) and len(kept) <= 30 + 0.05 * len(rows)
 
 
+def test_a_group_of_near_copies_has_a_row_for_each_document_not_for_each_pair(docs, prose, spark, tmp_path):
+    from tallyspark.llm import queries
+
+    for n in (20, 80):
+        base = prose(5, 300, 5000)
+        docs([(k, base + f" end{k}") for k in range(n)] + [(1000, base + " end7"), (1001, prose(6, 300, 5000))]).write.parquet(f"{tmp_path}/{n}/documents.parquet")
+        rows = queries.op7_simhash_near_dedup(spark, f"{tmp_path}/{n}").collect()
+        assert sorted(map(tuple, rows)) == [(k, 0, n) for k in [*range(n), 1000]] + [(1001, 1001, 0)]
+
+
+def test_classes_and_links_of_repeated_ids_copies_and_odd_rows(docs, odd_rows, prose):
+    one, two = prose(7, 200, 5000), prose(8, 200, 5000)
+    extra = [(1, None), (50, one), (51, one), (52, one + " more"), (53, two), (53, one), (53, two + " more"), (54, two), (55, two), (55, None), (56, None), (57, two + " more")]
+    df = docs([*odd_rows, (40, ""), (41, "..."), (42, "!!!"), (43, "  "), *extra], "first copies prints links class_id")
+    ids, linked = {d for d, _ in odd_rows + extra if d is not None} | {40, 41, 42, 43}, set()
+    rows = [tuple(r) for r in S.simhashes(df).collect()]
+    for a, *x in rows:
+        for b, *y in rows:
+            if a != b and sum(((p ^ q) % 2**64).bit_count() for p, q in zip(x, y)) <= S.MAX_BITS:
+                linked.add((a, b))
+    assert {(50, 51), (50, 52), (50, 53), (53, 54), (53, 57), (54, 55), (2, 40), (6, 7)} <= linked and (50, 54) not in linked
+    roots = components(ids, linked)
+    got = S.near_duplicate_classes(df)
+    assert sorted(map(tuple, got.collect())) == sorted((d, roots[d], sum(a == d for a, _ in linked)) for d in ids)
+    assert S.near_duplicate_classes(df.limit(0)).count() == 0 and got.columns == ["doc_id", "class_id", "links"]
+
+
 def test_recall_at_the_threshold(spark, docs, monkeypatch):
     dice = random.Random(11)
     signed = lambda x: [(x >> 64 * k & 2**64 - 1) - (x >> 64 * k + 63 & 1) * 2**64 for k in range(4)]
@@ -87,15 +124,15 @@ def test_tables_and_the_least_number_of_shared_bytes():
 
 
 def test_the_query_against_all_pairs(spark):
-    """op7_simhash_near_dedup as it is registered over sf0.01, against all pairs of fingerprints: none within the guarantee is missed, nine in ten of all are found,
-    and the count filter turns away candidates, none of which the pigeonhole principle speaks for."""
+    """op7_simhash_near_dedup as it is registered and its pairs over sf0.01, against all pairs of fingerprints: none within the guarantee is missed, nine in ten of all are found,
+    the query's classes are those of the pairs, its links lack no pair of different fingerprints, and the count filter turns away candidates, none of which the pigeonhole principle speaks for."""
     from tallyspark.llm import queries
 
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     table = S.simhashes(docs).toPandas().sort_values("doc_id")
     ids, prints = table["doc_id"].to_numpy(), np.ascontiguousarray(table[["f0", "f1", "f2", "f3"]].to_numpy()).view(np.uint8)
     firsts = ~table[["f0", "f1", "f2", "f3"]].duplicated().to_numpy()
-    got = {(r["doc_a"], r["doc_b"]): r["hamming"] for r in queries.op7_simhash_near_dedup(spark, "/root/testdata/sf0.01").collect()}
+    got = {(r["doc_a"], r["doc_b"]): r["hamming"] for r in S.near_duplicate_pairs(docs).collect()}
     bits = np.unpackbits(prints, axis=1).astype(np.int32)
     apart = bits.sum(axis=1)[:, None] + bits.sum(axis=1)[None, :] - 2 * bits @ bits.T
     assert all(apart[np.searchsorted(ids, a), np.searchsorted(ids, b)] == h <= S.MAX_BITS for (a, b), h in got.items())
@@ -107,6 +144,17 @@ def test_the_query_against_all_pairs(spark):
     for k in range(len(ids)):
         first = leader.setdefault(prints[k].tobytes(), int(ids[k]))
         assert first == ids[k] or got.get((first, int(ids[k]))) == 0
+    rows = {r["doc_id"]: r for r in queries.op7_simhash_near_dedup(spark, "/root/testdata/sf0.01").collect()}
+    assert {d: r["class_id"] for d, r in rows.items()} == components(ids.tolist(), got)
+    first = {int(d): leader[p.tobytes()] for d, p in zip(ids, prints)}
+    copies = {d: list(first.values()).count(d) for d in set(first.values())}
+    beside = {d: 0 for d in copies}
+    for (a, b), h in got.items():
+        if first[a] != first[b]:
+            beside[a] += copies[b]
+            beside[b] += copies[a]
+    assert {d: r["links"] for d, r in rows.items()} == {d: copies[f] - 1 + beside[f] for d, f in first.items()}
+    assert sum(r["links"] for r in rows.values()) >= 0.9 * ((apart <= S.MAX_BITS).sum() - len(ids)) > 0
     turned_away = 0
     own = prints[firsts]
     at = own.astype(np.int64)[:, np.array(S.position_sets())]
