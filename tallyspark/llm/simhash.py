@@ -35,6 +35,8 @@ MAX_BITS = 40
 #: Of the fingerprints MAX_BITS apart, the share that the count filter may lose.
 LOSS = 0.005
 _STEP = 1 << 17
+#: Rows of a class that are held against as many others in one task.
+_BLOCK = 1 << 14
 #: Cells of the matrix of documents and words that is held at a time.
 _CELLS = 1 << 21
 
@@ -121,18 +123,86 @@ def _entries(prints: DataFrame, sets: list[tuple[int, ...]]) -> DataFrame:
     return prints.select("doc_id", *_PARTS).mapInArrow(run, "doc_id long, key long")
 
 
-def _near(firsts: DataFrame, max_bits: int, tables: int, key_bytes: int) -> DataFrame:
-    """(doc_a, doc_b, hamming), doc_a < doc_b, of the rows (doc_id, f0, f1, f2, f3) that meet in the index and are at most max_bits apart. An id of several rows may give a pair several times."""
-    entries = _entries(firsts, position_sets(tables, key_bytes))
-    a, b = entries.alias("a"), entries.alias("b")
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.doc_id") < F.col("b.doc_id"))).select(F.col("a.doc_id").alias("doc_a"), F.col("b.doc_id").alias("doc_b")).distinct()
+def _verified(met: DataFrame, firsts: DataFrame, max_bits: int) -> DataFrame:
+    """Of distinct pairs (doc_a, doc_b, ...), those at most max_bits apart, and hamming. An id of several rows in firsts may give a pair several times."""
     # only the two ids of a pair move; the fingerprints, and with them the tally of shared bytes, are fetched for distinct pairs
     left, right = (firsts.select(F.col("doc_id").alias(f"doc_{x}"), *[F.col(p).alias(f"{x}{p}") for p in _PARTS]) for x in "ab")
     both = met.join(left, "doc_a").join(right, "doc_b")
     xors = [F.col(f"a{p}").bitwiseXOR(F.col(f"b{p}")) for p in _PARTS]
     apart = sum((F.bit_count(x) for x in xors), F.lit(0))
     shared = sum((F.expr(f"CASE WHEN shiftrightunsigned(a{p} ^ b{p}, {8 * k}) & 255 = 0 THEN 1 ELSE 0 END") for p in _PARTS for k in range(8)), F.lit(0))
-    return both.where((shared >= fewest_shared(max_bits)) & (apart <= max_bits)).select("doc_a", "doc_b", apart.alias("hamming"))
+    return both.where((shared >= fewest_shared(max_bits)) & (apart <= max_bits)).select(*met.columns, apart.alias("hamming"))
+
+
+def _with_heads(entries: DataFrame) -> DataFrame:
+    """(key, head, doc_id) of all entries but the first of each list, whose least id is head."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = head = -1  # keys aren't negative
+        for batch in batches:
+            if batch.num_rows:
+                key, doc = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+                at = np.maximum.accumulate(np.where(np.append(key[0] != last, key[1:] != key[:-1]), np.arange(len(key)), -1))
+                heads = np.where(at < 0, head, doc[at])
+                last, head, new = key[-1], heads[-1], doc > heads
+                yield pa.RecordBatch.from_arrays([pa.array(x[new]) for x in (key, heads, doc)], names=["key", "head", "doc_id"])
+
+    lists = entries.select("key", "doc_id").repartition("key").sortWithinPartitions("key", "doc_id")
+    return lists.mapInArrow(run, "key long, head long, doc_id long")
+
+
+def _classes(firsts: DataFrame, max_bits: int, tables: int, key_bytes: int) -> DataFrame:
+    """(doc_id, class_id) of every id that has a link: what groups() makes of all pairs that meet in the index.
+
+    Of near copies, all pairs of a list would be the square of its length. So each list first gives the pairs with its head; of the others, only those are
+    still open whose ids aren't in one class by then.
+    """
+    lists = parked(_with_heads(_entries(firsts, position_sets(tables, key_bytes))), "lists")
+    stars = _verified(lists.select(F.col("head").alias("doc_a"), F.col("doc_id").alias("doc_b")).distinct(), firsts, max_bits)
+    begun = parked(groups(parked(stars.select("doc_a", "doc_b").distinct(), "links")), "classes")
+    listed = parked(lists.join(begun, "doc_id", "left").selectExpr("key", "doc_id", "coalesce(group_id, doc_id) AS kind"), "listed")
+    kinds = listed.select("key", "kind").distinct()
+    mixed = kinds.selectExpr("key", "kind AS kind_a").join(kinds.selectExpr("key", "kind AS kind_b"), "key").where("kind_a < kind_b")
+    a, b = (listed.selectExpr("key", f"kind AS kind_{x}", f"doc_id AS {x}") for x in "ab")
+    met = mixed.join(a, ["key", "kind_a"]).join(b, ["key", "kind_b"]).selectExpr("least(a, b) AS doc_a", "greatest(a, b) AS doc_b", "kind_a", "kind_b").where("doc_a < doc_b").distinct()
+    later = groups(parked(_verified(met, firsts, max_bits).selectExpr("kind_a AS doc_a", "kind_b AS doc_b").distinct(), "links"))
+    begun = begun.unionByName(later.selectExpr("doc_id", "doc_id AS group_id").join(begun, "doc_id", "left_anti"))
+    return begun.join(later.selectExpr("doc_id AS group_id", "group_id AS class_id"), "group_id", "left").selectExpr("doc_id", "coalesce(class_id, group_id) AS class_id")
+
+
+def _links(members: DataFrame, max_bits: int) -> DataFrame:
+    """(doc_id, others) from (class_id, doc_id, copies, f0, f1, f2, f3): the copies of all other ids of its class that are at most max_bits from one of its rows.
+
+    Every pair of a class is compared, in blocks of rows against blocks.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("doc_id")
+        column = {n: table[n].to_numpy() for n in table.column_names}
+        low, high = column["low"][0], column["high"][0]
+
+        def side(block: int) -> tuple[np.ndarray, ...]:
+            mine = column["own"] == block
+            ids, starts = np.unique(column["doc_id"][mine], return_index=True)
+            return ids, starts, column["copies"][mine][starts].astype(np.float64), np.stack([column[p][mine] for p in _PARTS]).view(np.uint64)
+
+        (ids, starts, copies, prints), (ids_y, starts_y, copies_y, prints_y) = side(low), side(high)
+        found, found_y = np.zeros(len(ids)), np.zeros(len(ids_y))
+        for i in range(0, len(ids) if len(ids_y) else 0, 64):
+            j = min(i + 64, len(ids))
+            x = prints[:, starts[i] : starts[j] if j < len(ids) else None]
+            near = sum(np.bitwise_count(p[:, None] ^ q[None, :]).astype(np.int16) for p, q in zip(x, prints_y)) <= max_bits
+            near = np.logical_or.reduceat(np.logical_or.reduceat(near, starts_y, axis=1), starts[i:j] - starts[i], axis=0) if near.shape != (j - i, len(ids_y)) else near
+            near = (near & (ids[i:j, None] != ids_y[None, :])).astype(np.float64)
+            found[i:j] = near @ copies_y
+            found_y += copies[i:j] @ near
+        both = low != high
+        return pa.table({"doc_id": np.append(ids, ids_y) if both else ids, "others": (np.append(found, found_y) if both else found).astype(np.int64)})
+
+    blocks = members.groupBy("class_id").agg(F.expr(f"int(ceil(count(*) / {_BLOCK}))").alias("blocks"))
+    rows = members.join(blocks, "class_id").selectExpr("*", "pmod(xxhash64(doc_id), blocks) AS own").selectExpr("*", "explode(sequence(0, blocks - 1)) AS other")
+    rows = rows.selectExpr("class_id", "least(own, other) AS low", "greatest(own, other) AS high", "own", "doc_id", "copies", *_PARTS)
+    return rows.groupBy("class_id", "low", "high").applyInArrow(run, "doc_id long, others long").groupBy("doc_id").agg(F.sum("others").alias("others"))
 
 
 def near_duplicate_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, max_bits: int = MAX_BITS, tables: int = TABLES, key_bytes: int = KEY_BYTES) -> DataFrame:
@@ -149,15 +219,20 @@ def near_duplicate_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str
     prints = simhashes(docs, id_col, text_col).selectExpr("*", f"min(doc_id) OVER (PARTITION BY {', '.join(_PARTS)}) AS first")
     prints = parked(prints, "simhash")
     same = prints.where("first < doc_id").selectExpr("first AS doc_a", "doc_id AS doc_b", "0 AS hamming")
-    near = _near(prints.where("first = doc_id").drop("first"), max_bits, tables, key_bytes)
+    firsts = prints.where("first = doc_id").drop("first")
+    entries = _entries(firsts, position_sets(tables, key_bytes))
+    a, b = entries.alias("a"), entries.alias("b")
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.doc_id") < F.col("b.doc_id"))).select(F.col("a.doc_id").alias("doc_a"), F.col("b.doc_id").alias("doc_b")).distinct()
+    near = _verified(met, firsts, max_bits)
     return same.unionByName(near).groupBy("doc_a", "doc_b").agg(F.min("hamming").cast("int").alias("hamming"))
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, max_bits: int = MAX_BITS, tables: int = TABLES, key_bytes: int = KEY_BYTES) -> DataFrame:
     """(doc_id, class_id, links), one row for each id: the least id of the connected component, and how many other documents are within max_bits.
 
-    The links are those of near_duplicate_pairs() with copies counted in full: documents of equal fingerprints are searched as one and counted as many, so that rows
-    grow with the documents, not with their pairs. A document without links is a class of its own, one with a null text too; rows with a null id have no row.
+    Classes are the components of near_duplicate_pairs(), without its pairs: documents of equal fingerprints are searched as one and counted as many, and rows
+    grow with the documents. Links are counted by comparing all of a class, so those inside are all there, whether they meet in the index or not; only links between classes
+    that the index doesn't join are missed. A document without links is a class of its own, one with a null text too; rows with a null id have no row.
     Rows with one id count as one document: it links by each of its texts, once to each other document, never to itself. Empty, wordless and long texts, ids and other columns
     are as in near_duplicate_pairs(); an empty table gives an empty one.
     """
@@ -166,12 +241,10 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     # documents with the same fingerprints are copies; those without any aren't
     alike = "OVER (PARTITION BY prints, IF(size(prints) = 0, doc_id, NULL))"
     texts = parked(texts.selectExpr("*", f"min(doc_id) {alike} AS first", f"count(*) {alike} AS copies"), "simhash")
-    firsts = texts.where("first = doc_id")
-    near = parked(_near(firsts.selectExpr("doc_id", "inline(prints)"), max_bits, tables, key_bytes).select("doc_a", "doc_b").distinct(), "links")
-    ends = near.unionByName(near.selectExpr("doc_b AS doc_a", "doc_a AS doc_b"))
-    others = ends.join(firsts.selectExpr("doc_id AS doc_b", "copies"), "doc_b").groupBy(F.col("doc_a").alias("first")).agg(F.sum("copies").alias("others"))
-    classes = others.join(groups(near).withColumnRenamed("doc_id", "first"), "first")
-    return texts.join(classes, "first", "left").selectExpr("doc_id", "coalesce(group_id, first) AS class_id", "copies - 1 + coalesce(others, 0) AS links")
+    firsts = texts.where("first = doc_id").selectExpr("doc_id", "copies", "inline(prints)")
+    classes = parked(_classes(firsts.drop("copies"), max_bits, tables, key_bytes), "classes")
+    classes = classes.join(_links(firsts.join(classes, "doc_id"), max_bits), "doc_id").withColumnRenamed("doc_id", "first")
+    return texts.join(classes, "first", "left").selectExpr("doc_id", "coalesce(class_id, first) AS class_id", "copies - 1 + coalesce(others, 0) AS links")
 
 
 def groups(pairs: DataFrame) -> DataFrame:
