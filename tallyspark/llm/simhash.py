@@ -7,6 +7,7 @@ keyed by the bytes at several positions together, TABLES sets of KEY_BYTES posit
 and some across them. Fingerprints that share 2 * GROUPS + 1 bytes share KEY_BYTES = 3 of one group, so those up to BYTES - 9 = 23 bits apart always meet.
 For the pairs that meet, the shared positional bytes are counted, and pairs with too few drop out: fingerprints within max_bits
 share BYTES - max_bits at least, and all but a share LOSS of those max_bits apart have fewest_shared() or more. The rest are verified by Hamming distance.
+Classes don't need all pairs: near_duplicate_classes() lets those of one list that are in one class already go, and compares inside classes without the index.
 """
 
 from __future__ import annotations
@@ -202,6 +203,8 @@ def _links(members: DataFrame, max_bits: int) -> DataFrame:
     blocks = members.groupBy("class_id").agg(F.expr(f"int(ceil(count(*) / {_BLOCK}))").alias("blocks"))
     rows = members.join(blocks, "class_id").selectExpr("*", "pmod(xxhash64(doc_id), blocks) AS own").selectExpr("*", "explode(sequence(0, blocks - 1)) AS other")
     rows = rows.selectExpr("class_id", "least(own, other) AS low", "greatest(own, other) AS high", "own", "doc_id", "copies", *_PARTS)
+    # a number that is given keeps these few bytes from being merged into one task
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "class_id", "low", "high")
     return rows.groupBy("class_id", "low", "high").applyInArrow(run, "doc_id long, others long").groupBy("doc_id").agg(F.sum("others").alias("others"))
 
 
