@@ -111,14 +111,26 @@ def nearest_expiry(chain: DataFrame, by: str, expiry: str, today: Column | date,
     return rows.groupBy(by).agg(F.min(F.struct("other", "d"))["d"].alias("expiry"))
 
 
+def _closest(rows: DataFrame, by: str, k: int) -> DataFrame:
+    """(by, strike, rank) of the k least apart of each group of (by, strike, apart)."""
+    w = Window.partitionBy(by).orderBy("apart", "strike")
+    return rows.select(by, "strike", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
+
+
 def atm_strikes(strikes_of: DataFrame, spots: DataFrame, by: str, k: int = 1) -> DataFrame:
     """(by, strike, rank): the k strikes closest to each group's positive spot, the lower of equally close ones first.
 
-    strikes_of has (by, strike), spots (by, spot).
+    strikes_of has (by, strike), spots (by, spot). They are merged, not broadcast: strikes that were exploded seem to Spark as small as what they
+    came from.
     """
-    rows = strikes_of.join(spots.where("spot > 0"), by)
-    w = Window.partitionBy(by).orderBy(F.abs(F.col("strike") - F.col("spot")), "strike")
-    return rows.select(by, "strike", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
+    rows = strikes_of.join(spots.where("spot > 0").hint("merge"), by)
+    return _closest(rows.select(by, "strike", F.abs(F.col("strike") - F.col("spot")).alias("apart")), by, k)
+
+
+def atm_strikes_of_ladders(ladders: DataFrame, by: str, k: int = 1) -> DataFrame:
+    """atm_strikes() of rows (by, spot, strikes), the strikes an array as in option_chain(): no join, and only the k closest of a row are moved."""
+    apart = F.transform("strikes", lambda s: F.struct(F.abs(s - F.col("spot")).alias("apart"), s.alias("strike")))
+    return _closest(ladders.where("spot > 0").select(by, F.inline(F.slice(F.sort_array(apart), 1, max(k, 0)))), by, k)
 
 
 def latest_greeks(greeks: DataFrame) -> DataFrame:

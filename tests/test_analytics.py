@@ -171,3 +171,14 @@ def test_market_and_options(spark):
     assert [(r["id"], r["strike"]) for r in M.atm_strikes(ladder, spots, "id", 2).orderBy("rank").collect()] == [(1, 97.5), (1, 102.5)]
     p = M.Pacer(rate=5)
     assert [p.acquire(0.0) for _ in range(3)] == pytest.approx([0.0, 0.2, 0.4]) and p.wait(10.0) == 0.0 and M.Pacer(rate=900).ceiling == 45
+
+
+def test_strikes_of_ladders_and_an_exploded_ladder(spark):
+    ladders = spark.createDataFrame([(1, 100.0, [110.0, 97.5, 90.0, 102.5]), (2, 0.0, [1.0]), (3, 5.0, []), (4, 6.0, [9.0]), (None, 1.0, [1.0])], "id long, spot double, strikes array<double>")
+    assert {(r["id"], r["strike"], r["rank"]) for r in M.atm_strikes_of_ladders(ladders, "id", 2).collect()} == {(1, 97.5, 1), (1, 102.5, 2), (4, 9.0, 1), (None, 1.0, 1)}
+    assert M.atm_strikes_of_ladders(ladders, "id", 0).count() == 0
+    joined = M.atm_strikes(ladders.select("id", F.explode("strikes").alias("strike")), ladders.select("id", "spot"), "id", 2)
+    assert {tuple(r) for r in joined.collect()} == {(1, 97.5, 1), (1, 102.5, 2), (4, 9.0, 1)}
+    spots = spark.range(1000).selectExpr("id", "id % 90 + 1D AS spot")
+    plan = M.atm_strikes(spots.select("id", F.explode(F.sequence(F.lit(0), F.lit(99))).alias("strike")), spots, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
